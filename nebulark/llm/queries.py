@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from nebulark.llm.common import documents
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.sharding import shard
+
+    placed = shard(documents(spark, sf_dir).select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -26,6 +33,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held_out.alias("held_out")), labelled).select("doc_id", "held_out", "lang_pred", "score", "phrase_chars")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nebulark.llm.decontaminate import contamination
 
@@ -41,9 +54,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op5_language_id, op6_mixing, op10_decontamination)}
 
 ORACLE = {
+    "op6_mixing": r"""
+    WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                      md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+    w AS (SELECT *, CAST([3, 1, 2][k % 3 + 1] AS DOUBLE) AS weight, CAST([-0.5, 0, 0.5][k % 3 + 1] AS DOUBLE) AS a FROM s),
+    l AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(words) OVER () - coalesce(sum(2 * words) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                    / sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reached
+          FROM w WINDOW f AS (ORDER BY words / weight, source NULLS LAST)),
+    t AS (SELECT source, words, a, least(CAST(2 * words AS DOUBLE), weight * max(reached) OVER ()) AS target FROM l),
+    p AS (SELECT d.*, words, target, a, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start,
+                 CAST(floor(target + 0.5) AS BIGINT) AS want
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    q AS (SELECT *, greatest(0, least(size, want - start)) AS one, greatest(0, least(size, want - start - words)) AS two,
+                 CASE WHEN want - start > 0 OR want - start - words > 0 THEN (CASE WHEN want - start > 0 THEN start ELSE start + words END) / target END AS u FROM p)
+    SELECT doc_id, size, words AS source_size, target, CAST(one + two AS BIGINT) AS taken,
+           CASE WHEN one > 0 THEN round(CASE WHEN a = 0 THEN u ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a) END, 9) + 0.0 END AS position
+    FROM q
+    """,
     "op10_decontamination": r"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                       coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w
