@@ -24,6 +24,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, vocabulary(path("piece_bpe_32k.model"))).drop("text")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.secrets import scan
+
+    return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("found")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nebulark.llm.language import identify
 
@@ -39,6 +45,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.vectors import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nebulark.llm.decontaminate import contamination
 
@@ -54,9 +66,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op5_language_id, op6_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op10_decontamination)}
 
 ORACLE = {
+    "op4_secret_scan": r"""
+    WITH k(kind, name, pattern, grp, least, base) AS (VALUES
+      (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12, true),
+      (1, 'access', 'AKIA[A-Z0-9]+', 0, 18, true),
+      (2, 'hex', '[0-9a-f]{16,}', 0, 16, true),
+      (3, 'hub', 'gh[opsu]_[A-Za-z0-9]{36,}', 0, 0, false),
+      (4, 'chat', 'xox[abps]-[A-Za-z0-9-]{10,}', 0, 0, false),
+      (5, 'pem', '-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----', 0, 0, false)),
+    d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    m AS (SELECT r, kind, name, least, base, regexp_extract_all(text, pattern, 0) AS hit,
+                 CASE WHEN grp = 2 THEN regexp_extract_all(text, pattern, 2) ELSE regexp_extract_all(text, pattern, 0) END AS val,
+                 string_split_regex(text, pattern) AS gap
+          FROM d, k WHERE regexp_matches(text, pattern)),
+    u AS (SELECT r, kind, name, least, base, i, length(hit[i]) AS n, length(val[i]) AS v,
+                 sum(length(gap[i])) OVER w + coalesce(sum(length(hit[i])) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+          FROM (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM m) WINDOW w AS (PARTITION BY r, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    f AS (SELECT r, kind, base, s, name || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS x FROM u WHERE v >= least),
+    a AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                 string_agg(x, ',' ORDER BY s, kind) FILTER (base) AS b, string_agg(x, ',' ORDER BY s, kind) AS spans FROM f GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a USING (r)
+    """,
+    "op7_exact_top_k": """
+    WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(1024 AS DOUBLE) * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """,
     "op6_mixing": r"""
     WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                       md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
