@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from nebulark.llm.common import documents
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.substrings import dedup
+
+    found = dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nebulark.llm.sharding import shard
 
@@ -66,9 +73,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op10_decontamination)}
 
 ORACLE = {
+    "op1_substring_dedup": r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    g AS (SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+    m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY k),
+    c AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM g JOIN m USING (k) WHERE least < doc_id),
+    x AS (SELECT r, w[i] AS word, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN c USING (r, i)),
+    t AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN t USING (r)
+    """,
     "op4_secret_scan": r"""
     WITH k(kind, name, pattern, grp, least, base) AS (VALUES
       (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 12, true),
