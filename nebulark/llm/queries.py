@@ -58,6 +58,12 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.pages import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nebulark.llm.decontaminate import contamination
 
@@ -73,7 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op8_page_text, op10_decontamination)}
 
 ORACLE = {
     "op1_substring_dedup": r"""
@@ -135,6 +141,13 @@ ORACLE = {
            CASE WHEN one > 0 THEN round(CASE WHEN a = 0 THEN u ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a) END, 9) + 0.0 END AS position
     FROM q
     """,
+    "op8_page_text": r"""
+    WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<br>', ' ', 'g') AS x FROM pages),
+    b AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(?:h1|p)>'),
+                 lambda y: trim(regexp_replace(regexp_replace(regexp_replace(y, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS x FROM a),
+    t AS (SELECT page_id, url, array_to_string(list_filter(x, lambda y: y <> ''), chr(10)) AS text FROM b)
+    SELECT page_id, url, text, length(text) AS n_chars FROM t
+    """,
     "op10_decontamination": r"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                       coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w
