@@ -64,6 +64,12 @@ def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.neardup import classes
+
+    return classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from nebulark.llm.decontaminate import contamination
 
@@ -79,7 +85,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op8_page_text, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op8_page_text, op9_near_duplicates, op10_decontamination)}
 
 ORACLE = {
     "op1_substring_dedup": r"""
