@@ -1,8 +1,59 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline of five stages, each a function of (spark, docs, sf_dir).
 
-STAGES = []
+All but the last return the columns of documents; run() writes what each stage keeps and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nebulark.llm.common import documents, stash
+from nebulark.llm.decontaminate import contamination
+from nebulark.llm.language import identify
+from nebulark.llm.mixing import mixed_copies
+from nebulark.llm.neardup import one_of_each
+from nebulark.llm.sharding import shard
+
+#: Mean characters of a phrase below which no learned language explains a text; texts in one have about six.
+LEAST_PHRASE = 2.0
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no letter or that no learned language explains."""
+    found = identify(docs, docs.where(F.col("lang").isNotNull()))
+    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_chars") >= LEAST_PHRASE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of near-duplicates."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents in which a window of a benchmark item occurs."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("spans") == 0).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    return mixed_copies(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each row."""
+    return shard(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+#: SQL can't express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

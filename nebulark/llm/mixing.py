@@ -53,24 +53,38 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     A source's documents come in an order of hashes of ids, again and again up to the target in whole words, so that
     the last one may be taken in part; `positions` has the time at which each pass over a document starts, `position`
-    the first of them. Rows are sorted by position, those not taken last. Sizes are added up within blocks of a source
+    the first of them; row is a hash of the text. Rows are sorted by position, those not taken last. Sizes are added up within blocks of a source
     by hash, and over blocks by one row a block, so no task gets a whole source. Null texts have size 0 and are never
     taken; the null source is a source; repeated rows count each; an empty table gives no rows.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h")))
+    rows = stash(docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("row"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h")))
     rows = rows.withColumn("block", F.substring("h", 1, BLOCK_DIGITS))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("block0", F.coalesce(F.sum("block_size").over(ahead), F.lit(0))).drop("block_size")
     wanted = targets(rows, share, repeats).withColumn("slope", F.element_at(F.array(*map(F.lit, SLOPES)), F.col("number") % len(SLOPES) + 1)).drop("number", "weight")
     blocks = blocks.alias("b").join(wanted.alias("w"), F.col("b.source").eqNullSafe(F.col("w.source"))).select("b.*", "words", "target", "slope")
-    within = Window.partitionBy("source", "block").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "block").orderBy("h", "id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(within))
-    r = rows.alias("r").join(blocks.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block"))).select("id", "r.source", "size", "h", "words", "target", "slope", (F.col("block0") + F.col("end") - F.col("size")).alias("start"))
+    r = rows.alias("r").join(blocks.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block"))).select("id", "row", "r.source", "size", "h", "words", "target", "slope", (F.col("block0") + F.col("end") - F.col("size")).alias("start"))
     want, size, start = F.floor(F.col("target") + 0.5), F.col("size"), F.col("start")
     passes = [F.greatest(F.lit(0), F.least(size, want - start - k * F.col("words"))) for k in range(repeats)]
     taken = sum(passes[1:], passes[0])
     at = [F.when(p > 0, F.round(position((start + k * F.col("words")) / F.col("target"), F.col("slope")), 9)) for k, p in enumerate(passes)]
-    out = r.select("id", "source", "size", F.col("words").alias("source_size"), "target", taken.cast("long").alias("taken"), at[0].alias("position"), F.array_compact(F.array(*at)).alias("positions"), "h")
+    out = r.select("id", "row", "source", "size", F.col("words").alias("source_size"), "target", taken.cast("long").alias("taken"), at[0].alias("position"), F.array_compact(F.array(*at)).alias("positions"), "h")
     return out.orderBy(F.col("position").asc_nulls_last(), "h", "id").drop("h").withColumnsRenamed({"id": id_col, "source": source_col})
+
+
+def mixed_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs as often as the mix takes them, sorted by the positions of their passes.
+
+    Rows stay whole: of a document that the mix takes in part, the pass counts if half of it or more is taken. Rows
+    without words are kept once, first. Rows equal in id and text are taken alike.
+    """
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    passes = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    at = F.when(F.col("size") == 0, F.array(F.lit(0.0))).otherwise(F.slice("positions", F.lit(1), passes))
+    plan = plan.select(F.col(id_col).alias("__id"), F.col("row").alias("__row"), at.alias("__at")).where(F.size("__at") > 0).dropDuplicates(["__id", "__row"])
+    joined = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]) & (F.hash(docs[text_col]) == plan["__row"]))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode("__at").alias("__position")).orderBy("__position", id_col).drop("__position")

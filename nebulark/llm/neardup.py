@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulark.llm.common import slices, stash, text_key
@@ -175,13 +175,13 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col
     Each node is first compared with the least node of each of its buckets, and one such pair verified, the most
     hopeful; that joins even a large group of near copies with one pair a node. Buckets that then still hold nodes of
     several components are compared in full, all nodes but those of the bucket's largest component with all of other
-    components, so no pair that shares a band is lost. Rows that share an id share a class. Null ids and null texts are
-    classes of their own (class_id is the id); texts without words are near only to equal ones; an empty table gives no
+    components, so no pair that shares a band is lost. Rows that share an id share a class. Null ids have no
+    class; null texts are classes of their own; texts without words are near only to equal ones; an empty table gives no
     rows.
     """
     rows = stash(docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key")))
     reps = rows.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
-    placed = stash(rows.join(reps, "key", "left").select("id", F.coalesce("rep", "id").alias("rep")))
+    placed = stash(rows.join(reps, "key", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node IS NOT NULL AND text IS NOT NULL")
     sigs = stash(signature_table(texts, shingle).join(placed.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"))
     banded = sigs.select("node", F.explode("bands").alias("key"))
@@ -207,3 +207,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col
         roots = components(near.select("a", "b").unionAll(more))
     out = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that have the least id of their class; of rows that repeat it, one with the least text.
+
+    Rows with a null id stay. Ids to drop are broadcast only while they are few; else they meet the rows in a shuffle.
+    """
+    found = stash(classes(docs, threshold, id_col=id_col, text_col=text_col))
+    gone = stash(found.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("__id")).distinct())
+    twice = stash(found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"))
+    hint = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    on = lambda ids: F.col(id_col).cast("long") == ids["__id"]
+    kept = docs.join(hint(gone), on(gone), "left_anti")
+    if twice.isEmpty():
+        return kept
+    order = Window.partitionBy(id_col).orderBy(text_col, F.xxhash64(*docs.columns))
+    single = kept.join(hint(twice), on(twice), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return kept.join(hint(twice), on(twice), "left_anti").unionByName(single)
