@@ -1,6 +1,8 @@
-"""The registered queries of the image engine and the SQL that each is held against."""
+"""All registered queries of the image engine and the SQL that each is held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from nebulark.plans import queries
+
+QUERIES: dict = queries.QUERIES
+ORACLE: dict[str, str] = queries.ORACLE
