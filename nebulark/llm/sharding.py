@@ -101,11 +101,16 @@ class Prefixes:
                 self.split(unsure)
         return low
 
-    def cuts(self, shards: int) -> list[int]:
-        """The end of each shard; within the capacity, each takes its part of what is left as nearly as it can."""
+    def cuts(self, shards: int, alone: int = 0, barrier: int | None = None) -> list[int]:
+        """The end of each shard; within the capacity, each takes its part of what is left as nearly as it can.
+
+        From the prefix sum `barrier` on there are `alone` large groups, which count as a shard each.
+        """
         capacity, at, out = self.capacity(shards), 0, []
+        barrier = self.total if barrier is None else barrier
         for left in range(shards, 0, -1):
-            goal = at + min(capacity, (self.total - at) / left)
+            part = (barrier - at) / max(1, left - alone) if at < barrier else (self.total - at) / left
+            goal = at + min(capacity, part)
             first = self.exact(self.floor, int(goal))
             choice = sorted({first, self.exact(self.next, max(first, at))}, key=lambda e: abs(e - goal))
             full = max(self.exact(self.floor, at + capacity), at) if at < self.total else at
@@ -127,13 +132,22 @@ def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col
     """Per row of docs: its id, size, text_crc32, shard (0 to shards - 1) and slot in the shard (gapless from 0).
 
     Size: UTF-8 bytes plus 8; the sizes of the shards are as near equal as whole groups of equal texts allow. Rows are
-    put in order of (hash of the text, id) by a range partition; tasks add up their own rows, and one sum a task gives
+    put in order of (hash of the text, id) by a range partition, groups above their share at the end; tasks add up their own rows, and one sum a task gives
     the prefix sums. The driver sees a bounded summary of them. Null texts have no bytes, each id a group of its own;
     repeated rows are kept; an empty table gives no rows; fewer groups than shards leave shards empty.
     """
     key = F.coalesce(text_key(text_col), F.md5(F.concat(F.lit("null:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")))
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = stash(docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("crc"), key.alias("key")))
+    # Groups larger than their share come last, so that the others divide evenly.
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    large, left = [], total
+    for k, n in rows.groupBy("key").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "key").limit(shards - 1).collect():
+        if n * (shards - len(large)) <= left:
+            break
+        large.append(k)
+        left -= n
+    rows = rows.withColumn("key", F.when(F.col("key").isin(large), F.concat(F.lit("~"), "key")).otherwise(F.col("key")))
 
     def running(frames):
         task, n, end = TaskContext.get().partitionId(), 0, 0
@@ -150,7 +164,7 @@ def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col
     offsets = spark.createDataFrame(base, "task int, rank0 long, end0 long") if len(base) else spark.createDataFrame([], "task int, rank0 long, end0 long")
     placed = placed.join(F.broadcast(offsets), "task").select("id", "size", "crc", "key", (F.col("rank") + F.col("rank0")).alias("rank"), (F.col("end") + F.col("end0")).alias("end"))
     ends = stash(placed.groupBy("key").agg(F.max("end").alias("end"), (F.max("rank") + 1).alias("rows")).select("end", "rows"))
-    cuts = Prefixes(ends).cuts(shards)
+    cuts = Prefixes(ends).cuts(shards, len(large), left)
     rank_at = {0: 0} | {r.end: r.rows for r in ends.where(F.col("end").isin(cuts)).collect()}
     number = F.lit(0)
     for c in cuts[:-1]:
