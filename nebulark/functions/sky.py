@@ -171,9 +171,3 @@ def tukey(i: Column | str, n: int, alpha: float = 0.5) -> Column:
 def cosine_bell(i: Column | str, n: int) -> Column:
     return F.sin(pi * col(i) / max(n - 1, 1))
 
-
-def reflect(i: Column, n: int) -> Column:
-    """An index mirrored at the edges, without repeating them."""
-    period = max(2 * (n - 1), 1)
-    k = F.pmod(i, F.lit(period))
-    return F.when(k < n, k).otherwise(period - k)

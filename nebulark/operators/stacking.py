@@ -114,3 +114,17 @@ def drizzle(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: f
     overlap = (F.least(F.col("y1"), F.col("oy") + 1) - F.greatest(F.col("y0"), F.col("oy"))) * (F.least(F.col("x1"), F.col("ox") + 1) - F.greatest(F.col("x0"), F.col("ox")))
     hit = cells.withColumn("w", overlap).where("w > 1e-12 AND oy >= 0 AND ox >= 0")
     return hit.groupBy(F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.avg("v").alias("value"), F.sum("w").alias("weight"), F.count("*").alias("n"))
+
+
+def median_clip(stack: DataFrame, pixel: list[str], low: float = 2.5, high: float = 3.0, passes: int = 5, v: str = "v") -> DataFrame:
+    """Per pixel result, rejected and n: like sigma_clip, but every pass is about the upper median with 1.4826 times the
+    upper median deviation, limits are exclusive, and a pixel stops below three samples or without any deviation."""
+    own = Window.partitionBy(*pixel)
+    rows = stack.where(F.col(v).isNotNull()).select(*pixel, F.col(v).cast("double").alias("v")).withColumn("total", F.count("*").over(own))
+    middle = lambda x: F.element_at(F.array_sort(F.collect_list(x).over(own)), (F.size(F.collect_list(x).over(own)) / 2).cast("int") + 1)
+    for _ in range(passes):
+        rows = rows.withColumn("n", F.count("*").over(own)).withColumn("m", middle(F.col("v")))
+        rows = rows.withColumn("s", middle(F.abs(F.col("v") - F.col("m"))) * MAD_SIGMA)
+        off = F.col("v") - F.col("m")
+        rows = rows.where((F.col("n") < 3) | (F.col("s") < 1e-10) | ((off > -low * F.col("s")) & (off < high * F.col("s")))).drop("n", "m", "s")
+    return rows.groupBy(*pixel).agg(F.avg("v").alias("result"), (F.first("total") - F.count("*")).alias("rejected"), F.first("total").alias("n"))

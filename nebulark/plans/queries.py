@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nebulark.functions import color, headers, sky, stretch
 from nebulark.functions.validity import finite, valid
-from nebulark.operators import background, cubes, spatial, stacking, stars, stats
+from nebulark.operators import background, cubes, frames, spatial, stacking, stars, stats
 from nebulark.plans import views
 from nebulark.plans.views import using
 
@@ -539,3 +539,77 @@ def background_poly(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def tile_background(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(background.tile_background(views.img(spark, sf), [], 32), "background", "sigma")
+
+
+def median_clip_sql(low: float, high: float, passes: int) -> str:
+    out = "r0 AS (SELECT pixel, v, count(*) OVER w AS total FROM stack WINDOW w AS (PARTITION BY pixel))"
+    for k in range(passes):
+        out += f""", m{k} AS (SELECT pixel, v, total, count(*) OVER w AS n, list_sort(list(v) OVER w)[count(*) OVER w // 2 + 1] AS m FROM r{k} WINDOW w AS (PARTITION BY pixel)),
+d{k} AS (SELECT pixel, v, total, n, m, list_sort(list(abs(v - m)) OVER w)[count(*) OVER w // 2 + 1] * 1.4826 AS s FROM m{k} WINDOW w AS (PARTITION BY pixel)),
+r{k + 1} AS (SELECT pixel, v, total FROM d{k} WHERE n < 3 OR s < 1e-10 OR (v - m > {-low} * s AND v - m < {high} * s))"""
+    return out + f" SELECT pixel, round(avg(v), 6) AS result, any_value(total) - count(*) AS rejected, any_value(total) AS n FROM r{passes} GROUP BY pixel"
+
+
+@query(f"{using('stack')}, {median_clip_sql(1.2, 1.5, 3)}")
+def batch_sigma_stack_rejections(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stacking.median_clip(views.stack(spark, sf), ["pixel"], 1.2, 1.5, 3), "result")
+
+
+@query(f"{using('rgb')} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(0.2126 * r + 0.7152 * g + 0.0722 * b, 6) AS luminance, round((r + g + b) / 3, 6) AS mean, round(least(greatest(r * CASE WHEN 0.2126 * r + 0.7152 * g + 0.0722 * b <= 1e-10 THEN 1 ELSE 0.5 / (0.2126 * r + 0.7152 * g + 0.0722 * b) END, 0), 1), 6) AS scaled FROM rgb")
+def luminance_synth(spark: SparkSession, sf: str) -> DataFrame:
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    out = views.rgb(spark, sf).withColumns({"luminance": color.luminance(r, g, b), "mean": (r + g + b) / 3, "scaled": color.luminance_scaled(r, F.lit(0.5), r, g, b)})
+    return rounded(out.drop("r", "g", "b"), "luminance", "mean", "scaled")
+
+
+CUBE_STATS = ORACLE["cube_global_stats"].split("SELECT round(any_value", 1)[0]
+
+
+@query(CUBE_STATS + """, t AS (SELECT any_value(med) AS med, any_value(low) AS low, any_value(high) AS high, list_sort(list(abs(v - med)))[count(*) // 2 + 1] * 1.4826 AS sigma FROM cube, m WHERE v <> 0)
+SELECT z, y, x, round(asinh(10 * (greatest(low, least(high, v)) - med) / greatest(sigma, 1e-10)), 6) + 0.0 AS v FROM cube, t WHERE z % 3 = 0""")
+def cube_frame_asinh(spark: SparkSession, sf: str) -> DataFrame:
+    v = views.cube(spark, sf)
+    return rounded(cubes.asinh_frames(cubes.sampled_frames(v, 3), cubes.global_stats(v)).drop("cube"), "v")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def excluded_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    files = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"))
+    gone = views.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"))
+    return frames.without(files, gone, "k").select("id")
+
+
+@query("""WITH r AS (SELECT p_brand AS brand, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT brand, id, CASE WHEN k = 1 THEN 'R' WHEN k = n THEN 'B' WHEN n >= 3 AND k = n // 2 + 1 THEN 'G' END AS channel FROM r""")
+def channels_by_wavelength(spark: SparkSession, sf: str) -> DataFrame:
+    files = views.table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"))
+    return frames.channels_by_wavelength(files, ["brand"], "id")
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS total, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS failed, round(sum(o_totalprice), 2) AS bytes, round(100 * sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / count(*), 6) AS percent FROM orders GROUP BY 1")
+def file_progress(spark: SparkSession, sf: str) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "failed")
+    files = views.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("priority"), state.alias("state"), F.col("o_totalprice").alias("size"))
+    return rounded(rounded(frames.progress(files, "state", "size", "priority"), "percent"), "bytes", to=2)
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_type), 'econ')")
+def file_search(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.matching(views.table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "BOLT", "p_name").unionByName(
+        frames.matching(views.table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "econ", "p_type")
+    ).distinct()
+
+
+@query("SELECT event_id AS id, CASE WHEN k < 10 THEN k ELSE 18 - k END AS reflected FROM (SELECT event_id, (event_id - 25) % 18 + CASE WHEN (event_id - 25) % 18 < 0 THEN 18 ELSE 0 END AS k FROM events)")
+def reflect_index(spark: SparkSession, sf: str) -> DataFrame:
+    return views.table(spark, sf, "events").select(F.col("event_id").alias("id"), frames.reflected(F.col("event_id") - 25, 10).alias("reflected"))
+
+
+CARDS = ("'M 42    '           / target", "   30.0 / seconds", "T", "'it''s'", "-1.5E+02", "'  padded  '")
+
+
+@query("WITH c AS (SELECT p_partkey AS id, [" + ", ".join("'" + c.replace("'", "''") + "'" for c in CARDS) + r"""][p_partkey % 6 + 1] AS raw FROM part), t AS (SELECT id, raw, trim(raw) AS r FROM c)
+SELECT id, raw, CASE WHEN starts_with(r, '''') THEN rtrim(regexp_extract(r, '^''([^'']*)', 1)) ELSE trim(regexp_extract(r, '^([^/]*)', 1)) END AS value FROM t""")
+def header_card_value(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, CARDS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return views.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), raw.alias("raw")).withColumn("value", headers.card_value("raw"))
