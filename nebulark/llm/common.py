@@ -26,11 +26,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
+#: Bytes of a batch that goes to a Python worker, while a table is written.
+BATCH_BYTES = "8m"
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path, key = df.sparkSession, scratch(df.sparkSession), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,12 @@ from nebulark.llm.substrings import Names, U, mix, window_prints
 BANDS, ROWS = 32, 5
 #: Pairs are verified if at least this part of the components agrees, nearly 5 standard deviations below 0.8.
 HOPE = 0.65
+#: Nodes of a bucket up to which all of its components are compared node by node.
+SMALL = 32
+#: Nodes of a block of a larger bucket, about, and shingles of which their counts are compared at a time.
+BLOCK, COLUMNS = 256, 4096
+#: Bytes of text that a task turns into shingles at a time; some 40 bytes of arrays stand for each.
+TEXT_BYTES = 2 << 20
 #: Rows of a table of two ids that are broadcast, about 3 MB; beyond that joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -90,7 +97,7 @@ def signature_table(texts: DataFrame, shingle: int) -> DataFrame:
 
     def scan(batches):
         names = Names()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, TEXT_BYTES):
             data = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             doc, prints, weight = shingles(data, shingle, names)
             some = np.unique(doc)
@@ -131,7 +138,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
     def compare(batches):
         names = Names()
-        for batch in slices(batches, 3, 1 << 22):
+        for batch in slices(batches, 3, TEXT_BYTES // 2):
             a, b = ([t or b"" for t in batch.column(k).cast(pa.binary()).to_pylist()] for k in (2, 3))
             doc, prints, weight = shingles(a + b, shingle, names)
             pair = doc % len(a)
@@ -146,6 +153,59 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def linked_blocks(members: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Links (a, b) between nodes of different components in large buckets. members: key, node, root.
+
+    Buckets that share nodes form a cluster; its largest component and the rest are dealt into blocks of nodes by hash.
+    Every block of the rest meets every other block once, in a task of its own that holds two blocks of texts and
+    compares them exactly, so nothing is a row for a pair of nodes; blocks of the largest component needn't meet.
+    A task returns one link for each two components that it joins.
+    """
+    lead = members.groupBy("key").agg(F.min("node").alias("a"))
+    edges = members.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    own = members.select("node", "root").distinct().join(components(edges).withColumnRenamed("root", "cluster"), "node")
+    sizes = own.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    own = stash(own.join(main, "cluster").withColumns({"inner": F.col("root") == F.col("main"), "bi": F.ceil(F.col("n_main") / BLOCK), "bo": F.ceil((F.col("n") - F.col("n_main")) / BLOCK)}))
+    # Blocks are numbered 0 to bo - 1 for the rest, bo and up for the largest component.
+    block = F.when(F.col("inner"), F.col("bo") + F.pmod(F.xxhash64("node"), F.col("bi"))).otherwise(F.pmod(F.xxhash64("node"), F.greatest(F.col("bo"), F.lit(1))))
+    own = own.where("bo > 0").withColumn("block", block)
+    partners = F.when(F.col("inner"), F.sequence(F.lit(0), F.col("bo") - 1)).otherwise(F.sequence(F.lit(0), F.col("bo") + F.col("bi") - 1))
+    dealt = own.select("cluster", "node", "root", "block", F.explode(partners).alias("other"))
+    dealt = dealt.select("cluster", "node", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    few = own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    involved = texts.join(F.broadcast(own.select("node")) if few else own.select("node"), "node", "left_semi")
+    shipped = stash(involved).join(dealt, "node").select("cluster", "x", "y", "block", "node", "root", "text")
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        roots, nodes, first = frame["root"].to_numpy(), frame["node"].to_numpy(), (frame["block"] == frame["x"]).to_numpy()
+        doc, prints, weight = shingles([t.encode() for t in frame["text"]], shingle, Names())
+        total = np.bincount(doc, weight, len(frame))
+        # The k-th repeat of a shingle is a column of its own, so that common ones add up to multiset overlap.
+        doc, prints = np.repeat(doc, weight), np.repeat(prints, weight)
+        prints = prints ^ mix((np.arange(len(doc)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(U) + U(1 << 34))
+        _, column, n = np.unique(prints, return_inverse=True, return_counts=True)
+        doc, column = doc[n[column] > 1], column[n[column] > 1]
+        _, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        doc, column = doc[order], column[order]
+        common = np.zeros((len(frame), len(frame)), np.float32)
+        for c in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            s, e = np.searchsorted(column, (c, c + COLUMNS))
+            part = np.zeros((len(frame), COLUMNS), np.float32)
+            part[doc[s:e], column[s:e] - c] = 1
+            common += part @ part.T
+        similar = common >= threshold * (total[:, None] + total[None, :] - common) - 1e-6
+        side = np.ones_like(similar) if (frame["x"] == frame["y"]).all() else first[:, None] != first[None, :]
+        a, b = np.nonzero(np.triu(similar & side & (roots[:, None] != roots[None, :]) & (total > 0)[:, None], 1))
+        exact = common[a, b] / (total[a] + total[b] - common[a, b]) >= threshold
+        links = pd.DataFrame({"a": nodes[a[exact]], "b": nodes[b[exact]], "p": np.minimum(roots[a], roots[b])[exact], "q": np.maximum(roots[a], roots[b])[exact]})
+        return links.drop_duplicates(["p", "q"])[["a", "b"]]
+
+    found = shipped.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for all nodes of edges (a, b).
 
@@ -173,9 +233,10 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col
 
     Classes are the connected parts under verified similarity of at least `threshold`. Equal texts go on as one node.
     Each node is first compared with the least node of each of its buckets, and one such pair verified, the most
-    hopeful; that joins even a large group of near copies with one pair a node. Buckets that then still hold nodes of
-    several components are compared in full, all nodes but those of the bucket's largest component with all of other
-    components, so no pair that shares a band is lost. Rows that share an id share a class. Null ids have no
+    hopeful; that joins even a large group of near copies with one pair a node. In buckets that then still hold several
+    components, all nodes but those of the bucket's largest one are compared with all of other components: pair by pair
+    in buckets of up to SMALL nodes, in blocks of texts beyond that (see linked_blocks). So no link that shows in a
+    band is lost. Rows that share an id share a class. Null ids have no
     class; null texts are classes of their own; texts without words are near only to equal ones; an empty table gives no
     rows.
     """
@@ -199,10 +260,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col
     sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     outside = mixed.join(largest, "key").where("root <> largest").select("key", F.col("node").alias("p"), F.col("root").alias("pr"))
-    # Of two nodes outside the largest component each meets the other; the smaller one's meeting is enough.
-    met = mixed.join(largest, "key").join(outside, "key").where("root <> pr AND (root = largest OR p < node)")
+    # In a small bucket all nodes outside the largest component meet those of others; of two outside, once is enough.
+    small = sizes.groupBy("key").agg((F.sum("n") <= SMALL).alias("small"))
+    met = mixed.join(largest, "key").join(outside.join(small.where("small"), "key"), "key").where("root <> pr AND (root = largest OR p < node)")
     pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = stash(verify(stash(hopeful(pairs, sigs).select("a", "b")), texts, shingle).where(F.col("similarity") >= threshold).select("a", "b").distinct())
+    more = verify(stash(hopeful(pairs, sigs).select("a", "b")), texts, shingle).where(F.col("similarity") >= threshold).select("a", "b")
+    large = stash(mixed.join(small.where("NOT small"), "key").select("key", "node", "root"))
+    if not large.isEmpty():
+        more = more.unionAll(linked_blocks(large, texts, threshold, shingle))
+    more = stash(more.distinct())
     if not more.isEmpty():
         roots = components(near.select("a", "b").unionAll(more))
     out = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -4,7 +4,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from nebulark.llm import neardup
 from nebulark.llm.neardup import classes, one_of_each, shingles, signatures
 from nebulark.llm.substrings import Names
 from tests.conftest import SMALL
@@ -56,8 +58,10 @@ def test_driver_table(spark):
     assert {r.doc_id: r.class_id for r in classes(df).collect()} == expected(rows)
 
 
-def test_large_groups(spark):
+@pytest.mark.parametrize("block", [256, 20])
+def test_large_groups(spark, monkeypatch, block):
     """A dense group of near copies, and documents that share a passage with it without being near."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(2)
     words = [f"v{i}" for i in range(500)]
     base = [rng.choice(words) for _ in range(120)]
