@@ -159,7 +159,8 @@ def dedup(docs: DataFrame, size: int = 50, *, id_col: str = "doc_id", text_col:
 
     found = stash(texts.mapInArrow(scan, "doc long, row int, name long, span long, at int, before int, after int"))
     names = found.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"))
-    names = names.where("least < most").select("name", "least", (F.col("a") != F.col("b")).alias("several"))
+    # Written, so that the join below starts from two plain exchanges and Spark can split a name that many texts have.
+    names = stash(names.where("least < most").select("name", "least", (F.col("a") != F.col("b")).alias("several")))
     shared = stash(found.join(names, "name").where("several OR doc > least"))
     several = shared.where("several")
     leaders = stash(several.groupBy("name", "span").agg(F.min(F.struct("doc", "row", "at", "before", "after")).alias("x"), F.min("least").alias("least")).select("name", "span", "least", "x.*"))
