@@ -45,7 +45,8 @@ def mandatory(pattern: str) -> list[set[str]]:
 
     def close(exact: set[str]) -> set[str]:
         if min(map(len, exact)) >= 3:
-            found.append({x.lower() for x in exact})
+            low = {x.lower() for x in exact}
+            found.append({x for x in low if not any(y in x and y != x for y in low)})  # the others have one of these in them
         return {""}
 
     def strings(items) -> set[str] | None:
