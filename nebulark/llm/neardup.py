@@ -28,7 +28,7 @@ SMALL = 32
 #: Nodes of a block of a larger bucket, about, and shingles of which their counts are compared at a time.
 BLOCK, COLUMNS = 256, 4096
 #: Bytes of text that a task turns into shingles at a time; some 40 bytes of arrays stand for each.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Rows of a table of two ids that are broadcast, about 3 MB; beyond that joins shuffle.
 BROADCAST_ROWS = 200_000
 
