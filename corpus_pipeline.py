@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nebulark.llm.common import documents, stash
+from nebulark.llm.common import documents, stash, text_key
 from nebulark.llm.decontaminate import contamination
 from nebulark.llm.language import identify
 from nebulark.llm.mixing import mixed_copies
@@ -17,12 +17,24 @@ from nebulark.llm.sharding import shard
 
 #: Mean characters of a phrase below which no learned language explains a text; texts in one have about six.
 LEAST_PHRASE = 2.0
+#: Keys of texts that are broadcast, about 3 MB; beyond that a join shuffles.
+BROADCAST_KEYS = 50_000
+
+
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs without the texts of bad, by their keys; null is a text. What is decided by text alone needs no more.
+
+    The keys are written first, so that texts go to Python in batches of a bounded size and aren't written again.
+    """
+    keys = stash(bad.select(text_key().alias("__key")).distinct())
+    few = keys.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(keys) if few else keys, text_key().eqNullSafe(F.col("__key")), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letter or that no learned language explains."""
-    found = identify(docs, docs.where(F.col("lang").isNotNull()))
-    return found.where((F.col("lang_pred") != "und") & (F.col("phrase_chars") >= LEAST_PHRASE)).select(*docs.columns)
+    found = identify(docs.select("doc_id", "text"), docs.where(F.col("lang").isNotNull()))
+    return without(docs, found.where((F.col("lang_pred") == "und") | (F.col("phrase_chars") < LEAST_PHRASE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents in which a window of a benchmark item occurs."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    found = contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.where(F.size("spans") > 0))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
