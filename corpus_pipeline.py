@@ -15,8 +15,6 @@ from nebulark.llm.mixing import mixed_copies
 from nebulark.llm.neardup import one_of_each
 from nebulark.llm.sharding import shard
 
-#: Mean characters of a phrase below which no learned language explains a text; texts in one have about six.
-LEAST_PHRASE = 2.0
 #: Keys of texts that are broadcast, about 3 MB; beyond that a join shuffles.
 BROADCAST_KEYS = 50_000
 
@@ -34,7 +32,7 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letter or that no learned language explains."""
     found = identify(docs.select("doc_id", "text"), docs.where(F.col("lang").isNotNull()))
-    return without(docs, found.where((F.col("lang_pred") == "und") | (F.col("phrase_chars") < LEAST_PHRASE)))
+    return without(docs, found.where(~F.col("explained")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

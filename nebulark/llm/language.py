@@ -6,6 +6,8 @@ the longest phrases that the automaton knows; the language that needs the fewest
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,10 +18,12 @@ from nebulark.llm.common import kinds, slices
 #: Characters of labelled text in each language's automaton, labelled documents and characters of each to take them
 #: from: together they bound what is fitted and broadcast.
 SAMPLE_CHARS, SAMPLE_DOCS, DOC_CHARS = 40_000, 400, 400
-#: Languages with most labelled documents that can be learned.
-MAX_LANGUAGES = 64
-#: Symbols that the automata tell apart; other characters share one.
-MAX_SYMBOLS = 120
+#: Bytes of all dense transition tables; letters of a language that don't fit its share are looked up in sorted transitions.
+DENSE_BYTES = 256 << 20
+#: Labelled texts of a language, other than those in its automaton, that set its threshold; characters that a text needs to be judged.
+HELD_DOCS, SHORT_CHARS = 100, 20
+#: Highest threshold, in mean characters of a phrase; in languages of an alphabet, texts have about six.
+LEAST_PHRASE = 2.0
 #: Characters after which the parse starts anew, so that long texts are parsed in pieces side by side.
 PIECE = 1024
 
@@ -58,30 +62,86 @@ def normal(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
+@cache
+def characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point, whether it is a letter and its lower case (its own, where that is several characters: none is learned)."""
+    every = list(map(chr, range(0x110000)))
+    return np.array([c.isalpha() for c in every]), np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in every], np.int32)
+
+
 def fit(rows: list[tuple[str, list[str]]]) -> dict:
-    """The model of (language, sample texts): a symbol for each code point, a dense transition table for each language.
+    """The model of (language, sample texts): a symbol for each letter that any sample has, transitions for each language.
 
-    Symbol 0: letters that the samples lack; 1: all that isn't a letter.
+    Symbol 0: letters that no sample has; 1: all that isn't a letter. A language has a column for each of its most frequent
+    symbols: 0 for what it lacks, 1 for its other symbols, whose transitions are sorted by state and symbol.
     """
     texts = {lang: "\n".join(filter(None, map(normal, sample)))[:SAMPLE_CHARS] for lang, sample in rows}
     texts = {lang: x for lang, x in sorted(texts.items()) if x}
-    count: dict[str, int] = {}
-    for x in texts.values():
-        for ch in x:
-            if ch.isalpha():
-                count[ch] = count.get(ch, 0) + 1
-    known = {c: k + 2 for k, c in enumerate(sorted(count, key=lambda c: (-count[c], c))[:MAX_SYMBOLS])} | {" ": 1}
-    symbol = np.fromiter((known.get(c.lower(), 0) if c.isalpha() else 1 for c in map(chr, range(0x110000))), np.uint8, 0x110000)
-    tables = []
-    for x in texts.values():
-        edges = automaton(x)
-        table = np.full((len(edges), len(known) + 1), -1, np.int32)
-        for state, to in enumerate(edges):
-            for ch, q in to.items():
-                if ch in known:
-                    table[state, known[ch]] = q
-        tables.append(table)
-    return {"langs": list(texts), "symbol": symbol, "tables": tables}
+    letters = sorted({ch for x in texts.values() for ch in x if ch.isalpha()})
+    known = {c: k + 2 for k, c in enumerate(letters)} | {" ": 1}
+    kind = np.uint8 if len(known) < 255 else np.uint16 if len(known) < 65_535 else np.uint32
+    of = np.zeros(0x110000, kind)
+    of[[ord(c) for c in letters]] = [known[c] for c in letters]
+    alpha, lower = characters()
+    symbol = np.where(alpha, of[lower], kind(1))
+    tables = [transitions(x, known, DENSE_BYTES // len(texts)) for x in texts.values()]
+    return {"langs": list(texts), "symbol": symbol, "tables": tables, "least": np.array([0.0] * len(texts))}
+
+
+def transitions(text: str, known: dict[str, int], most: int) -> dict:
+    """The automaton of text: column of each symbol, table of the columns, and sorted keys and targets of the other symbols."""
+    edges, size, count = automaton(text), len(known) + 1, {}
+    for ch in text:
+        if ch in known:
+            count[ch] = count.get(ch, 0) + 1
+    frequent = sorted(count, key=lambda c: (-count[c], c))[: max(1, most // (4 * len(edges)) - 2)]
+    column, first = np.zeros(size, np.int32), np.full(size, -1, np.int32)
+    for ch in count:
+        column[known[ch]] = 1
+        first[known[ch]] = edges[0][ch]
+    for k, ch in enumerate(frequent):
+        column[known[ch]] = k + 2
+    table, rare = np.full((len(edges), len(frequent) + 2), -1, np.int32), []
+    for state, to in enumerate(edges):
+        for ch, q in to.items():
+            if ch in known:
+                if (c := column[known[ch]]) > 1:
+                    table[state, c] = q
+                else:
+                    rare.append((state * size + known[ch], q))
+    rare = np.array(sorted(rare), np.int64).reshape(-1, 2)
+    return {"column": column, "first": first, "table": table, "keys": rare[:, 0].copy(), "to": rare[:, 1].astype(np.int32)}
+
+
+def with_thresholds(model: dict, held: list[tuple[str, list[str]]]) -> dict:
+    """The model with the mean phrase below which it explains no text, for each language.
+
+    It lies halfway between 1, what noise has, and what 95 % of the language's held-out texts exceed, LEAST_PHRASE at most;
+    without held-out texts it is 0.
+    """
+    held, least = dict(held), []
+    for k, lang in enumerate(model["langs"]):
+        total, lengths = phrases(model, held.get(lang, []))
+        judged = lengths >= SHORT_CHARS
+        least.append(min(LEAST_PHRASE, 0.5 + np.quantile(lengths[judged] / total[judged, k], 0.05) / 2) if judged.any() else 0.0)
+    return model | {"least": np.array(least)}
+
+
+def parts(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Sample texts for the automaton, and those held out: what its characters leave over, else each fifth."""
+    sizes = np.cumsum([len(normal(x)) + 1 for x in texts])
+    used = int(np.searchsorted(sizes, SAMPLE_CHARS)) + 1
+    return (texts[:used], texts[used : used + HELD_DOCS]) if used < len(texts) else ([x for k, x in enumerate(texts) if k % 5 != 4], texts[4::5][:HELD_DOCS])
+
+
+def learned(rows: list[tuple[str, list[str]]]) -> dict:
+    """The model of all samples, with thresholds from models that haven't seen the texts held out."""
+    model, least = fit(rows), {}
+    for lang, texts in rows:
+        seen, held = parts(texts)
+        one = with_thresholds(fit([(lang, seen)]), [(lang, held)])
+        least |= dict(zip(one["langs"], one["least"]))
+    return model | {"least": np.array([least.get(lang, 0.0) for lang in model["langs"]])}
 
 
 def symbols(model: dict, text: str) -> np.ndarray:
@@ -103,20 +163,27 @@ def phrases(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doc = np.array([d for d, _ in pieces])
     size = np.array([min(PIECE, len(codes[d]) - s) for d, s in pieces])
     order = np.argsort(-size, kind="stable")
-    grid = np.zeros((int(size.max()), len(pieces)), np.uint8)
+    grid = np.zeros((int(size.max()), len(pieces)), model["symbol"].dtype)
     for col, k in enumerate(order.tolist()):
         d, s = pieces[k]
         grid[: size[k], col] = codes[d][s : s + PIECE]
     live = np.searchsorted(-size[order], -np.arange(len(grid)), side="left")  # pieces longer than t
-    for k, table in enumerate(model["tables"]):
-        width, flat = table.shape[1], table.ravel()
+    for k, of in enumerate(model["tables"]):
+        width, flat, first, keys = of["table"].shape[1], of["table"].ravel(), of["first"], of["keys"]
+        columns = of["column"][grid]
         state, made = np.zeros(len(pieces), np.int32), np.ones(len(pieces), np.int64)
         for t in range(len(grid)):
             n = int(live[t])
-            to = flat[state[:n] * width + grid[t, :n]]
+            to = flat[state[:n].astype(np.int64) * width + columns[t, :n]]
             end = np.flatnonzero(to < 0)
+            if len(end) and len(keys):
+                rare = end[columns[t, end] == 1]
+                key = state[rare].astype(np.int64) * len(first) + grid[t, rare]
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                to[rare] = np.where(keys[at] == key, of["to"][at], -1)
+                end = end[to[end] < 0]
             if len(end):
-                again = flat[grid[t, end]]  # a phrase ends here, the next starts at this character
+                again = first[grid[t, end]]  # a phrase ends here, the next starts at this character
                 made[end] += state[end] > 0
                 made[end[again < 0]] += t + 1 < size[order[end[again < 0]]]
                 to[end] = np.maximum(again, 0)
@@ -128,8 +195,7 @@ def phrases(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def labelled_sample(labelled: DataFrame, text_col: str, lang_col: str, key: str) -> list[tuple[str, list[str]]]:
     """Of each language the documents with the smallest hashes, as many as SAMPLE_DOCS; each of them cut to DOC_CHARS."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    langs = [r[0] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()]
-    ranked = rows.where(F.col(lang_col).isin(langs)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("h"), F.substring(F.trim(text_col), 1, DOC_CHARS).alias("x"))
+    ranked = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("h"), F.substring(F.trim(text_col), 1, DOC_CHARS).alias("x"))
     first = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "x"))).where(F.col("rn") <= SAMPLE_DOCS)
     sample: dict[str, list[tuple[int, str]]] = {}
     for r in first.collect():
@@ -138,18 +204,19 @@ def labelled_sample(labelled: DataFrame, text_col: str, lang_col: str, key: str)
 
 
 def identify(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id") -> DataFrame:
-    """docs with lang_pred, score (0 to 1) and phrase_chars (mean characters of a phrase), found from the whole text alone.
+    """docs with lang_pred, score (0 to 1), phrase_chars (mean characters of a phrase) and explained, found from the whole text alone.
 
     `und`, score 0, for texts that are null or have no letter, and for all where nothing is labelled. Ties go to the
     language first in code point order. Score: 1 - best / second best number of phrases, 1 if only one is learned.
+    explained: whether phrases are as long as the predicted language's threshold, or the text too short to judge.
     No shuffle beyond the bounded sample; columns of docs stay, those named as the result are replaced.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(labelled, text_col, lang_col, key)))
-    made = ["lang_pred", "score", "phrase_chars"]
+    model = docs.sparkSession.sparkContext.broadcast(learned(labelled_sample(labelled, text_col, lang_col, key)))
+    made = ["lang_pred", "score", "phrase_chars", "explained"]
     keep = [c for c in docs.columns if c not in made]
 
     def scan(batches):
-        langs = np.array([*model.value["langs"], "und"], object)
+        langs, least = np.array([*model.value["langs"], "und"], object), np.append(model.value["least"], np.inf)
         for batch in slices(batches, keep.index(text_col)):
             texts = [x or "" for x in batch.column(keep.index(text_col)).to_pylist()]
             total, lengths = phrases(model.value, texts)
@@ -160,6 +227,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", la
                 two = np.sort(total[some], axis=1)[:, :2]
                 score[some] = 1 - two[:, 0] / two[:, 1] if two.shape[1] > 1 else 1.0
                 mean[some] = lengths[some] / two[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs[best], pa.string()), pa.array(score), pa.array(mean)], names=[*keep, *made])
+            explained = some & ((mean >= least[best]) | (lengths < SHORT_CHARS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs[best], pa.string()), pa.array(score), pa.array(mean), pa.array(explained)], names=[*keep, *made])
 
-    return docs.select(*keep).mapInArrow(scan, f"{kinds(docs, keep)}, lang_pred string, score double, phrase_chars double")
+    return docs.select(*keep).mapInArrow(scan, f"{kinds(docs, keep)}, lang_pred string, score double, phrase_chars double, explained boolean")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline
 from nebulark.llm import language
 from nebulark.llm.queries import op5_language_id
 from tests.conftest import SMALL
@@ -62,3 +63,32 @@ def test_awkward_rows(spark):
     assert all(r.lang_pred in ("en", "fr") for r in got if any(c.isalpha() for c in r.text or ""))
     assert {r.lang_pred for r in language.identify(df, odd.empty(spark)).collect()} == {"und"}
     assert language.identify(odd.empty(spark), df).count() == 0
+
+
+def scripts(n, seed=3):
+    """Labelled texts of ideographs, and of many languages with alphabets of their own."""
+    rng = random.Random(seed)
+    han = [chr(0x4E00 + k) for k in range(2400)]
+    ranks = [1 / (k + 1) for k in range(1200)]
+    rows = [(f"han{k}", "".join(rng.choices(han[k * 1200 : (k + 1) * 1200], ranks, k=300))) for k in range(2) for _ in range(n)]
+    starts = [0x61, 0x3B1, 0x430, 0x561, 0x5D0, 0x10D0, 0x905, 0x995]
+    for k in range(70):
+        letters = rng.sample([chr(starts[k % 8] + j) for j in range(20)], 9)
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(30)]
+        rows += [(f"x{k:02}", " ".join(rng.choices(words, k=50))) for _ in range(8)]
+    return rows
+
+
+def test_all_letters_and_languages(spark, monkeypatch):
+    rows = [(k, lang, text) for k, (lang, text) in enumerate(scripts(60))]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    alike = spark.createDataFrame([(9001, None, "\u4e00\u4e01"), (9002, None, "".join(chr(0xAC00 + k) for k in range(500)))], df.schema)
+    got = {}
+    for share in (language.DENSE_BYTES, 0):  # dense tables as far as they go, and hardly any
+        monkeypatch.setattr(language, "DENSE_BYTES", share)
+        got[share] = {r.doc_id: r for r in language.identify(df.union(alike), df).collect()}
+        assert np.mean([got[share][k].lang_pred == lang for k, lang, _ in rows]) > 0.99
+        assert all(got[share][k].explained for k, _, _ in rows) and got[share][9001].explained and not got[share][9002].explained
+    assert len({tuple(sorted((k, r.lang_pred, r.phrase_chars) for k, r in x.items())) for x in got.values()}) == 1
+    pipeline_kept = corpus_pipeline.language_id(spark, df, SMALL).count()
+    assert pipeline_kept == len(rows)
