@@ -24,7 +24,7 @@ DENSE_BYTES = 256 << 20
 HELD_DOCS, SHORT_CHARS = 100, 20
 #: Highest threshold, in mean characters of a phrase; in languages of an alphabet, texts have about six.
 LEAST_PHRASE = 2.0
-#: Characters after which the parse starts anew, so that long texts are parsed in pieces side by side.
+#: Characters of the pieces of a long text that are parsed side by side, before the parse is carried over their ends.
 PIECE = 1024
 
 
@@ -153,7 +153,12 @@ def symbols(model: dict, text: str) -> np.ndarray:
 
 
 def phrases(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases needed by each language for each text, and the texts' lengths; all pieces advance a character at a time."""
+    """Phrases that each language's parse of each whole text has, and the texts' lengths.
+
+    Texts are cut into pieces that advance side by side, a character at a time. A piece is first parsed as if a phrase
+    began at it; then those into which the piece before carries a phrase are parsed again from there, until that parse
+    meets the first one, and so on until no piece's entry changes. So the cuts leave no trace in the counts.
+    """
     codes = [symbols(model, x) for x in texts]
     lengths = np.array([len(c) for c in codes], np.int64)
     pieces = [(d, s) for d, c in enumerate(codes) for s in range(0, len(c), PIECE)]
@@ -163,35 +168,82 @@ def phrases(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doc = np.array([d for d, _ in pieces])
     size = np.array([min(PIECE, len(codes[d]) - s) for d, s in pieces])
     order = np.argsort(-size, kind="stable")
+    place = np.argsort(order, kind="stable")  # of a piece, its column in the grid
+    before = np.where(np.concatenate(([False], doc[1:] == doc[:-1])), np.concatenate(([0], place[:-1])), -1)[order]
     grid = np.zeros((int(size.max()), len(pieces)), model["symbol"].dtype)
     for col, k in enumerate(order.tolist()):
         d, s = pieces[k]
         grid[: size[k], col] = codes[d][s : s + PIECE]
-    live = np.searchsorted(-size[order], -np.arange(len(grid)), side="left")  # pieces longer than t
+    size, doc = size[order], doc[order]
+    long = np.flatnonzero(before >= 0)
     for k, of in enumerate(model["tables"]):
-        width, flat, first, keys = of["table"].shape[1], of["table"].ravel(), of["first"], of["keys"]
         columns = of["column"][grid]
-        state, made = np.zeros(len(pieces), np.int32), np.ones(len(pieces), np.int64)
-        for t in range(len(grid)):
-            n = int(live[t])
-            to = flat[state[:n].astype(np.int64) * width + columns[t, :n]]
-            end = np.flatnonzero(to < 0)
-            if len(end) and len(keys):
-                rare = end[columns[t, end] == 1]
-                key = state[rare].astype(np.int64) * len(first) + grid[t, rare]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                to[rare] = np.where(keys[at] == key, of["to"][at], -1)
-                end = end[to[end] < 0]
-            if len(end):
-                again = first[grid[t, end]]  # a phrase ends here, the next starts at this character
-                made[end] += state[end] > 0
-                made[end[again < 0]] += t + 1 < size[order[end[again < 0]]]
-                to[end] = np.maximum(again, 0)
-            state[:n] = to
-        np.add.at(total[:, k], doc[order], made)
+        entry = np.zeros(len(size), np.int32)
+        trace = np.zeros(grid.shape, np.int32) if len(long) else None
+        begun = np.zeros(grid.shape, np.int16) if len(long) else None
+        made, last = parse(of, grid, columns, size, trace, begun)
+        while len(late := long[last[before[long]] != entry[long]]):
+            entry[late] = last[before[late]]
+            reparse(of, grid, columns, size, late, entry[late], made, last, trace, begun)
+        np.add.at(total[:, k], doc, made)
     return total, lengths
 
 
+def advance(of: dict, state: np.ndarray, made: np.ndarray, zero: np.ndarray, cols: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States after a character, and which of them are 0, between phrases; adds up the phrases that begin, in place.
+
+    zero: which of the states are 0 before it.
+    """
+    made[zero] += 1
+    to = of["table"].ravel()[state * np.int64(of["table"].shape[1]) + cols]
+    end = np.flatnonzero(to < 0)
+    if len(end) and len(of["keys"]):
+        rare = end[cols[end] == 1]
+        key = state[rare].astype(np.int64) * len(of["first"]) + symbol[rare]
+        at = np.minimum(np.searchsorted(of["keys"], key), len(of["keys"]) - 1)
+        to[rare] = np.where(of["keys"][at] == key, of["to"][at], -1)
+        end = end[to[end] < 0]
+    made[end] += state[end] > 0  # a phrase ends here, the next begins at this character; in state 0 it is one of its own
+    again = of["first"][symbol[end]]
+    to[end] = np.maximum(again, 0)
+    return to, end[again < 0]
+
+
+def parse(of: dict, grid: np.ndarray, columns: np.ndarray, size: np.ndarray, trace: np.ndarray | None, begun: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that begin in each piece, longest first, where none is carried into it, and the state at its end.
+
+    trace and begun get the state and the number of phrases after each character.
+    """
+    state, made, zero = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32), np.arange(len(size))
+    for t, n in enumerate(np.searchsorted(-size, -np.arange(len(grid)), side="left").tolist()):  # n: pieces longer than t
+        state[:n], zero = advance(of, state[:n], made[:n], zero[zero < n], columns[t, :n], grid[t, :n])
+        if trace is not None:
+            trace[t, :n], begun[t, :n] = state[:n], made[:n]
+    return made.astype(np.int64), state
+
+
+def reparse(of: dict, grid: np.ndarray, columns: np.ndarray, size: np.ndarray, which: np.ndarray, state: np.ndarray, made: np.ndarray, last: np.ndarray, trace: np.ndarray, begun: np.ndarray) -> None:
+    """Parse the pieces of `which` again, entered in `state`, until the state is that of the parse before; mends its results."""
+    count, zero = np.zeros(len(which), np.int32), np.flatnonzero(state == 0)
+    for t in range(len(grid)):
+        state, zero = advance(of, state, count, zero, columns[t, which], grid[t, which])
+        met, over = trace[t, which] == state, size[which] == t + 1
+        by = count - begun[t, which]
+        trace[t, which], begun[t, which] = state, count
+        if met.any():  # from here on nothing but the counts differs
+            mended = met & (by != 0)
+            begun[t + 1 :, which[mended]] += by[mended].astype(np.int16)
+            made[which[met]] += by[met]
+        gone = over & ~met
+        made[which[gone]], last[which[gone]] = count[gone], state[gone]
+        if (go := ~(met | over)).all():
+            continue
+        which, state, count = which[go], state[go], count[go]
+        if not len(which):
+            return
+        zero = np.flatnonzero(state == 0)
+
+
 def labelled_sample(labelled: DataFrame, text_col: str, lang_col: str, key: str) -> list[tuple[str, list[str]]]:
     """Of each language the documents with the smallest hashes, as many as SAMPLE_DOCS; each of them cut to DOC_CHARS."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))

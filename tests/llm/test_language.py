@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from nebulark.llm import language
@@ -12,25 +13,25 @@ from tests.llm import odd
 
 
 def parse(sample, text):
-    """Phrases of the greedy parse of text into substrings of sample, piece by piece."""
+    """Phrases of the greedy parse of the whole text into substrings of sample."""
     n = 0
-    for s in range(0, len(text), language.PIECE):
-        piece = text[s : s + language.PIECE]
-        while piece:
-            k = 1
-            while k < len(piece) and piece[: k + 1] in sample:
-                k += 1
-            n, piece = n + 1, piece[k:]
+    while text:
+        k = 1
+        while k < len(text) and text[: k + 1] in sample:
+            k += 1
+        n, text = n + 1, text[k:]
     return n
 
 
-def test_phrases(monkeypatch):
-    monkeypatch.setattr(language, "PIECE", 17)
+@pytest.mark.parametrize("piece", [1, 3, 17, 1024])
+def test_phrases(monkeypatch, piece):
+    """Counts are those of the whole text, wherever it is cut."""
+    monkeypatch.setattr(language, "PIECE", piece)
     rng = random.Random(1)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
     samples = {"a": [" ".join(word("abcde") for _ in range(60)) for _ in range(3)], "b": [" ".join(word("defgé") for _ in range(60)) for _ in range(3)]}
     model = language.fit(list(samples.items()))
-    texts = [" ".join(word("abcdefgé") for _ in range(rng.randint(0, 40))) for _ in range(40)] + ["", "z", "!!", "É, d\n\ng 7"]
+    texts = [" ".join(word("abcdefgé") for _ in range(rng.randint(0, 40))) for _ in range(40)] + ["", "z", "!!", "É, d\n\ng 7", "zzzz zzz", samples["a"][0], samples["b"][1] * 3]
     total, _ = language.phrases(model, texts)
     for k, lang in enumerate(model["langs"]):
         joined = "\n".join(map(language.normal, samples[lang]))[: language.SAMPLE_CHARS]
