@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from nebulark.llm import queries
+from nebulark.llm import queries, vectors
 from nebulark.llm.mixing import mix, mixed_copies
 from nebulark.llm.secrets import RULES, mandatory, scan
 from nebulark.llm.vectors import top_k
@@ -73,15 +73,30 @@ def test_mandatory_strings():
     assert mandatory(RULES[1].pattern) == [{"akia"}] and mandatory(RULES[2].pattern) == []
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("components, first", [(2 << 20, 3), (20, 1)])
+def test_top_k(spark, monkeypatch, components, first):
+    """Also with several scans, and with one exact vector a result at first."""
+    monkeypatch.setattr(vectors, "QUERY_COMPONENTS", components)
+    monkeypatch.setattr(vectors, "FIRST", first)
     rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(450)] + [(500, [1.0] * 8), (501, [1.0] * 8), (700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (800, [1.0, 2.0]), (900, [1e6] * 8), (3, [9.0] * 8), (500, [1.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    ok = {(i, tuple(np.floor(np.array(v) * 1024).astype(int).tolist())) for i, v in rows if v and None not in v and np.isfinite(v).all()}
+    rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(450)] + [(500, [1.0] * 8), (501, [1.0] * 8), (700, None), (701, [1.0, None]), (702, [float("nan")] * 8), (800, [1.0, 2.0]), (900, [1e6] * 8), (3, [9.0] * 8), (500, [1.0] * 8), (1000, []), (1001, [])]
+    df = spark.createDataFrame([(*r, 1.0, "clash", None) for r in rows], "vec_id long, embedding array<double>, score double, v string, rank int")
+    assert sorted(map(tuple, top_k(df).collect())) == nearest(rows)
+    assert top_k(df.limit(0)).count() == 0
+
+
+def nearest(rows, k=10):
+    whole = lambda v: tuple(int(np.floor(np.clip(np.float64(x) * 1024, -(2.0**53), 2.0**53))) for x in v)
+    ok = {(i, whole(v)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()}
     want = []
     for q, a in ok:
         if q % 100 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))[:10]
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    assert sorted(map(tuple, top_k(df).collect())) == sorted(want)
-    assert top_k(df.limit(0)).count() == 0
+            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))[:k]
+            want += [(q, n + 1, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for n, (s, i) in enumerate(scores)]
+    return sorted(want)
+
+
+def test_top_k_of_huge_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.integers(0, 19)).tolist()) for i in range(150)] + [(200, [1e17] * 6), (300, [1e300] * 6), (301, [-1e300] * 6)]
+    assert sorted(map(tuple, top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())) == nearest(rows)
