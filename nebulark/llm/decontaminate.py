@@ -6,17 +6,19 @@ of a wavelet matrix; suffix positions are sampled; the word spans found are merg
 
 from __future__ import annotations
 
-import hashlib
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from nebulark.llm.common import folded_words, kinds, slices
+from nebulark.llm.common import folded_words, kinds, slices, stash, text_key
 
 #: Text bytes of benchmark items that are broadcast at once; a larger benchmark is searched in several passes.
 BLOCK_BYTES = 8 << 20
+#: Texts with hits that are broadcast to be merged, some tens of MB; beyond that a join shuffles.
+BROADCAST_TEXTS = 50_000
 #: Symbols of one FM-index.
 SHARD_SYMBOLS = 1 << 19
 #: Every so many suffix positions are kept.
@@ -123,8 +125,11 @@ def find(words: list[list[bytes]], block: dict) -> list[tuple[list[tuple[int, in
     def flush():
         text = np.concatenate([*parts, np.zeros(1, np.int64)])
         fm = FMIndex(text)
-        lo, hi = fm.search(block["matrix"], block["lengths"])
-        which = np.repeat(np.arange(len(lo)), hi - lo)
+        present = np.zeros(len(block["vocab"]) + 2, bool)
+        present[text] = True  # 0, the padding of phrases, is the sentinel's number
+        some = np.flatnonzero(present[block["matrix"]].all(axis=1))  # phrases of which every word is in this index
+        lo, hi = fm.search(block["matrix"][some], block["lengths"][some])
+        which = some[np.repeat(np.arange(len(lo)), hi - lo)]
         rows = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
         at = fm.locate(rows)
         start = np.array([o[0] for o in origin])
@@ -180,33 +185,61 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, blo
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, spans (start and end word of hit runs, alternating) and items (ids, sorted as strings).
 
-    No shuffle: each batch of a partition is a shard with an index of its own; the benchmark goes to the tasks in
-    blocks of a fixed size, one pass each. Null texts have no words; items without id or text, or without words, take
-    no part; repeated rows are judged alike; columns of docs stay, in front, and those named as the result are replaced.
+    Each batch of a partition is a shard with an index of its own. A benchmark of up to block_bytes is broadcast and
+    found in one pass without a shuffle. A larger one is searched block by block: each pass writes what it finds in
+    texts that have hits, and its broadcast is released before the next; what was found is then merged by text. Null
+    texts have no words; items without id or text, or without words, take no part; repeated rows are judged alike;
+    columns of docs stay, in front, and those named as the result are replaced.
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    docs = docs.select(*keep)
-    for k, block in enumerate(blocks_of(benchmark, item_id, item_text, window, block_bytes)):
-        shared, first = spark.sparkContext.broadcast(block), k == 0
-
-        def scan(batches, shared=shared, first=first):
-            for batch in slices(batches, keep.index(text_col)):
-                texts = batch.column(keep.index(text_col)).cast(pa.binary()).to_pylist()
-                words = [folded_words(x) if x else [] for x in texts]
-                found = find(words, shared.value)
-                spans, items = [x for x, _ in found], [x for _, x in found]
-                if not first:
-                    for old, new in zip(batch.column(len(keep) + 1).to_pylist(), spans):
-                        new += zip(old[::2], old[1::2])
-                    for old, new in zip(batch.column(len(keep) + 2).to_pylist(), items):
-                        new.update(old)
-                made = [pa.array([len(x) for x in words], pa.int64()), pa.array(map(merged, spans), pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + made, names=[*keep, "n_words", "spans", "items"])
-
-        docs = docs.mapInArrow(scan, f"{kinds(docs, keep)}, {SCHEMA}")
-    return docs
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    docs, at = docs.select(*keep), keep.index(text_col)
+    found, block = None, None
+    for block, last in with_last(blocks_of(benchmark, item_id, item_text, window, block_bytes)):
+        if last and found is None:
+            return docs.mapInArrow(search(spark.sparkContext.broadcast(block), at, keep), f"{kinds(docs, keep)}, {SCHEMA}")
+        shared = spark.sparkContext.broadcast(block)
+        hits = docs.select(F.col(text_col).alias("text")).mapInArrow(search(shared, 0, ["text"]), f"text string, {SCHEMA}").where(F.size("spans") > 0)
+        part = stash(hits.select(text_key().alias("__key"), "spans", "items").dropDuplicates(["__key"]))
+        shared.unpersist()
+        found = part if found is None else found.unionAll(part)
+    # A text has one row a block in which it has hits.
+    found = stash(found.groupBy("__key").agg(F.collect_list("spans").alias("__spans"), F.collect_list("items").alias("__items")))
+    few = found.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    joined = docs.join(F.broadcast(found) if few else found, text_key(text_col).eqNullSafe(F.col("__key")), "left").select(*(docs[c] for c in keep), "__spans", "__items")
+
+    def merge(batches):
+        for batch in slices(batches, at):
+            words = [len(folded_words(x)) if x else 0 for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            spans = [merged([x for one in of or () for x in zip(one[::2], one[1::2])]) for of in batch.column(len(keep)).to_pylist()]
+            items = [sorted(set().union(*(of or ()))) for of in batch.column(len(keep) + 1).to_pylist()]
+            yield result(batch, keep, words, spans, items)
+
+    return joined.mapInArrow(merge, f"{kinds(docs, keep)}, {SCHEMA}")
+
+
+def with_last(blocks):
+    """Each block, and whether it is the last."""
+    blocks = iter(blocks)
+    one = next(blocks)
+    for following in blocks:
+        yield one, False
+        one = following
+    yield one, True
+
+
+def search(shared, at: int, keep: list[str]):
+    """A function for mapInArrow that finds a broadcast block's phrases in the texts of column `at`."""
+
+    def scan(batches):
+        for batch in slices(batches, at):
+            words = [folded_words(x) if x else [] for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            found = find(words, shared.value)
+            yield result(batch, keep, map(len, words), [merged(x) for x, _ in found], [sorted(x) for _, x in found])
+
+    return scan
+
+
+def result(batch: pa.RecordBatch, keep: list[str], words, spans: list, items: list) -> pa.RecordBatch:
+    made = [pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(batch.columns[: len(keep)] + made, names=[*keep, "n_words", "spans", "items"])

@@ -25,8 +25,11 @@ def expected(docs, items, size=10):
     out = []
     for doc, text in docs:
         w, hit, found = words_of(text), set(), set()
+        starts = {}
+        for i, x in enumerate(w):
+            starts.setdefault(x, []).append(i)
         for item, p in phrases:
-            for i in range(len(w) - len(p) + 1):
+            for i in starts.get(p[0], ()):
                 if w[i : i + len(p)] == p:
                     hit.update(range(i, i + len(p)))
                     found.add(item)
@@ -39,11 +42,11 @@ def found(df):
 
 
 def test_awkward_rows(spark):
-    docs = [r[:2] for r in odd.rows() if len(r[1] or "") < 60_000]
+    docs = [r[:2] for r in odd.rows()]
     text = odd.texts()
     items = [(1, " ".join(text[21].split()[5:40])), (2, "A, B! c"), (3, None), (4, ""), (None, "one"), (10, "na na na"), (9, "ÉTÉ naïve café 中文"), (1, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    df = odd.table(spark, lambda r: len(r[1] or "") < 60_000)
+    df = odd.table(spark)
     want = expected(docs, items)
     assert found(contamination(df, bench)) == want
     assert found(contamination(df, bench, block_bytes=10)) == want  # several passes
