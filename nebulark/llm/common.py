@@ -51,11 +51,6 @@ def text_key(col: str = "text"):
     return F.md5(F.col(col).cast("binary"))
 
 
-def words_of(data: bytes) -> list[bytes]:
-    """Words of UTF-8 bytes: what bytes.split() splits at is exactly \\x20 and \\x09-\\x0D."""
-    return data.split()
-
-
 def folded_words(data: bytes) -> list[bytes]:
     """Lower-cased words of digits, ASCII letters and non-ASCII characters."""
     return data.translate(FOLD).split()

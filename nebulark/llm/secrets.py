@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nebulark.llm.common import stash
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -35,6 +38,8 @@ RULES = (
     Rule("chat", r"xox[abps]-[A-Za-z0-9-]{10,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
+#: Candidate ids that are broadcast with their bits, about 10 MB.
+BROADCAST_IDS = 500_000
 #: Strings that a run of literals and small classes may stand for before it is cut.
 MOST = 64
 
@@ -88,6 +93,12 @@ def trigrams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
+def has_any(low: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a text has a first trigram of any string of a rule's first clause: without one it is no candidate."""
+    first = {s[:3] for rule in rules for clause in mandatory(rule.pattern)[:1] for s in clause}
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(g)) for g in sorted(first)), F.lit(False))
+
+
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
     """Ids and a bit for each rule that the document may match, by intersecting postings; only rules with a query."""
     clauses = [(r, c, sorted(strings)) for r, rule in enumerate(rules) for c, strings in enumerate(mandatory(rule.pattern))]
@@ -136,13 +147,21 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc
     """Per row of docs: its id, found (array of start, kind number, end), a count n_<kind> for each base kind,
     base_sha256 of the base spans and spans, the text form of all of them, by start, then kind as listed.
 
-    Documents and candidate bits meet in one join by id, so a row is judged with every rule that any row of its id may
-    match, and the regular expression decides. Null texts count as empty; a null id is matched with null; repeated rows
-    are kept; an empty table gives no rows. Python's and Java's syntax must agree on the patterns.
+    Candidate bits are written first. While they are few, up to BROADCAST_IDS ids, they go to the texts, which stay in
+    place; beyond that, texts with any of the trigrams meet them in a join, and the others stay in place. A row is judged
+    with every rule that any row of its id may match, and the regular expression decides. Null texts count as empty; a
+    null id is matched with null; repeated rows are kept; an empty table gives no rows. Python's and Java's syntax must
+    agree on the patterns.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = candidates(docs, rules, "id", "text").alias("c")
-    d = docs.alias("d").join(bits, F.col("d.id").eqNullSafe(F.col("c.id")), "left").select("d.id", "text", F.coalesce("bits", F.lit(0)).alias("bits"))
+    bits = stash(candidates(docs, rules, "id", "text")).alias("c")
+    few = bits.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = lambda d, bits: d.alias("d").join(bits, F.col("d.id").eqNullSafe(F.col("c.id")), "left").select("d.id", "text", F.coalesce("bits", F.lit(0)).alias("bits"))
+    if few:
+        d = met(docs, F.broadcast(bits))
+    else:
+        some = has_any(F.lower("text"), rules)
+        d = met(docs.where(some), bits).unionAll(docs.where(~some).select("id", "text", F.lit(0).alias("bits")))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     each = [spans("text", k, r) if not mandatory(r.pattern) else F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) > 0, spans("text", k, r)).otherwise(none) for k, r in enumerate(rules)]
     d = d.select("id", F.array_sort(F.concat(*each)).alias("found"))
