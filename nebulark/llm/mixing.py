@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nebulark.llm.common import WORD, stash
+from nebulark.llm.common import WORD, stash, text_key
 
 #: Weights and slopes of the sources in order, repeating; with slope a the weight at t is 1 + a * (2t - 1) of the mean.
 WEIGHTS, SLOPES = (3, 1, 2), (-0.5, 0.0, 0.5)
 #: Words of the mix over words there are, and how often a source can be repeated.
 SHARE, REPEATS = 1.5, 2
-#: Hex digits of a row's hash that number the blocks within which a source's sizes are added up.
-BLOCK_DIGITS = 3
+#: Rows of a block, about, if all were of one source; sizes are added up within blocks of a source, numbered by hashes.
+BLOCK_ROWS = 50_000
 
 
 def word_count(text: str) -> Column:
@@ -28,7 +28,7 @@ def targets(sizes: DataFrame, share: float = SHARE, repeats: int = REPEATS, weig
 
     A source stops at `repeats` times its words; what it leaves goes to the others by weight, until none is above. The
     level of that filling is the greatest of the levels reached by taking the first sources, in order of words a
-    weight, as full.
+    weight, as full. One row a source goes through windows over all sources: what grows is their number, not the data.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     full = Window.orderBy(F.col("words") / F.col("weight"), F.col("source").asc_nulls_last())
@@ -53,13 +53,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     A source's documents come in an order of hashes of ids, again and again up to the target in whole words, so that
     the last one may be taken in part; `positions` has the time at which each pass over a document starts, `position`
-    the first of them; row is a hash of the text. Rows are sorted by position, those not taken last. Sizes are added up within blocks of a source
-    by hash, and over blocks by one row a block, so no task gets a whole source. Null texts have size 0 and are never
-    taken; the null source is a source; repeated rows count each; an empty table gives no rows.
+    the first of them; row is a hash of the text. Rows are sorted by position, those not taken last. Sizes are added up
+    within blocks of a source by hash, whose number grows with the rows, and over blocks by one row a block, so no task
+    gets a whole source; the blocks don't change the result. A null id counts by its text instead, so rows without ids
+    spread over the blocks. Null texts have size 0 and are never taken; the null source is a source; repeated rows count
+    each; an empty table gives no rows.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), text_key(text_col), F.lit(""))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     rows = stash(docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("row"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), h.alias("h")))
-    rows = rows.withColumn("block", F.substring("h", 1, BLOCK_DIGITS))
+    digits = max(1, (max(1, rows.count() // BLOCK_ROWS) - 1).bit_length() + 3 >> 2)
+    rows = rows.withColumn("block", F.substring("h", 1, digits))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("block0", F.coalesce(F.sum("block_size").over(ahead), F.lit(0))).drop("block_size")
@@ -80,7 +84,8 @@ def mixed_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """docs as often as the mix takes them, sorted by the positions of their passes.
 
     Rows stay whole: of a document that the mix takes in part, the pass counts if half of it or more is taken. Rows
-    without words are kept once, first. Rows equal in id and text are taken alike.
+    without words are kept once, first. Rows equal in id and text are taken alike. Written, the files' names and the rows
+    in them are in training order (see sharding.written_order).
     """
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     passes = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")

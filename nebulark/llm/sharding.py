@@ -7,6 +7,7 @@ which a greedy fill needs no more than the wanted shards is found by binary sear
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nebulark.llm.common import stash, text_key
+from nebulark.llm.common import kinds, stash, text_key
 
 #: Segments of the prefix sums that the driver holds at first, and those into which one is split where a cut may fall.
 SEGMENTS, SPLIT = 1 << 15, 256
@@ -29,18 +30,23 @@ class Prefixes:
     def __init__(self, ends: DataFrame):
         self.ends = ends
         self.total = ends.agg(F.max("end")).first()[0] or 0
-        self.segments = self.summary(0, self.total, SEGMENTS)
-
-    def summary(self, low: int, high: int, parts: int) -> list[tuple[int, int]]:
-        width = max(1, -(-(high - low) // parts))
-        at = F.floor((F.col("end") - low - 1) / width)
-        rows = self.ends.where((F.col("end") > low) & (F.col("end") <= high)).groupBy(at.alias("at")).agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()
+        self.segments = self.summary([(0, self.total)], SEGMENTS)
+
+    def summary(self, ranges: list[tuple[int, int]], parts: int) -> list[tuple[int, int]]:
+        """Segments of the ends in some ranges (from beyond the first number to the second), by one job."""
+        width = [max(1, -(-(high - low) // parts)) for low, high in ranges]
+        end = F.col("end")
+        within = [(end > low) & (end <= high) for low, high in ranges]
+        which = F.coalesce(*(F.when(x, F.lit(k)) for k, x in enumerate(within)))
+        at = F.coalesce(*(F.when(x, F.floor((end - low - 1) / w)) for x, (low, _), w in zip(within, ranges, width)))
+        rows = self.ends.where(reduce(lambda a, b: a | b, within)).groupBy(which.alias("which"), at.alias("at")).agg(F.min("end").alias("a"), F.max("end").alias("b")).collect()
         return sorted((r.a, r.b) for r in rows)
 
     def split(self, unsure: set[tuple[int, int]]) -> None:
-        for a, b in unsure:
-            k = self.segments.index((a, b))
-            self.segments[k : k + 1] = self.summary(a - 1, b, SPLIT)
+        """Split some segments, all by one job."""
+        if unsure:
+            parts = self.summary([(a - 1, b) for a, b in sorted(unsure)], SPLIT)
+            self.segments = sorted([x for x in self.segments if x not in unsure] + parts)
         self.lows, self.highs = [a for a, _ in self.segments], [b for _, b in self.segments]
 
     def floor(self, x: int) -> tuple[int, int, tuple | None]:
@@ -128,26 +134,40 @@ class Prefixes:
             self.split(unsure | more)
 
 
-def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def written_order(docs: DataFrame) -> DataFrame:
+    """docs, just read from the files of one written table, with __file and __row, by which its rows stand as written.
+
+    A task writes its rows in order to a file of its own, whose name starts with the task's number, and a sort numbers
+    the tasks in its order.
+    """
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    return docs.select("*", F.coalesce(number, F.lit(0)).alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
+
+def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text", order: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: its id, size, text_crc32, shard (0 to shards - 1) and slot in the shard (gapless from 0).
 
-    Size: UTF-8 bytes plus 8; the sizes of the shards are as near equal as whole groups of equal texts allow. Rows are
-    put in order of (hash of the text, id) by a range partition, groups above their share at the end; tasks add up their own rows, and one sum a task gives
-    the prefix sums. The driver sees a bounded summary of them. Null texts have no bytes, each id a group of its own;
-    repeated rows are kept; an empty table gives no rows; fewer groups than shards leave shards empty.
+    Size: UTF-8 bytes plus 8; the sizes of the shards are as near equal as whole groups allow. Without `order` groups are
+    equal texts, put in order of (hash of the text, id), groups above their share at the end. With columns `order`, by
+    which no two rows are equal, each row is a group, and shards and slots follow that order. Rows are sorted by a range
+    partition; tasks add up their own rows, and one sum a task gives the prefix sums. The driver sees a bounded summary of
+    them. Null texts have no bytes, each id a group of its own; repeated rows are kept, and spread over tasks; an empty
+    table gives no rows; fewer groups than shards leave shards empty.
     """
-    key = F.coalesce(text_key(text_col), F.md5(F.concat(F.lit("null:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")))
+    null_text = F.md5(F.concat(F.lit("null:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    key = F.struct(*order) if order else F.coalesce(text_key(text_col), null_text)
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = stash(docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("crc"), key.alias("key")))
-    # Groups larger than their share come last, so that the others divide evenly.
+    spread = (F.rand(1) * (1 << 16)).cast("int")  # of rows equal in key and id
+    rows = stash(docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("crc"), key.alias("key"), spread.alias("spread")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     large, left = [], total
-    for k, n in rows.groupBy("key").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "key").limit(shards - 1).collect():
-        if n * (shards - len(large)) <= left:
-            break
-        large.append(k)
-        left -= n
-    rows = rows.withColumn("key", F.when(F.col("key").isin(large), F.concat(F.lit("~"), "key")).otherwise(F.col("key")))
+    if not order:  # groups larger than their share come last, so that the others divide evenly
+        for k, n in rows.groupBy("key").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "key").limit(shards - 1).collect():
+            if n * (shards - len(large)) <= left:
+                break
+            large.append(k)
+            left -= n
+        rows = rows.withColumn("key", F.when(F.col("key").isin(large), F.concat(F.lit("~"), "key")).otherwise(F.col("key")))
 
     def running(frames):
         task, n, end = TaskContext.get().partitionId(), 0, 0
@@ -156,8 +176,10 @@ def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col
             yield x.assign(task=task, rank=np.arange(n, n + len(x)), end=sums)
             n, end = n + len(x), int(sums[-1]) if len(x) else end
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    placed = stash(rows.repartitionByRange("key", "id", "size").sortWithinPartitions("key", "id", "size").mapInPandas(running, f"id {kind}, size long, crc long, key string, task int, rank long, end long"))
+    by = ["key", "id", "size", "spread"]
+    group = F.col("key").cast("string").alias("key") if order else F.col("key")
+    sorted_rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).select("id", "size", "crc", group)
+    placed = stash(sorted_rows.mapInPandas(running, f"{kinds(sorted_rows, sorted_rows.columns)}, task int, rank long, end long"))
     tasks = placed.groupBy("task").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).toPandas().sort_values("task")
     base = pd.DataFrame({"task": tasks["task"], "rank0": tasks["n"].cumsum() - tasks["n"], "end0": tasks["bytes"].cumsum() - tasks["bytes"]})
     spark = docs.sparkSession

@@ -3,7 +3,8 @@
 import random
 import zlib
 
-from nebulark.llm.sharding import Prefixes, shard
+from nebulark.llm.common import stash
+from nebulark.llm.sharding import Prefixes, shard, written_order
 from tests.llm import odd
 
 
@@ -61,3 +62,22 @@ def test_shards_are_near_equal(spark):
         sizes[r.shard] = sizes.get(r.shard, 0) + r.size
     rest = sorted(sizes.values())[:-1]  # the copies stand alone
     assert len(sizes) == 24 and max(rest) - min(rest) <= 900
+
+
+def test_written_order(spark):
+    """Rows keep the order of a sorted table, in contiguous shards of the smallest capacity."""
+    rng = random.Random(6)
+    rows = [(i, rng.random(), "x" * rng.choice([0, 5, 90, 400])) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, at double, text string").repartition(7).orderBy("at")
+    got = sorted(shard(written_order(stash(docs)), 7, order=("__file", "__row")).collect(), key=lambda r: (r.shard, r.slot))
+    want = sorted(rows, key=lambda r: r[1])
+    assert [r.doc_id for r in got] == [r[0] for r in want]
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(7)]
+    least = next(c for c in range(sum(sizes) // 7, sum(sizes)) if need([len(t) + 8 for _, _, t in want], c) <= 7)
+    assert max(sizes) <= least and [r.slot for r in got] == [k for n in range(7) for k in range(sum(r.shard == n for r in got))]
+
+
+def test_equal_rows_spread(spark):
+    rows = [(None, "same")] * 4000 + [(None, None)] * 500
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert sorted((r.shard, r.slot) for r in got) == sorted((s, k) for s in range(3) for k in range(sum(r.shard == s for r in got))) and len(got) == 4500
