@@ -13,8 +13,10 @@ from nebulark.llm.decontaminate import contamination
 from nebulark.llm.language import identify
 from nebulark.llm.mixing import mixed_copies
 from nebulark.llm.neardup import one_of_each
-from nebulark.llm.sharding import shard
+from nebulark.llm.sharding import shard, written_order
 
+#: Languages whose documents stay, as in the labels; None keeps all languages that are learned.
+KEPT_LANGUAGES: tuple[str, ...] | None = None
 #: Keys of texts that are broadcast, about 3 MB; beyond that a join shuffles.
 BROADCAST_KEYS = 50_000
 
@@ -30,9 +32,13 @@ def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letter or that no learned language explains."""
-    found = identify(docs.select("doc_id", "text"), docs.where(F.col("lang").isNotNull()))
-    return without(docs, found.where(~F.col("explained")))
+    """Documents of the languages to keep, lang replaced by the predicted language.
+
+    Those go that have no letter, that no learned language explains, or whose predicted language isn't in KEPT_LANGUAGES.
+    """
+    found = identify(docs, docs.where(F.col("lang").isNotNull()))
+    kept = F.col("explained") if KEPT_LANGUAGES is None else F.col("explained") & F.col("lang_pred").isin(*KEPT_LANGUAGES)
+    return found.where(kept).select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +53,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, written in training order."""
     return mixed_copies(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
-    return shard(docs)
+    """The shard and slot of each row: the training order, as written, cut into shards of near equal bytes."""
+    return shard(written_order(docs), order=("__file", "__row"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
