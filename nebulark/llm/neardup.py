@@ -27,6 +27,8 @@ HOPE = 0.65
 SMALL = 32
 #: Nodes of a block of a larger bucket, about, and shingles of which their counts are compared at a time.
 BLOCK, COLUMNS = 256, 4096
+#: Pairs of signatures that are compared at a time.
+PAIRS = 1 << 15
 #: Bytes of text that a task turns into shingles at a time; some 40 bytes of arrays stand for each.
 TEXT_BYTES = 1 << 20
 #: Rows of a table of two ids that are broadcast, about 3 MB; beyond that joins shuffle.
@@ -93,7 +95,7 @@ def signatures(doc: np.ndarray, prints: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def signature_table(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, sig (a byte a component) and bands (64-bit keys) of each text with words. texts: node, text."""
+    """node, t, sig (a byte a component) and bands (64-bit keys) of each text with words. texts: node, text, t."""
 
     def scan(batches):
         names = Names()
@@ -110,9 +112,17 @@ def signature_table(texts: DataFrame, shingle: int) -> DataFrame:
                 keys[:, band] = key
             low = (sig & U(255)).astype(np.uint8)
             bands = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array([x.tobytes() for x in low], pa.binary()), bands], names=["node", "sig", "bands"])
+            take = pa.array(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array([x.tobytes() for x in low], pa.binary()), bands], names=["node", "t", "sig", "bands"])
 
-    return texts.mapInArrow(scan, "node long, sig binary, bands array<long>")
+    return texts.select("node", "text", "t").mapInArrow(scan, "node long, t long, sig binary, bands array<long>")
+
+
+def promising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of signatures, bytes a component: which share a band and agree in enough components, and how far they agree."""
+    agree = x == y
+    guess = (agree.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+    return (guess >= HOPE) & agree.reshape(-1, BANDS, ROWS).all(axis=2).any(axis=1), guess
 
 
 def hopeful(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -122,8 +132,8 @@ def hopeful(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     def compare(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in (2, 3))
-            guess = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            yes = pa.array(np.flatnonzero(guess >= HOPE))
+            good, guess = promising(x, y)
+            yes = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(yes), batch.column(1).take(yes), pa.array(guess).take(yes)], names=["a", "b", "guess"])
 
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, guess double")
@@ -153,13 +163,63 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def linked_blocks(members: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """Links (a, b) between nodes of different components in large buckets. members: key, node, root.
+def rare_prefixes(nodes: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """key, node, root of nodes (node, root) by the shingles of their prefixes that several of their texts have.
+
+    With the shingles of all these texts in one order, the rarest first, two texts at least as similar as the threshold
+    share a shingle among the first n - ceil(threshold * n) + 1 of their n; what many texts have in common, as a
+    template, comes last. The k-th repeat of a shingle is one of its own.
+    """
+    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    involved = stash(texts.join(F.broadcast(nodes.select("node")) if few else nodes.select("node"), "node", "left_semi").select("node", "text", "t"))
+
+    def scan(batches):
+        names = Names()
+        for batch in slices(batches, 1, TEXT_BYTES):
+            doc, prints, weight = shingles([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], shingle, names)
+            total = np.bincount(doc, weight, len(batch)).astype(np.int64)
+            doc, prints = repeats(doc, prints, weight)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(total[doc]), pa.array(prints.view(np.int64))], names=["node", "t", "n", "key"])
+
+    tokens = stash(involved.mapInArrow(scan, "node long, t long, n long, key long"))
+    common = tokens.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    ranked = tokens.join(common, "key", "left").withColumn("rank", F.row_number().over(Window.partitionBy("node", "t").orderBy(F.coalesce("texts", F.lit(1)), "key")))
+    first = ranked.where(F.col("texts").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1))
+    return first.select("key", "node").distinct().join(nodes, "node").select("key", "node", "root")
+
+
+def repeats(doc: np.ndarray, prints: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with the k-th repeat of one in a text as one of its own, so that common ones add up to multiset overlap."""
+    doc, prints = np.repeat(doc, weight), np.repeat(prints, weight)
+    return doc, prints ^ mix((np.arange(len(doc)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(U) + U(1 << 34))
+
+
+def still_apart(members: DataFrame) -> DataFrame:
+    """Of members (key, node, root), the keys that hold several components."""
+    return stash(members.join(members.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key"), "key"))
+
+
+def dealt_buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components in buckets of up to SMALL nodes, and the members of larger buckets.
+
+    All nodes outside a bucket's largest component meet those of others; of two outside, once is enough.
+    """
+    sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    facts = stash(sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), (F.sum("n") <= SMALL).alias("small")))
+    outside = members.join(facts.where("small"), "key").where("root <> largest").select("key", "largest", F.col("node").alias("p"), F.col("root").alias("pr"))
+    met = members.join(outside, "key").where("root <> pr AND (root = largest OR p < node)")
+    return met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct(), members.join(facts.where("NOT small").select("key"), "key")
+
+
+def linked_blocks(members: DataFrame, texts: DataFrame, sigs: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Links (a, b, similarity) between nodes of different components in large buckets. members: key, node, root.
 
     Buckets that share nodes form a cluster; its largest component and the rest are dealt into blocks of nodes by hash.
     Every block of the rest meets every other block once, in a task of its own that holds two blocks of texts and
-    compares them exactly, so nothing is a row for a pair of nodes; blocks of the largest component needn't meet.
-    A task returns one link for each two components that it joins.
+    compares them exactly, so nothing is a row for a pair of nodes; blocks of the largest component needn't meet. As
+    everywhere, only pairs that share a band and agree in enough components are links. A task returns one link for each
+    two components that it joins.
     """
     lead = members.groupBy("key").agg(F.min("node").alias("a"))
     edges = members.join(lead, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -175,15 +235,14 @@ def linked_blocks(members: DataFrame, texts: DataFrame, threshold: float, shingl
     dealt = dealt.select("cluster", "node", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     few = own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     involved = texts.join(F.broadcast(own.select("node")) if few else own.select("node"), "node", "left_semi")
-    shipped = stash(involved).join(dealt, "node").select("cluster", "x", "y", "block", "node", "root", "text")
+    signed = stash(involved.join(sigs.select("node", "t", "sig"), ["node", "t"]).dropDuplicates(["node", "t"]))
+    shipped = signed.join(dealt, "node").select("cluster", "x", "y", "block", "node", "root", "text", "sig")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         roots, nodes, first = frame["root"].to_numpy(), frame["node"].to_numpy(), (frame["block"] == frame["x"]).to_numpy()
         doc, prints, weight = shingles([t.encode() for t in frame["text"]], shingle, Names())
         total = np.bincount(doc, weight, len(frame))
-        # The k-th repeat of a shingle is a column of its own, so that common ones add up to multiset overlap.
-        doc, prints = np.repeat(doc, weight), np.repeat(prints, weight)
-        prints = prints ^ mix((np.arange(len(doc)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(U) + U(1 << 34))
+        doc, prints = repeats(doc, prints, weight)
         _, column, n = np.unique(prints, return_inverse=True, return_counts=True)
         doc, column = doc[n[column] > 1], column[n[column] > 1]
         _, column = np.unique(column, return_inverse=True)
@@ -198,12 +257,14 @@ def linked_blocks(members: DataFrame, texts: DataFrame, threshold: float, shingl
         similar = common >= threshold * (total[:, None] + total[None, :] - common) - 1e-6
         side = np.ones_like(similar) if (frame["x"] == frame["y"]).all() else first[:, None] != first[None, :]
         a, b = np.nonzero(np.triu(similar & side & (roots[:, None] != roots[None, :]) & (total > 0)[:, None], 1))
-        exact = common[a, b] / (total[a] + total[b] - common[a, b]) >= threshold
-        links = pd.DataFrame({"a": nodes[a[exact]], "b": nodes[b[exact]], "p": np.minimum(roots[a], roots[b])[exact], "q": np.maximum(roots[a], roots[b])[exact]})
-        return links.drop_duplicates(["p", "q"])[["a", "b"]]
+        exact = common[a, b] / (total[a] + total[b] - common[a, b])
+        sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(-1, BANDS * ROWS)
+        yes = np.concatenate([np.zeros(0, bool)] + [promising(sig[a[s : s + PAIRS]], sig[b[s : s + PAIRS]])[0] for s in range(0, len(a), PAIRS)]) & (exact >= threshold)
+        links = pd.DataFrame({"a": nodes[a], "b": nodes[b], "similarity": exact.astype(float), "p": np.minimum(roots[a], roots[b]), "q": np.maximum(roots[a], roots[b])})[yes]
+        return links.sort_values("similarity", ascending=False).drop_duplicates(["p", "q"])[["a", "b", "similarity"]]
 
-    found = shipped.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found = shipped.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long, similarity double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,21 +290,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, class_id (the least id of its class) and copy_of (the least id with an equal text).
+    """Per row of docs: id, class_id (the least id of its class), copy_of (the least id with an equal text), near_id and similarity.
 
-    Classes are the connected parts under verified similarity of at least `threshold`. Equal texts go on as one node.
+    Classes are the connected parts under verified similarity of at least `threshold`, between texts that share a band
+    and agree in enough components (see HOPE); one rule, whatever else a bucket holds. Equal texts go on as one node.
     Each node is first compared with the least node of each of its buckets, and one such pair verified, the most
     hopeful; that joins even a large group of near copies with one pair a node. In buckets that then still hold several
     components, all nodes but those of the bucket's largest one are compared with all of other components: pair by pair
-    in buckets of up to SMALL nodes, in blocks of texts beyond that (see linked_blocks). So no link that shows in a
-    band is lost. Rows that share an id share a class. Null ids have no
-    class; null texts are classes of their own; texts without words are near only to equal ones; an empty table gives no
-    rows.
+    in buckets of up to SMALL nodes. Larger ones are first broken up by the rarest shingles of their texts, which loses
+    nothing (see rare_prefixes), so that a template that many texts share brings none of them together; what is still
+    large is compared in blocks of texts (see linked_blocks). near_id is the most similar document of a verified pair
+    with the document or its equal text (copy_of itself for a copy), similarity how similar; null if there is none.
+    Rows that share an id share a class. Null ids have no class; null texts are classes of their own; texts without words
+    are near only to equal ones; an empty table gives no rows.
     """
     rows = stash(docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key")))
     reps = rows.where("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"))
     placed = stash(rows.join(reps, "key", "left").select("id", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node IS NOT NULL AND text IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).where("node IS NOT NULL AND text IS NOT NULL")
     sigs = stash(signature_table(texts, shingle).join(placed.select(F.col("rep").alias("node")).distinct(), "node", "left_semi"))
     banded = sigs.select("node", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("most")).where("pivot < most").drop("most")
@@ -251,28 +315,33 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col
     stars = members.where("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = hopeful(stars, sigs).groupBy("b").agg(F.max_by("a", F.struct("guess", "a")).alias("a"))
     tried = stash(verify(stash(first.select("a", "b")), texts, shingle).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
-    near = tried.where(F.col("similarity") >= threshold)
-    roots = components(near)
-
-    mixed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = mixed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    mixed = stash(mixed.join(open_keys, "key"))
-    sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    outside = mixed.join(largest, "key").where("root <> largest").select("key", F.col("node").alias("p"), F.col("root").alias("pr"))
-    # In a small bucket all nodes outside the largest component meet those of others; of two outside, once is enough.
-    small = sizes.groupBy("key").agg((F.sum("n") <= SMALL).alias("small"))
-    met = mixed.join(largest, "key").join(outside.join(small.where("small"), "key"), "key").where("root <> pr AND (root = largest OR p < node)")
-    pairs = met.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = verify(stash(hopeful(pairs, sigs).select("a", "b")), texts, shingle).where(F.col("similarity") >= threshold).select("a", "b")
-    large = stash(mixed.join(small.where("NOT small"), "key").select("key", "node", "root"))
+    links = tried.where(F.col("similarity") >= threshold)
+    roots = components(links)
+
+    apart = still_apart(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    pairs, large = dealt_buckets(apart)
+    large, blocks = stash(large.select("node", "root").distinct()), None
     if not large.isEmpty():
-        more = more.unionAll(linked_blocks(large, texts, threshold, shingle))
-    more = stash(more.distinct())
+        more_pairs, crowded = dealt_buckets(still_apart(rare_prefixes(large, texts, threshold, shingle)))
+        pairs, crowded = pairs.unionAll(more_pairs).distinct(), stash(crowded)
+        blocks = None if crowded.isEmpty() else linked_blocks(crowded, texts, sigs, threshold, shingle)
+    pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    more = verify(stash(hopeful(pairs, sigs).select("a", "b").distinct()), texts, shingle).where(F.col("similarity") >= threshold)
+    more = stash(more if blocks is None else more.unionAll(blocks))
     if not more.isEmpty():
-        roots = components(near.select("a", "b").unionAll(more))
-    out = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"))
+        links = links.unionAll(more)
+        roots = components(links.select("a", "b").distinct())
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("near"), "similarity").unionAll(links.select("b", "a", "similarity"))
+    nearest = both.groupBy("rep").agg(F.max_by("near", F.struct("similarity", -F.col("near"))).alias("near"), F.max("similarity").alias("similarity"))
+    out = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(nearest, "rep", "left")
+    copy = F.col("id") != F.col("rep")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.coalesce("root", "rep").alias("class_id"),
+        F.col("rep").alias("copy_of"),
+        F.when(copy, F.col("rep")).otherwise(F.col("near")).alias("near_id"),
+        F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"),
+    )
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,6 +76,28 @@ def test_large_groups(spark, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in classes(df).collect()} == expected(rows)
 
 
+@pytest.mark.parametrize("small", [32, 4, 0])
+def test_templates(spark, monkeypatch, small):
+    """Many texts that share most of a template, some of them near: classes don't depend on how buckets are dealt."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    rng = random.Random(12)
+    words = [f"v{i}" for i in range(3000)]
+    template = [rng.choice(words) for _ in range(130)]
+    rows = []
+    for i in range(120):
+        own = [rng.choice(words) for _ in range(60)]
+        rows.append((i, " ".join(template + own)))
+        if i % 10 == 0:
+            rows += [(1000 + 10 * i + k, " ".join(template + own[: 60 - k])) for k in (1, 2)]
+            rows.append((5000 + i, rows[-1][1]))
+    texts = dict(rows)
+    got = {r.doc_id: r for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: r.class_id for d, r in got.items()} == expected(rows)
+    for d, r in got.items():
+        assert (r.near_id is None) == (sum(x.class_id == r.class_id for x in got.values()) == 1)
+        assert r.near_id is None or abs(r.similarity - similarity(bag(texts[d]), bag(texts[r.near_id]))) < 1e-6
+
+
 def test_signatures_are_unbiased():
     rng = random.Random(4)
     errors = []
