@@ -114,3 +114,44 @@ def card_value(raw: Column | str) -> Column:
     """The value part of a header card: up to the next quote, right-trimmed, or else up to a slash, trimmed."""
     raw = F.trim(col(raw))
     return F.when(raw.startswith("'"), F.rtrim(F.regexp_extract(raw, "^'([^']*)", 1))).otherwise(F.trim(F.regexp_extract(raw, "^([^/]*)", 1)))
+
+
+# Starts of the keys of world coordinates in exported headers; keys and starts of a solver's.
+WCS_STARTS = ("CRPIX", "CRVAL", "CDELT", "CTYPE", "CUNIT", "CROTA", "CD1_1", "CD1_2", "CD2_1", "CD2_2", "PC1_1", "PC1_2", "PC2_1", "PC2_2", "LONPOLE", "LATPOLE", "RADESYS", "EQUINOX", "EPOCH", "A_ORDER", "B_ORDER", "AP_ORDER", "BP_ORDER", "A_", "B_", "AP_", "BP_", "PV1_", "PV2_", "WCSAXES", "WCSNAME")
+SOLVER_KEYS = ("CRPIX1", "CRPIX2", "CRVAL1", "CRVAL2", "CD1_1", "CD1_2", "CD2_1", "CD2_2", "CDELT1", "CDELT2", "CROTA2", "CTYPE1", "CTYPE2", "CUNIT1", "CUNIT2", "IMAGEW", "IMAGEH", "A_ORDER", "B_ORDER", "AP_ORDER", "BP_ORDER")
+SOLVER_TERMS = r"^(A|B|AP|BP)_[0-9_]+$"
+
+
+def is_wcs_card(key: Column | str) -> Column:
+    return any_of(col(key).startswith(s) for s in WCS_STARTS)
+
+
+def is_solver_key(key: Column | str) -> Column:
+    return col(key).isin(*SOLVER_KEYS) | col(key).rlike(SOLVER_TERMS)
+
+
+def exported_cards(cards: Column, wcs: bool, metadata: bool) -> Column:
+    """The cards (array of key, value) that an export keeps; null for none."""
+    if wcs and metadata:
+        return cards
+    if not wcs and not metadata:
+        return F.when(F.lit(False), cards)
+    kept = F.filter(cards, lambda c: is_wcs_card(F.trim(c["key"])) if wcs else ~is_wcs_card(F.trim(c["key"])))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def with_card(cards: Column, key: str, value: Column) -> Column:
+    """Cards with the value of a key replaced where it stands first, or added at the end."""
+    one = F.struct(F.lit(key).alias("key"), value.alias("value"))
+    at = F.array_position(F.transform(cards, lambda c: c["key"]), F.lit(key))
+    return F.when(at > 0, F.transform(cards, lambda c, i: F.when(i + 1 == at, one).otherwise(c))).otherwise(F.concat(cards, F.array(one)))
+
+
+def number_card(x: Column | str) -> Column:
+    """A number as headers write it: 14 decimals and an exponent without plus and leading zeros."""
+    return F.regexp_replace(F.format_string("%.14E", col(x).cast("double")), r"E\+?(-?)0*(\d)", "E$1$2")
+
+
+def card_number(cards: Column, key: str) -> Column:
+    """The last value of a key as a number, null where it is none."""
+    return F.trim(F.try_element_at(F.filter(cards, lambda c: c["key"] == key), F.lit(-1))["value"]).try_cast("double")

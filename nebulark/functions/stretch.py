@@ -107,13 +107,13 @@ def apply_curve(v: Column | str, lut: list[float]) -> Column:
 
 
 def soft_threshold(v: Column | str, t: Column | float) -> Column:
-    v, t = col(v), F.lit(t)
+    v, t = col(v), t if isinstance(t, Column) else F.lit(t)
     return F.when(F.abs(v) <= t, 0.0).otherwise(F.signum(v) * (F.abs(v) - t))
 
 
 def hard_threshold(v: Column | str, t: Column | float) -> Column:
-    v = col(v)
-    return F.when(F.abs(v) <= F.lit(t), 0.0).otherwise(v)
+    v, t = col(v), t if isinstance(t, Column) else F.lit(t)
+    return F.when(F.abs(v) <= t, 0.0).otherwise(v)
 
 
 def deringed(estimate: Column, original: Column, t: float) -> Column:

@@ -72,3 +72,9 @@ def corrected(modelled: DataFrame, how: str = "subtract") -> DataFrame:
     j = join_keys(modelled, m, [])
     v = F.col("v") - F.col("bg") + F.col("m") if how == "subtract" else F.when(F.abs("bg") > 1e-10, F.try_divide(F.col("v"), F.col("bg")) * F.col("m")).otherwise(F.col("v"))
     return j.select("y", "x", F.when(finite("v"), v).otherwise(F.col("v")).alias("v"))
+
+
+def residual(found: DataFrame, coefficients: list[float], degree: int) -> DataFrame:
+    """n and rms of samples (y, x, v) about a polynomial."""
+    value = sum((c * t for c, t in zip(coefficients, basis(F.col("y"), F.col("x"), degree))), F.lit(0.0))
+    return found.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("v") - value, F.lit(2.0)))).alias("rms"))

@@ -3,14 +3,17 @@ joining every pixel with every other."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nebulark.functions.stretch import hard_threshold, soft_threshold
 from nebulark.functions.validity import finite
+from nebulark.operators.lineage import checkpointed
 from nebulark.operators.stats import join_keys
 
-#: The B3 spline, thresholds of scales and noise of scales of white noise.
+#: The B3 spline, thresholds of scales and noise of scales of white noise; width at half maximum of a unit Gaussian.
 B3 = (1, 4, 6, 4, 1)
+FWHM = 2.3548200450309493
 THRESHOLDS = (3.0, 2.5, 2.0, 1.5, 1.0)
 SCALE_NOISE = (0.8908, 0.2007, 0.0856, 0.0413, 0.0205, 0.0103, 0.0051)
 
@@ -46,6 +49,31 @@ def wavelet_noise(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return plane.groupBy(*keys).agg((F.median(F.abs(F.col("v0") - F.col("v"))) * 1.4826).alias("noise"))
 
 
+def scale_noise(scale: int) -> float:
+    """Noise of a wavelet scale of white noise of unit noise; halved with each scale beyond the table."""
+    last = len(SCALE_NOISE) - 1
+    return SCALE_NOISE[min(scale, last)] / 2.0 ** max(0, scale - last)
+
+
+def denoised(pixels: DataFrame, keys: list[str], scales: int = 5, thresholds: tuple = THRESHOLDS, soft: bool = True) -> DataFrame:
+    """Dense images without the noise of their wavelet scales: details below a scale's threshold go, the rest is added up.
+
+    The noise is that of the finest scale; results that are negative or not finite are 0. All scales stand side by side
+    in one row of a sample, so the only joins are those between a smoothing and the one before it.
+    """
+    scales, cut = min(max(scales, 1), 8), soft_threshold if soft else hard_threshold
+    rows = smooth = checkpointed(pixels.select(*keys, "y", "x", F.col("v").cast("double").alias("v")))
+    for k in range(scales):
+        smooth = checkpointed(smoothed(smooth, keys, 1 << k))
+        rows = join_keys(rows, smooth.withColumnRenamed("v", f"c{k}"), [*keys, "y", "x"])
+    detail = [F.col("v" if k == 0 else f"c{k - 1}") - F.col(f"c{k}") for k in range(scales)]
+    noise = rows.where(finite(detail[0])).groupBy(*keys).agg((F.median(F.abs(detail[0])) * 1.4826).alias("noise"))
+    rows = join_keys(rows, noise, keys, "left") if keys else join_keys(rows, noise, [])
+    level = lambda k: F.coalesce("noise", F.lit(0.0)) * scale_noise(k) * thresholds[min(k, len(thresholds) - 1)]
+    total = sum((cut(d, level(k)) for k, d in enumerate(detail)), F.col(f"c{scales - 1}"))
+    return rows.select(*keys, "y", "x", F.when(finite(total) & (total >= 0), total).otherwise(0.0).alias("v"))
+
+
 def block_means(pixels: DataFrame, keys: list[str], sy: float, sx: float, ok=finite) -> DataFrame:
     """Means of valid samples over blocks [floor(o s), ceil((o + 1) s)), which overlap where s is no integer; 0 for none."""
     dims = size_of(pixels, keys)
@@ -111,35 +139,37 @@ def local_maxima(pixels: DataFrame, keys: list[str], radius: int = 5, above: flo
     return met.groupBy(*keys, F.col("cy").alias("y"), F.col("cx").alias("x"), F.col("cv").alias("v")).agg(F.max(beaten.cast("int")).alias("beaten")).where("beaten = 0").drop("beaten")
 
 
-def labelled(pixels: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def labelled(pixels: DataFrame, keys: list[str], threshold: float | Column) -> DataFrame:
     """Samples above the threshold with label, the least position of their 8-connected component in row order.
 
-    Runs in rows are joined first, then runs of neighbouring rows; labels pass along runs until none changes.
+    The threshold is a number or an expression over the samples' columns. Components that lie in the outermost rows and
+    columns alone don't count, as none starts there. Runs in rows are joined first, then runs of neighbouring rows; labels
+    pass along runs until none changes.
     """
     dims = size_of(pixels, keys)
-    rows = join_keys(pixels.where(finite("v") & (F.col("v") > threshold)), dims, keys)
+    rows = join_keys(pixels.where(finite("v") & (F.col("v") > threshold)).select(*keys, "y", "x", "v"), dims, keys)
     along = Window.partitionBy(*keys, "y").orderBy("x")
     rows = rows.withColumn("start", F.when(F.col("x") - F.lag("x").over(along) == 1, 0).otherwise(1)).withColumn("run", F.sum("start").over(along))
     rows = rows.withColumn("position", F.col("y").cast("long") * F.col("w") + F.col("x"))
-    spark = pixels.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    rows = rows.select(*keys, "y", "x", "v", "run", "position").checkpoint()
+    inside = F.col("y").between(1, F.col("h") - 2) & F.col("x").between(1, F.col("w") - 2)
+    rows = checkpointed(rows.select(*keys, "y", "x", "v", "run", "position", inside.alias("inside")))
     runs = rows.groupBy(*keys, "y", "run").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("position").alias("label"))
     below = runs.select(*keys, (F.col("y") - 1).alias("y"), F.col("run").alias("run2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("label").alias("id2"))
     links = join_keys(runs.withColumnRenamed("label", "id"), below, [*keys, "y"]).where("a <= b2 + 1 AND a2 <= b + 1").select(*keys, "id", "id2")
-    links = links.unionAll(links.select(*keys, F.col("id2").alias("id"), F.col("id").alias("id2"))).checkpoint()
+    links = checkpointed(links.unionAll(links.select(*keys, F.col("id2").alias("id"), F.col("id").alias("id2"))))
     labels = runs.select(*keys, F.col("label").alias("id"), "label")
     while True:
         reached = join_keys(links, labels.withColumnRenamed("id", "id2"), [*keys, "id2"]).groupBy(*keys, "id").agg(F.min("label").alias("near"))
         moved = join_keys(labels, reached, [*keys, "id"], "left").select(*keys, "id", F.least("label", F.coalesce("near", "label")).alias("label"), (F.coalesce(F.col("near") < F.col("label"), F.lit(False))).alias("moved"))
         # Then every run takes the label of the run that its label names.
-        jump = join_keys(moved, moved.select(*keys, F.col("id").alias("label"), F.col("label").alias("next")), [*keys, "label"]).select(*keys, "id", F.least("label", "next").alias("label"), "moved").checkpoint()
+        jump = checkpointed(join_keys(moved, moved.select(*keys, F.col("id").alias("label"), F.col("label").alias("next")), [*keys, "label"]).select(*keys, "id", F.least("label", "next").alias("label"), "moved"))
         labels = jump.drop("moved")
         if jump.where("moved").isEmpty():
             break
     named = join_keys(runs.select(*keys, "y", "run", F.col("label").alias("id")), labels, [*keys, "id"]).select(*keys, "y", "run", "label")
-    return join_keys(rows, named, [*keys, "y", "run"]).select(*keys, "y", "x", "v", "label")
+    out = join_keys(rows, named, [*keys, "y", "run"]).select(*keys, "y", "x", "v", "inside", "label")
+    counted = out.groupBy(*keys, "label").agg(F.max("inside").alias("some")).where("some").drop("some")
+    return join_keys(out.drop("inside"), counted, [*keys, "label"]).select(*keys, "y", "x", "v", "label")
 
 
 def component_moments(labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,4 +180,4 @@ def component_moments(labels: DataFrame, keys: list[str]) -> DataFrame:
     myy, mxx, mxy = (F.greatest(F.lit(0.0), F.col("syy") / F.col("flux") - cy * cy), F.greatest(F.lit(0.0), F.col("sxx") / F.col("flux") - cx * cx), F.col("sxy") / F.col("flux") - cx * cy)
     root = F.sqrt((mxx - myy) * (mxx - myy) + 4 * mxy * mxy)
     big, small = (mxx + myy + root) / 2, F.greatest(F.lit(0.0), (mxx + myy - root) / 2)
-    return s.where("flux > 0").select(*keys, "label", cx.alias("x"), cy.alias("y"), "flux", "peak", "npix", (2.3548 * F.sqrt((mxx + myy) / 2)).alias("fwhm"), F.when(big > 1e-10, F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(small, big)))).otherwise(0.0).alias("eccentricity"))
+    return s.where("flux > 0").select(*keys, "label", cx.alias("x"), cy.alias("y"), "flux", "peak", "npix", (FWHM * F.sqrt((mxx + myy) / 2)).alias("fwhm"), F.when(big > 1e-10, F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(small, big)))).otherwise(0.0).alias("eccentricity"))

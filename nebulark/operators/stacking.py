@@ -1,23 +1,40 @@
-"""Combining frames sample by sample: one group a pixel, kept together by one partitioning through all passes."""
+"""Combining frames sample by sample: one group a pixel, whose samples are one array through all passes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nebulark.functions.validity import finite, positive
 from nebulark.operators.stats import MAD_SIGMA, join_keys, upper_median
 
 
-def clip_pass(rows: DataFrame, pixel: list[str], centre: Column, sigma: Column, low: float, high: float) -> DataFrame:
-    """One pass over rows (pixel, v, before): marks what stays. Pixels that the pass before left alone stay as they are."""
-    own = Window.partitionBy(*pixel)
-    n = F.count("*").over(own)
-    rows = rows.withColumn("n", n).withColumn("c", centre).withColumn("s", sigma)
-    still = (F.col("n") == F.col("before")) | (F.col("n") < 2)
-    off = F.col("v") - F.col("c")
-    stays = still | ((off >= -low * F.col("s")) & (off <= high * F.col("s")))
-    return rows.withColumn("stays", stays).withColumn("before", F.col("n"))
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def middle(values: Column) -> Column:
+    """The upper median of a sorted array."""
+    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+
+
+def mean_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
+def sigma_of(values: Column, mean: Column) -> Column:
+    """The sample deviation of an array of two or more."""
+    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (F.size(values) - 1))
+
+
+def sample_arrays(stack: DataFrame, pixel: list[str], ok: Column, v: str) -> DataFrame:
+    """Per pixel vs, its samples in order: one shuffle, one row a pixel, which a stack has as many samples as frames for."""
+    return stack.where(ok).groupBy(*pixel).agg(F.array_sort(F.collect_list(F.col(v).cast("double"))).alias("vs"))
+
+
+def within(values: Column, centre: Column, sigma: Column, low: float, high: float) -> Column:
+    return F.filter(values, lambda x: (x - centre >= -low * sigma) & (x - centre <= high * sigma))
 
 
 def sigma_clip(stack: DataFrame, pixel: list[str], low: float = 3.0, high: float = 3.0, passes: int = 5, v: str = "v") -> DataFrame:
@@ -25,26 +42,26 @@ def sigma_clip(stack: DataFrame, pixel: list[str], low: float = 3.0, high: float
 
     The first pass is about the upper median with 1.4826 times the upper median deviation, later ones about the mean
     with the sample deviation; samples on the limit stay; a pixel stops once nothing goes or fewer than two are left. If
-    all went, the last centre is the result. Every pass is a window over the same partitioning, so samples are
-    shuffled once.
+    all went, the last centre is the result. The passes go over a pixel's array of samples, which is made once.
     """
-    own = Window.partitionBy(*pixel)
-    rows = stack.where(finite(v)).select(*pixel, F.col(v).cast("double").alias("v"), F.lit(-1).cast("long").alias("before"))
-    rows = rows.withColumn("total", F.count("*").over(own))
-    middle = lambda x: F.element_at(F.array_sort(F.collect_list(x).over(own)), (F.size(F.collect_list(x).over(own)) / 2).cast("int") + 1)
-    rows = rows.withColumn("m", middle(F.col("v"))).withColumn("d", middle(F.abs(F.col("v") - F.col("m"))))
-    for k in range(passes):
-        if k == 0:
-            centre, sigma = F.col("m"), F.greatest(F.col("d") * MAD_SIGMA, F.lit(1e-10))
-        else:
-            centre, sigma = F.avg("v").over(own), F.greatest(F.coalesce(F.stddev_samp("v").over(own), F.lit(0.0)), F.lit(1e-10))
-        rows = clip_pass(rows, pixel, centre, sigma, low, high)
-        rows = rows.withColumn("left", F.sum(F.col("stays").cast("int")).over(own))
-        # Of a pixel that loses all samples one row stays to carry the centre.
-        rows = rows.withColumns({"empty": F.col("left") == 0, "first": F.row_number().over(own.orderBy("v")) == 1})
-        rows = rows.where("stays OR (empty AND first)").withColumn("v", F.when(F.col("empty"), F.col("c")).otherwise(F.col("v")))
-        rows = rows.withColumn("lost", F.col("empty") if k == 0 else F.col("lost") | F.col("empty"))
-    return rows.groupBy(*pixel).agg(F.avg("v").alias("result"), (F.first("total") - F.sum(F.when(F.col("lost"), 0).otherwise(1))).cast("long").alias("rejected"), F.first("total").alias("n"))
+    rows = sample_arrays(stack, pixel, finite(v), v)
+    floor = lambda s: F.greatest(s, F.lit(1e-10))
+    first = lambda vs: bound(middle(vs), lambda m: F.struct(m.alias("c"), floor(middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA).alias("s")))
+    later = lambda vs: bound(mean_of(vs), lambda m: F.struct(m.alias("c"), floor(sigma_of(vs, m)).alias("s")))
+    state = lambda vs, done, centre: F.struct(vs.alias("vs"), done.alias("done"), centre.alias("centre"))
+    none = F.lit(None).cast("double")
+
+    def step(acc, k):
+        go = ~acc["done"] & (F.size(acc["vs"]) >= 2)
+        about = F.when(k == 1, first(acc["vs"])).otherwise(later(acc["vs"]))
+        clip = bound(about, lambda a: bound(within(acc["vs"], a["c"], a["s"], low, high), lambda left: state(left, F.size(left) == F.size(acc["vs"]), a["c"])))
+        return F.when(go, clip).otherwise(acc)
+
+    steps = F.sequence(F.lit(1), F.lit(passes)) if passes else F.array().cast("array<int>")
+    rows = rows.withColumn("end", F.aggregate(steps, state(F.col("vs"), F.lit(False), none), step))
+    left = F.col("end.vs")
+    result = F.when(F.size(left) > 0, mean_of(left)).otherwise(F.col("end.centre"))
+    return rows.select(*pixel, result.alias("result"), (F.size("vs") - F.size(left)).cast("long").alias("rejected"), F.size("vs").cast("long").alias("n"))
 
 
 def clipped_stats(samples: DataFrame, keys: list[str], kappa: float = 3.0, passes: int = 2, v: str = "v") -> DataFrame:
@@ -99,32 +116,53 @@ def frame_normalized(frames: DataFrame, keys: list[str]) -> DataFrame:
     return join_keys(frames, means, keys).withColumn("v", F.when(F.col("mean") > 0, F.try_divide(F.col("v"), F.col("mean"))).otherwise(F.col("v"))).drop("mean")
 
 
-def drizzle(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8) -> DataFrame:
-    """Cells (y, x) of a grid `scale` times finer with value, weight and n: each sample spreads over the cells that its
-    shrunken footprint overlaps, by area.
-
-    frames: frame, y, x, v; offsets: frame, dy, dx, joined by frame. Of a cell's samples the mean is taken as they are
-    once the weight map has said which overlap; cells without any don't appear.
-    """
+def drizzle_hits(frames: DataFrame, offsets: DataFrame, scale: float, shrink: float) -> DataFrame:
+    """y, x, v and w: each finite sample spread over the cells of a grid `scale` times finer that its shrunken footprint
+    overlaps, by area. frames: frame, y, x, v; offsets: frame, dy, dx, joined by frame."""
     joined = join_keys(frames.where(finite("v")), offsets, ["frame"], "left")
     half = shrink * scale / 2
     cy, cx = ((F.col(a) + F.coalesce(F.col(f"d{a}"), F.lit(0.0)) + 0.5) * scale for a in ("y", "x"))
     cells = joined.select("v", (cy - half).alias("y0"), (cy + half).alias("y1"), (cx - half).alias("x0"), (cx + half).alias("x1"))
     cells = cells.withColumn("oy", F.explode(F.sequence(F.floor("y0"), F.ceil("y1") - 1))).withColumn("ox", F.explode(F.sequence(F.floor("x0"), F.ceil("x1") - 1)))
     overlap = (F.least(F.col("y1"), F.col("oy") + 1) - F.greatest(F.col("y0"), F.col("oy"))) * (F.least(F.col("x1"), F.col("ox") + 1) - F.greatest(F.col("x0"), F.col("ox")))
-    hit = cells.withColumn("w", overlap).where("w > 1e-12 AND oy >= 0 AND ox >= 0")
-    return hit.groupBy(F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.avg("v").alias("value"), F.sum("w").alias("weight"), F.count("*").alias("n"))
+    return cells.withColumn("w", overlap).where("w > 1e-12 AND oy >= 0 AND ox >= 0").select(F.col("oy").alias("y"), F.col("ox").alias("x"), "v", "w")
+
+
+def drizzle(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8) -> DataFrame:
+    """Cells (y, x) with value, weight and n: the plain mean of a cell's samples; cells without any don't appear."""
+    return drizzle_hits(frames, offsets, scale, shrink).groupBy("y", "x").agg(F.avg("v").alias("value"), F.sum("w").alias("weight"), F.count("*").alias("n"))
+
+
+def averaged_middle(values: Column) -> Column:
+    """The median of a sorted array, the mean of the middle two of an even number."""
+    half = (F.size(values) / 2).cast("int")
+    return F.when(F.size(values) % 2 == 1, F.element_at(values, half + 1)).otherwise((F.element_at(values, F.greatest(half, F.lit(1))) + F.element_at(values, half + 1)) / 2)
+
+
+def drizzle_clipped(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8, low: float = 3.0, high: float = 3.0, passes: int = 3) -> DataFrame:
+    """Cells (y, x) with value, weight, n and rejected: the mean of a cell's samples without those that passes about the
+    averaged median, with 1.4826 times the averaged deviation, find beyond the limits; the weights are of all samples."""
+    cells = drizzle_hits(frames, offsets, scale, shrink).groupBy("y", "x").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.sum("w").alias("weight"))
+
+    def step(vs, k):
+        spread = lambda m: F.greatest(averaged_middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA, F.lit(1e-10))
+        return F.when(F.size(vs) < 2, vs).otherwise(bound(averaged_middle(vs), lambda m: bound(spread(m), lambda s: within(vs, m, s, low, high))))
+
+    left = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.col("vs"), step) if passes else F.col("vs")
+    cells = cells.withColumn("left", left)
+    return cells.select("y", "x", F.coalesce(mean_of(F.col("left")), F.lit(0.0)).alias("value"), "weight", F.size("vs").cast("long").alias("n"), (F.size("vs") - F.size("left")).cast("long").alias("rejected"))
 
 
 def median_clip(stack: DataFrame, pixel: list[str], low: float = 2.5, high: float = 3.0, passes: int = 5, v: str = "v") -> DataFrame:
     """Per pixel result, rejected and n: like sigma_clip, but every pass is about the upper median with 1.4826 times the
     upper median deviation, limits are exclusive, and a pixel stops below three samples or without any deviation."""
-    own = Window.partitionBy(*pixel)
-    rows = stack.where(F.col(v).isNotNull()).select(*pixel, F.col(v).cast("double").alias("v")).withColumn("total", F.count("*").over(own))
-    middle = lambda x: F.element_at(F.array_sort(F.collect_list(x).over(own)), (F.size(F.collect_list(x).over(own)) / 2).cast("int") + 1)
-    for _ in range(passes):
-        rows = rows.withColumn("n", F.count("*").over(own)).withColumn("m", middle(F.col("v")))
-        rows = rows.withColumn("s", middle(F.abs(F.col("v") - F.col("m"))) * MAD_SIGMA)
-        off = F.col("v") - F.col("m")
-        rows = rows.where((F.col("n") < 3) | (F.col("s") < 1e-10) | ((off > -low * F.col("s")) & (off < high * F.col("s")))).drop("n", "m", "s")
-    return rows.groupBy(*pixel).agg(F.avg("v").alias("result"), (F.first("total") - F.count("*")).alias("rejected"), F.first("total").alias("n"))
+    rows = sample_arrays(stack, pixel, F.col(v).isNotNull(), v)
+
+    def step(vs, k):
+        kept = lambda m, s: F.when(s < 1e-10, vs).otherwise(F.filter(vs, lambda x: (x - m > -low * s) & (x - m < high * s)))
+        spread = lambda m: middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA
+        return F.when(F.size(vs) < 3, vs).otherwise(bound(middle(vs), lambda m: bound(spread(m), lambda s: kept(m, s))))
+
+    left = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.col("vs"), step) if passes else F.col("vs")
+    rows = rows.withColumn("left", left)
+    return rows.select(*pixel, mean_of(F.col("left")).alias("result"), (F.size("vs") - F.size("left")).cast("long").alias("rejected"), F.size("vs").cast("long").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nebulark.functions.sky import color_temperature, planck_rgb
+from nebulark.operators.lineage import checkpointed
 from nebulark.operators.stats import join_keys
 
 #: Least side of a triangle, stars that form triangles, tolerance of ratios of sides.
@@ -51,25 +52,27 @@ def cross_match(stars: DataFrame, catalog: DataFrame, radius: float) -> DataFram
     return near.groupBy("star_id").agg(F.min(F.struct("sep", "cat_id")).alias("m")).select("star_id", F.col("m.cat_id").alias("cat_id"), F.col("m.sep").alias("sep"))
 
 
-def deduplicated(stars: DataFrame, radius: float = 3.0) -> DataFrame:
-    """Stars (star_id, x, y, flux) without those within radius of a brighter one that stays; ties go to the smaller id.
+def deduplicated(stars: DataFrame, radius: float = 3.0, keys: list[str] = ()) -> DataFrame:
+    """Stars (keys, star_id, x, y, flux) without those within radius of a brighter one, of the same keys, that stays; ties
+    go to the smaller id.
 
     A star is decided once all brighter neighbours are: it stays if none of them stays, and goes if one does. Rounds go
     on until all are decided; their number is the longest chain of ever brighter neighbours.
     """
-    spark = stars.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    rows = stars.select("star_id", "x", "y", "flux", F.floor(F.col("y") / radius).alias("gy"), F.floor(F.col("x") / radius).alias("gx"))
-    asked = rows.withColumn("c", F.explode(around("gy", "gx"))).select(F.col("c.y").alias("gy"), F.col("c.x").alias("gx"), F.col("star_id").alias("id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("flux").alias("pf"))
+    keys = list(keys)
+    rows = stars.select(*keys, "star_id", "x", "y", "flux", F.floor(F.col("y") / radius).alias("gy"), F.floor(F.col("x") / radius).alias("gx"))
+    asked = rows.withColumn("c", F.explode(around("gy", "gx"))).select(*keys, F.col("c.y").alias("gy"), F.col("c.x").alias("gx"), F.col("star_id").alias("id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("flux").alias("pf"))
     d2 = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
     brighter = (F.col("flux") > F.col("pf")) | ((F.col("flux") == F.col("pf")) & (F.col("star_id") < F.col("id")))
-    above = asked.join(rows, ["gy", "gx"]).where(brighter & (d2 < radius * radius)).select("id", F.col("star_id").alias("by")).checkpoint()
-    state = stars.select(F.col("star_id").alias("id")).join(above.select("id").distinct().withColumn("b", F.lit(True)), "id", "left").select("id", F.when(F.col("b").isNull(), True).alias("stays")).checkpoint()
+    above = checkpointed(join_keys(asked, rows, [*keys, "gy", "gx"]).where(brighter & (d2 < radius * radius)).select(*keys, "id", F.col("star_id").alias("by")))
+    first = join_keys(stars.select(*keys, F.col("star_id").alias("id")), above.select(*keys, "id").distinct().withColumn("b", F.lit(True)), [*keys, "id"], "left")
+    state = checkpointed(first.select(*keys, "id", F.when(F.col("b").isNull(), True).alias("stays")))
     while not state.where("stays IS NULL").isEmpty():
-        met = above.join(state.select(F.col("id").alias("by"), F.col("stays").alias("s")), "by").groupBy("id").agg(F.max(F.coalesce("s", F.lit(False))).alias("one"), F.max(F.col("s").isNull()).alias("open"))
-        state = state.join(met, "id", "left").select("id", F.coalesce("stays", F.when(F.col("one"), False).when(~F.col("open"), True)).alias("stays")).checkpoint()
-    return stars.join(state.where("stays").select(F.col("id").alias("star_id")), "star_id", "left_semi")
+        known = state.select(*keys, F.col("id").alias("by"), F.col("stays").alias("s"))
+        met = join_keys(above, known, [*keys, "by"]).groupBy(*keys, "id").agg(F.max(F.coalesce("s", F.lit(False))).alias("one"), F.max(F.col("s").isNull()).alias("open"))
+        decided = F.coalesce("stays", F.when(F.col("one"), False).when(~F.col("open"), True))
+        state = checkpointed(join_keys(state, met, [*keys, "id"], "left").select(*keys, "id", decided.alias("stays")))
+    return join_keys(stars, state.where("stays").select(*keys, F.col("id").alias("star_id")), [*keys, "star_id"])
 
 
 def triangles(stars: DataFrame, n: int = TRIANGLE_STARS) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nebulark.functions import color, headers, sky, stretch
 from nebulark.functions.validity import finite, valid
-from nebulark.operators import background, cubes, frames, spatial, stacking, stars, stats
+from nebulark.operators import cubes, frames, spatial, stacking, stars, stats
 from nebulark.plans import views
 from nebulark.plans.views import using
 
@@ -140,12 +140,6 @@ def levels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(views.rgb(spark, sf).withColumn("level", stretch.levels("r", 0.1, 0.9, 2.2)), "level")
 
 
-@query()
-def tone_curve(spark: SparkSession, sf: str) -> DataFrame:
-    lut = stretch.curve_lut([(0.25, 0.15), (0.75, 0.88)])
-    return views.rgb(spark, sf).withColumn("toned", stretch.apply_curve("r", lut))
-
-
 @query(f"{using('rgb')} SELECT * EXCLUDE g, round(g + 0.8 * (least(g, (r + b) / 2) - g), 6) AS g FROM rgb")
 def scnr_average(spark: SparkSession, sf: str) -> DataFrame:
     r, g, b = stretch.col("r"), stretch.col("g"), stretch.col("b")
@@ -191,25 +185,30 @@ def master_bias(spark: SparkSession, sf: str) -> DataFrame:
     return stacking.master(views.stack(spark, sf), ["pixel"])
 
 
-CAL = f"""bias AS (SELECT pixel, {UPPER} AS v FROM frames WHERE id % 4 = 0 GROUP BY pixel),
+CAL = f"""bias AS (SELECT pixel, {UPPER} AS v FROM frames WHERE id % 4 = 0 GROUP BY pixel), dark AS (SELECT pixel, {UPPER} AS v FROM frames WHERE id % 8 = 3 GROUP BY pixel),
 f0 AS (SELECT pixel, {UPPER} AS v FROM (SELECT f.pixel, f.v - coalesce(b.v, 0) AS v FROM frames f LEFT JOIN bias b USING (pixel) WHERE id % 4 = 1) GROUP BY pixel),
 flat AS (SELECT pixel, CASE WHEN v > 0 THEN v / (SELECT avg(v) FROM f0 WHERE v > 0) ELSE 1 END AS v FROM f0)"""
 
 
-@query(f"{using('frames')}, {CAL} SELECT pixel, round(v, 6) AS v FROM flat")
-def master_flat(spark: SparkSession, sf: str) -> DataFrame:
+def masters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lights, and masters of bias, dark and flat: each event has a part."""
     rows = views.frames(spark, sf)
-    bias = stacking.master(rows.where("id % 4 = 0"), ["pixel"])
-    return rounded(stacking.master_flat(rows.where("id % 4 = 1"), ["pixel"], bias), "v")
+    bias, dark = (stacking.master(rows.where(c), ["pixel"]) for c in ("id % 4 = 0", "id % 8 = 3"))
+    return rows.where("id % 4 = 2 OR id % 8 = 7"), bias, dark, stacking.master_flat(rows.where("id % 4 = 1"), ["pixel"], bias)
+
+
+@query(f"{using('frames')}, {CAL} SELECT 'bias' AS kind, pixel, v FROM bias UNION ALL SELECT 'dark', pixel, v FROM dark UNION ALL SELECT 'flat', pixel, round(v, 6) FROM flat")
+def master_flat(spark: SparkSession, sf: str) -> DataFrame:
+    _, bias, dark, flat = masters(spark, sf)
+    named = [m.select(F.lit(k).alias("kind"), "pixel", "v") for k, m in (("bias", bias), ("dark", dark), ("flat", rounded(flat, "v")))]
+    return named[0].unionAll(named[1]).unionAll(named[2])
 
 
-@query(f"""{using('frames')}, {CAL}, c AS (SELECT id, l.v - coalesce(b.v, 0) AS v, f.v AS w FROM frames l LEFT JOIN bias b USING (pixel) LEFT JOIN flat f USING (pixel) WHERE id % 4 > 1)
+@query(f"""{using('frames')}, {CAL}, c AS (SELECT id, l.v - coalesce(b.v, 0) - 0.5 * coalesce(d.v, 0) AS v, f.v AS w FROM frames l LEFT JOIN bias b USING (pixel) LEFT JOIN dark d USING (pixel) LEFT JOIN flat f USING (pixel) WHERE id % 4 = 2 OR id % 8 = 7)
 SELECT id, round(greatest(CASE WHEN abs(w) > 1e-4 THEN v / w ELSE v END, 0), 6) AS v FROM c""")
 def bias_dark_flat(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.frames(spark, sf)
-    bias = stacking.master(rows.where("id % 4 = 0"), ["pixel"])
-    flat = stacking.master_flat(rows.where("id % 4 = 1"), ["pixel"], bias)
-    return rounded(stacking.calibrated(rows.where("id % 4 > 1"), ["pixel"], bias, None, flat).select("id", "v"), "v")
+    lights, bias, dark, flat = masters(spark, sf)
+    return rounded(stacking.calibrated(lights, ["pixel"], bias, dark, flat, 0.5).select("id", "v"), "v")
 
 
 @query(f"{using('frames')} SELECT id, round(v / avg(v) OVER (PARTITION BY frame), 6) AS v FROM frames")
@@ -291,16 +290,6 @@ def local_max_window(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.local_maxima(views.img(spark, sf), [], 5, 0.2)
 
 
-@query()
-def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.labelled(views.img(spark, sf), [], 0.15).groupBy("label").agg(F.count("*").alias("npix"), F.round(F.sum("v"), 6).alias("flux"))
-
-
-@query()
-def component_moments(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.component_moments(spatial.labelled(views.img(spark, sf), [], 0.15), [])
-
-
 @query(f"{using('cube')} SELECT y, x, round(coalesce(avg(v) FILTER (isfinite(v) AND v <> 0), 0), 6) + 0.0 AS v FROM cube GROUP BY y, x")
 def cube_collapse_mean(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cubes.collapsed(views.cube(spark, sf)).drop("cube"), "v").withColumn("y", F.col("y").cast("long"))
@@ -328,11 +317,15 @@ def wavelength_axis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(z.withColumn("nm", headers.wavelength("z", 4750.0, 1.0, 1.25, "ANGSTROM")), "nm")
 
 
-@query("""WITH v(ctype, cunit, cdelt, crval, planes) AS (VALUES ('WAVE', NULL, 1.0, 5.0, 3), (NULL, 'Angstrom', 1.0, NULL, 3), (NULL, NULL, NULL, NULL, 4), (NULL, NULL, 0.5, 2.0, 7), (NULL, NULL, NULL, NULL, 12), ('STOKES', NULL, NULL, NULL, 8))
-SELECT row_number() OVER () AS id, planes, CASE WHEN regexp_matches(coalesce(ctype, ''), 'WAVE|FREQ|VELO|AWAV|VRAD|VOPT|ZOPT|BETA|ENER') OR (cunit IS NOT NULL AND cdelt IS NOT NULL) THEN true WHEN planes <= 4 THEN false WHEN cdelt IS NOT NULL AND crval IS NOT NULL THEN true ELSE planes > 10 END AS spectral FROM v""")
+CTYPES, CUNITS = ("WAVE", "'FREQ-LSR'", "STOKES", "RA---TAN"), ("Angstrom", "km/s", "deg/px", "''")
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN {list(CTYPES)}[p_partkey % 4 + 1] END AS ctype, CASE WHEN p_partkey % 7 > 1 THEN {list(CUNITS)}[p_partkey % 3 + 1] END AS cunit,
+CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS cdelt, CASE WHEN p_size % 2 > 0 THEN 5.0 END AS crval, p_size AS planes FROM part)
+SELECT id, planes, CASE WHEN regexp_matches(coalesce(upper(ctype), ''), 'WAVE|FREQ|VELO|AWAV|VRAD|VOPT|ZOPT|BETA|ENER') OR (regexp_matches(upper(cunit), 'M|A|HZ|EV') AND cdelt IS NOT NULL) THEN true WHEN planes <= 4 THEN false WHEN cdelt IS NOT NULL AND crval IS NOT NULL THEN true ELSE planes > 10 END AS spectral FROM v""".replace('"', "'"))
 def spectral_classify(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "WAVE", None, 1.0, 5.0, 3), (2, None, "Angstrom", 1.0, None, 3), (3, None, None, None, None, 4), (4, None, None, 0.5, 2.0, 7), (5, None, None, None, None, 12), (6, "STOKES", None, None, None, 8)]
-    v = spark.createDataFrame(rows, "id long, ctype string, cunit string, cdelt double, crval double, planes int")
+    k, pick = F.col("p_partkey"), lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % n + 1).cast("int"))
+    v = views.table(spark, sf, "part").select(k.alias("id"), F.when(k % 5 > 0, pick(CTYPES, 4)).alias("ctype"), F.when(k % 7 > 1, pick(CUNITS, 3)).alias("cunit"), F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice")).alias("cdelt"), F.when(F.col("p_size") % 2 > 0, 5.0).alias("crval"), F.col("p_size").alias("planes"))
     return v.select("id", "planes", headers.is_spectral(F.col("ctype"), F.col("cunit"), F.col("cdelt"), F.col("crval"), F.col("planes")).alias("spectral"))
 
 
@@ -391,11 +384,6 @@ def star_topk(spark: SparkSession, sf: str) -> DataFrame:
     return views.stars(spark, sf).orderBy(F.desc("flux"), "star_id").limit(200)
 
 
-@query()
-def star_dedup_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return stars.deduplicated(views.stars(spark, sf), 20.0)
-
-
 TRIANGLES = f"""{using('stars')}, t AS (SELECT * FROM stars ORDER BY flux DESC, star_id LIMIT 60),
 e AS (SELECT a.star_id AS a, b.star_id AS b, c.star_id AS c, list_sort([sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), sqrt(pow(b.x - c.x, 2) + pow(b.y - c.y, 2)), sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2))]) AS s FROM t a JOIN t b ON a.star_id < b.star_id JOIN t c ON b.star_id < c.star_id),
 tri AS (SELECT a, b, c, s[1] / s[3] AS r1, s[2] / s[3] AS r2 FROM e WHERE s[1] >= 15)"""
@@ -422,12 +410,6 @@ def affine_least_squares(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stars.affine_fit(pairs, ["k"]), "a", "b", "tx", "c", "d", "ty")
 
 
-@query()
-def aperture_flux(spark: SparkSession, sf: str) -> DataFrame:
-    own = views.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("star_id"), (F.col("s_suppkey") * 7 % 64).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 500).cast("double").alias("y"))
-    return rounded(stars.aperture_flux(own, views.img(spark, sf), 3.0, 4.0, 6.0), "total", "background", "flux")
-
-
 @query("""WITH s AS (SELECT event_type AS frame, value / 50 AS fwhm, value / 600 AS eccentricity, value / 10 AS snr FROM events), m AS (SELECT frame, count(*) AS n, median(fwhm) AS fwhm, median(eccentricity) AS eccentricity, median(snr) AS snr FROM s GROUP BY frame),
 w AS (SELECT *, (1 / fwhm + 0.5 * (1 - eccentricity) + greatest(ln(snr), 0) + 0.3 / (1 + 10 * 0.02)) / 2.8 AS weight FROM m)
 SELECT frame, n, round(fwhm, 6) AS fwhm, round(eccentricity, 6) AS eccentricity, round(snr, 6) AS snr, round(weight, 6) AS weight, round(weight / max(weight) OVER (), 6) AS relative, n >= 5 AND fwhm <= 8 AND eccentricity <= 0.7 AND snr >= 5 AS accepted FROM w""")
@@ -520,27 +502,6 @@ def window_functions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, "hann", "symmetric", "bell", "tukey", "lanczos")
 
 
-@query(f"""{using('cube')}, p AS (SELECT v, (y + z * 0.3 + 0.5) * 2 AS cy, (x - z * 0.2 + 0.5) * 2 AS cx FROM cube WHERE z < 3 AND y < 20), r AS (SELECT v, cy - 0.8 AS y0, cy + 0.8 AS y1, cx - 0.8 AS x0, cx + 0.8 AS x1 FROM p),
-c AS (SELECT oy, unnest(range(CAST(floor(x0) AS BIGINT), CAST(ceil(x1) AS BIGINT))) AS ox, v, y0, y1, x0, x1 FROM (SELECT *, unnest(range(CAST(floor(y0) AS BIGINT), CAST(ceil(y1) AS BIGINT))) AS oy FROM r)),
-w AS (SELECT oy, ox, v, (least(y1, oy + 1) - greatest(y0, oy)) * (least(x1, ox + 1) - greatest(x0, ox)) AS w FROM c)
-SELECT oy AS y, ox AS x, round(avg(v), 6) + 0.0 AS value, round(sum(w), 6) AS weight, count(*) AS n FROM w WHERE w > 1e-12 AND oy >= 0 AND ox >= 0 GROUP BY oy, ox""")
-def drizzle_square(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.cube(spark, sf).where("z < 3 AND y < 20").select(F.col("z").alias("frame"), "y", "x", "v")
-    offsets = rows.select("frame").distinct().select("frame", (F.col("frame") * 0.3).alias("dy"), (F.col("frame") * -0.2).alias("dx"))
-    return rounded(stacking.drizzle(rows, offsets, 2.0, 0.8), "value", "weight")
-
-
-@query()
-def background_poly(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.img(spark, sf).withColumn("v", F.col("v") + 1 + F.col("y") / 1000)
-    return background.corrected(background.model(rows, background.fit(background.samples(rows, 8), 1), 1)).select("y", "x", F.round("v", 6).alias("v"))
-
-
-@query()
-def tile_background(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(background.tile_background(views.img(spark, sf), [], 32), "background", "sigma")
-
-
 def median_clip_sql(low: float, high: float, passes: int) -> str:
     out = "r0 AS (SELECT pixel, v, count(*) OVER w AS total FROM stack WINDOW w AS (PARTITION BY pixel))"
     for k in range(passes):
@@ -595,9 +556,7 @@ def file_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_type), 'econ')")
 def file_search(spark: SparkSession, sf: str) -> DataFrame:
-    return frames.matching(views.table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "BOLT", "p_name").unionByName(
-        frames.matching(views.table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), "econ", "p_type")
-    ).distinct()
+    return frames.matching_any(views.table(spark, sf, "part").select("p_partkey", "p_name", "p_type"), {"p_name": "BOLT", "p_type": "econ"})
 
 
 @query("SELECT event_id AS id, CASE WHEN k < 10 THEN k ELSE 18 - k END AS reflected FROM (SELECT event_id, (event_id - 25) % 18 + CASE WHEN (event_id - 25) % 18 < 0 THEN 18 ELSE 0 END AS k FROM events)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nebulark.plans import geometry, queries  # noqa: F401  (importing geometry registers its queries)
+from nebulark.plans import fields, geometry, queries, workflows  # noqa: F401  (importing them registers their queries)
 
 QUERIES: dict = queries.QUERIES
 ORACLE: dict[str, str] = queries.ORACLE
