@@ -7,8 +7,6 @@ the highest level that lies safely inside a window stands for the window; window
 
 from __future__ import annotations
 
-from hashlib import md5
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -135,22 +133,18 @@ def occurrences(texts: list[bytes], size: int, names: Names):
     return doc[head], name[head].view(np.int64), prints.view(np.int64), where - offset[doc[head]], where - start, end - where
 
 
-def digest(words: list[bytes]) -> bytes:
-    return md5(b" ".join(words), usedforsecurity=False).digest()
-
-
 def dedup(docs: DataFrame, size: int = 50, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kept (the words that stay, joined by one space), n_words and n_removed.
 
     A word goes if it is covered by a window of `size` words that starts also in a document with a smaller id; windows
     are judged on the input. Windows are equal only if their anchors are, so the stretches of windows around anchors that
-    several documents share are compared, whole first: a stretch that a smaller document has too goes, once the digest of
-    its words, taken again from the text itself, is that of the smaller document's words; of stretches seen first in a
-    document, the windows are compared one by one, by two 64-bit prints, with those of other stretches around the same
-    anchor. Copies are reduced to the smallest document before every shuffle by key, and no list grows beyond a
-    document's own length. Texts that are null, empty or shorter than a window keep all words; a null id is neither
-    smaller nor larger than another; rows that repeat an id are told apart by a 64-bit hash of the text and don't remove
-    each other's words; columns of docs stay, those named as the result are replaced.
+    several documents share are compared, whole first: a stretch that a smaller document has too goes; of stretches seen
+    first in a document, the windows are compared one by one with those of other stretches around the same anchor. Equal
+    means two 64-bit values of the words, the anchor's name and the stretch's or window's print; no false match is
+    expected below some 10^18 pairs. Copies are reduced to the smallest document before every shuffle by key, and no list
+    grows beyond a document's own length. Texts that are null, empty or shorter than a window keep all words; a null id
+    is neither smaller nor larger than another; rows that repeat an id are told apart by a 64-bit hash of the text and
+    don't remove each other's words; columns of docs stay, those named as the result are replaced.
     """
     made = ["kept", "n_words", "n_removed"]
     keep = [c for c in docs.columns if c not in made]
@@ -168,50 +162,37 @@ def dedup(docs: DataFrame, size: int = 50, *, id_col: str = "doc_id", text_col:
     names = found.groupBy("name").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"))
     # Written, so that the join below starts from two plain exchanges and Spark can split a name that many texts have.
     names = stash(names.where("least < most").select("name", "least", (F.col("a") != F.col("b")).alias("several")))
-    shared = stash(found.join(names, "name"))
-    leaders = stash(shared.groupBy("name", "span").agg(F.min(F.struct("doc", "row", "at", "before", "after")).alias("x"), F.min("least").alias("least"), F.first("several").alias("several")).select("name", "span", "least", "several", "x.*"))
-    asked = leaders.groupBy("doc", "row").agg(F.collect_list(F.struct("name", "span", "at", "before", "after", "several")).alias("spans"))
+    shared = stash(found.join(names, "name").where("several OR doc > least"))
+    several = shared.where("several")
+    leaders = stash(several.groupBy("name", "span").agg(F.min(F.struct("doc", "row", "at", "before", "after")).alias("x"), F.min("least").alias("least")).select("name", "span", "least", "x.*"))
+    asked = leaders.groupBy("doc", "row").agg(F.collect_list(F.struct("name", "span", "at", "before", "after")).alias("spans"))
 
     def expand(batches):
-        """Digests of the stretches, and two prints of each window of those that have others around their anchor."""
         names = Names()
         for batch in slices(batches, 0):
-            out: list[list] = [[], [], [], [], [], []]
-            whole: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, doc, spans in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = text.split()
-                if any(x["several"] for x in spans):
-                    own = names.of(words)
-                    prints, more = (window_prints(x, size).view(np.int64) for x in (own, mix(own + U(1 << 35))))
+                prints = window_prints(names.of(text.split()), size).view(np.int64)
                 for x in spans:
-                    start, n = x["at"] - x["before"], x["before"] + x["after"] - size + 1
-                    for col, value in zip(whole, (x["name"], x["span"], digest(words[start : x["at"] + x["after"]]))):
-                        col.append(value)
-                    if not x["several"]:
-                        continue
+                    n = x["before"] + x["after"] - size + 1
                     for col, value in zip(out, (x["name"], x["span"], doc)):
                         col.append(np.full(n, value))
-                    out[3].append(prints[start : start + n])
-                    out[4].append(more[start : start + n])
-                    out[5].append(np.arange(n, dtype=np.int32) - np.int32(x["before"]))
-            columns = ["name", "span", "doc", "print", "more", "off", "digest"]
-            n = len(whole[0])
-            yield pa.RecordBatch.from_arrays([pa.array(whole[0], pa.int64()), pa.array(whole[1], pa.int64()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())), pa.array(whole[2], pa.binary())], names=columns)
+                    out[3].append(prints[x["at"] - x["before"] : x["at"] - x["before"] + n])
+                    out[4].append(np.arange(n, dtype=np.int32) - np.int32(x["before"]))
             if out[0]:
-                out = [np.concatenate(c) for c in out]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.nulls(len(out[0]), pa.binary())], names=columns)
-
-    expanded = stash(texts.join(asked, ["doc", "row"]).select("text", "doc", "spans").mapInArrow(expand, "name long, span long, doc long, print long, more long, off int, digest binary"))
-    windows = expanded.where("digest IS NULL").select("name", "span", "doc", "print", "more", "off")
-    firsts = windows.groupBy("name", "print", "more").agg(F.min("doc").alias("least"))
-    again = windows.join(firsts, ["name", "print", "more"]).where("least < doc").groupBy("name", "span").agg(F.collect_set("off").alias("offs"))
-    whole = shared.join(leaders.select("name", "span", F.col("doc").alias("leader")), ["name", "span"]).where("doc > leader")
-    whole = whole.join(expanded.where("digest IS NOT NULL").select("name", "span", "digest").dropDuplicates(["name", "span"]), ["name", "span"])
-    part = shared.where("several").join(leaders.where("doc > least").select("name", "span", "doc"), ["name", "span", "doc"]).join(again, ["name", "span"])
-    cuts = whole.select("doc", "row", (F.col("at") - F.col("before")).alias("s"), (F.col("at") + F.col("after")).alias("e"), "digest").unionAll(
-        part.select("doc", "row", "at", F.explode("offs").alias("off")).select("doc", "row", (F.col("at") + F.col("off")).alias("s"), (F.col("at") + F.col("off") + size).alias("e"), F.lit(None).cast("binary"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["name", "span", "doc", "print", "off"])
+
+    windows = stash(texts.join(asked, ["doc", "row"]).select("text", "doc", "spans").mapInArrow(expand, "name long, span long, doc long, print long, off int"))
+    firsts = windows.groupBy("name", "print").agg(F.min("doc").alias("least"))
+    again = windows.join(firsts, ["name", "print"]).where("least < doc").groupBy("name", "span").agg(F.collect_set("off").alias("offs"))
+    whole = shared.where("NOT several").select("doc", "row", "at", "before", "after").unionAll(
+        several.join(leaders.select("name", "span", F.col("doc").alias("leader")), ["name", "span"]).where("doc > leader").select("doc", "row", "at", "before", "after")
+    )
+    part = several.join(leaders.where("doc > least").select("name", "span", "doc"), ["name", "span", "doc"]).join(again, ["name", "span"])
+    cuts = whole.select("doc", "row", (F.col("at") - F.col("before")).alias("s"), (F.col("at") + F.col("after")).alias("e")).unionAll(
+        part.select("doc", "row", "at", F.explode("offs").alias("off")).select("doc", "row", (F.col("at") + F.col("off")).alias("s"), (F.col("at") + F.col("off") + size).alias("e"))
     )
-    cuts = stash(cuts.groupBy("doc", "row").agg(F.collect_set(F.struct("s", "e", "digest")).alias("cuts")))
+    cuts = stash(cuts.groupBy("doc", "row").agg(F.collect_set(F.struct("s", "e")).alias("cuts")))
     own = docs.alias("d").join(cuts.alias("c"), (F.col(f"d.{id_col}").cast("long") == F.col("c.doc")) & (F.xxhash64(f"d.{text_col}") == F.col("c.row")), "left")
     joined = own.select("d.*", "c.cuts")
 
@@ -222,9 +203,8 @@ def dedup(docs: DataFrame, size: int = 50, *, id_col: str = "doc_id", text_col:
                 words = (text or b"").split()
                 edge = np.zeros(len(words) + 1, np.int32)
                 for x in gone or ():
-                    if x["digest"] is None or x["digest"] == digest(words[x["s"] : x["e"]]):
-                        edge[x["s"]] += 1
-                        edge[x["e"]] -= 1
+                    edge[x["s"]] += 1
+                    edge[x["e"]] -= 1
                 stays = (np.cumsum(edge[:-1]) == 0).tolist()
                 left = [w for w, s in zip(words, stays) if s] if gone else words
                 kept.append(b" ".join(left))
