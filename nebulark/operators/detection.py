@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nebulark.functions.color import luminance_or_zero
 from nebulark.functions.validity import finite
 from nebulark.operators.background import tile_background
+from nebulark.operators.lineage import checkpointed
 from nebulark.operators.spatial import component_moments, labelled, size_of
 from nebulark.operators.stars import deduplicated
 from nebulark.operators.stats import join_keys, normalized
@@ -37,13 +38,13 @@ def detected(pixels: DataFrame, keys: list[str], sigma: float = 5.0) -> DataFram
     width of 0.5 to 30; of stars within 3 samples of each other the brightest stays. Frames with less than 3 rows or
     columns have none. Background, components and neighbours are joins and aggregates by frame and tile, run or cell.
     """
-    ground = levels(pixels, keys)
+    ground = checkpointed(levels(pixels, keys))
     rows = join_keys(pixels.select(*keys, "y", "x", "v"), ground.drop("h", "w"), keys)
     found = labelled(rows, keys, F.col("background") + sigma * F.col("sigma"))
     own = join_keys(found, ground, keys).where((F.col("h") >= LEAST_SIDE) & (F.col("w") >= LEAST_SIDE))
     above = own.withColumn("v", F.greatest(F.col("v") - F.col("background"), F.lit(0.0))).select(*keys, "y", "x", "v", "label")
     stars = component_moments(above, keys).where(F.col("npix").between(*SAMPLES) & F.col("fwhm").between(*WIDTH))
-    stars = join_keys(stars.withColumnRenamed("label", "star_id"), ground.drop("h", "w"), keys)
+    stars = checkpointed(join_keys(stars.withColumnRenamed("label", "star_id"), ground.drop("h", "w"), keys))
     return deduplicated(stars.withColumn("snr", snr(F.col("peak"), F.col("sigma"))), APART, keys)
 
 

@@ -50,15 +50,15 @@ def stretched(rows: DataFrame, target: float = TARGET, rounds: int = ROUNDS, pro
     """rows (y, x, v, mask) scaled to 0 to 1 and stretched by midtone steps, with rounds, background and converged.
 
     Each step moves the median of unmasked samples to the target, and a sample as far as its mask lets it. It ends at the
-    target, or once a step moves the median by less than a tenth of the tolerance. The driver learns one number a round;
-    the steps stay one expression over the original samples.
+    target, or once a step moves the median by less than a tenth of the tolerance. The driver learns one number a round,
+    and each step's samples are checkpointed.
     """
     low, high = rows.where(valid("v")).agg(F.min("v"), F.max("v")).first()
     flat = high is None or high - low < 1e-10
     x = F.when(~finite("v") | (F.col("v") <= 0) | F.lit(flat), 0.0).otherwise(clamp((F.col("v") - F.lit(low or 0.0)) / F.lit(1.0 if flat else high - low)))
-    rows = rows.withColumn("v", x)
+    rows = checkpointed(rows.select("y", "x", x.alias("v"), "mask"))
     now, held, before, run, converged = F.col("v"), F.col("mask") * protection, None, 0, False
-    background = lambda: (masked_median(rows.withColumn("s", now), [], "s").first()["median"] or 0.0)
+    background = lambda: masked_median(rows, []).first()["median"] or 0.0
     for k in range(rounds):
         run, median = k + 1, background()
         converged = abs(median - target) < tolerance
@@ -67,7 +67,7 @@ def stretched(rows: DataFrame, target: float = TARGET, rounds: int = ROUNDS, pro
         below = 2 * target * median - target - median
         midtone = 0.5 if abs(below) < 1e-15 else min(max(median * (target - 1) / below, 1e-4), 0.9999)
         step = F.when(now <= 0, 0.0).when(now >= 1, 1.0).otherwise(masked_mtf(now, F.lit(midtone)))
-        now, before = now * held + step * (1 - held), median
+        rows, before = checkpointed(rows.withColumn("v", now * held + step * (1 - held))), median
     return rows.select("y", "x", clamp(now).alias("v"), F.lit(run).alias("rounds"), F.lit(background()).alias("background"), F.lit(converged).alias("converged"))
 
 

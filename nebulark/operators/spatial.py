@@ -27,10 +27,9 @@ def smoothed(pixels: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
 
     Along each axis a sample is read by at most five cells, and by more only at the edge, where taps fall together.
     """
-    out = pixels.select(*keys, "y", "x", "v")
+    out, size = pixels.select(*keys, "y", "x", "v"), size_of(pixels, keys)
     for axis, side in (("y", "h"), ("x", "w")):
-        n = out.groupBy(*keys).agg((F.max(axis) + 1).alias("n"))
-        rows = join_keys(out, n, keys)
+        rows = join_keys(out, size.select(*keys, F.col(side).alias("n")), keys)
         taps = F.array(*(F.struct(F.lit(k * step).alias("o"), F.lit(w / 16).alias("w")) for k, w in zip(range(-2, 3), B3)))
         rows = rows.withColumn("t", F.explode(taps))
         # Cell c reads the sample at clamp(c + o): a sample at s is read by s - o, one at the edge by all cells beyond, too.

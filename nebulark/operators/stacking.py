@@ -19,6 +19,12 @@ def middle(values: Column) -> Column:
     return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
 
 
+def averaged_middle(values: Column) -> Column:
+    """The median of a sorted array, the mean of the middle two of an even number."""
+    half = (F.size(values) / 2).cast("int")
+    return F.when(F.size(values) % 2 == 1, F.element_at(values, half + 1)).otherwise((F.element_at(values, F.greatest(half, F.lit(1))) + F.element_at(values, half + 1)) / 2)
+
+
 def mean_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
@@ -65,16 +71,13 @@ def sigma_clip(stack: DataFrame, pixel: list[str], low: float = 3.0, high: float
 
 
 def clipped_stats(samples: DataFrame, keys: list[str], kappa: float = 3.0, passes: int = 2, v: str = "v") -> DataFrame:
-    """Per key median and sigma of samples after symmetric clipping by averaged median and deviation, while three or more are left."""
-    rows = samples.where(finite(v)).select(*keys, F.col(v).cast("double").alias("v"))
-    for _ in range(passes):
-        centre = rows.groupBy(*keys).agg(F.median("v").alias("m"), F.count("*").alias("n"))
-        rows = join_keys(rows, centre, keys)
-        spread = rows.groupBy(*keys).agg(F.median(F.abs(F.col("v") - F.col("m"))).alias("d"))
-        rows = join_keys(rows, spread, keys).where((F.col("n") < 3) | (F.abs(F.col("v") - F.col("m")) <= kappa * F.greatest(F.col("d") * MAD_SIGMA, F.lit(1e-10)))).select(*keys, "v")
-    centre = rows.groupBy(*keys).agg(F.median("v").alias("median"), F.count("*").alias("n"))
-    spread = join_keys(rows, centre, keys).groupBy(*keys).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("d"))
-    return join_keys(centre, spread, keys).select(*keys, "median", F.greatest(F.col("d") * MAD_SIGMA, F.lit(1e-10)).alias("sigma"), "n")
+    """Per key median, sigma and n of samples after symmetric clipping by averaged median and deviation, while three or more are left."""
+    rows = sample_arrays(samples, keys, finite(v), v)
+    sigma = lambda vs, m: F.greatest(averaged_middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA, F.lit(1e-10))
+    step = lambda vs, k: F.when(F.size(vs) < 3, vs).otherwise(bound(averaged_middle(vs), lambda m: bound(sigma(vs, m), lambda s: within(vs, m, s, kappa, kappa))))
+    rows = rows.withColumn("vs", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.col("vs"), step) if passes else F.col("vs"))
+    rows = rows.withColumn("median", averaged_middle(F.col("vs")))
+    return rows.select(*keys, "median", sigma(F.col("vs"), F.col("median")).alias("sigma"), F.size("vs").cast("long").alias("n"))
 
 
 def master(frames: DataFrame, pixel: list[str], v: str = "v") -> DataFrame:
@@ -133,12 +136,6 @@ def drizzle(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: f
     return drizzle_hits(frames, offsets, scale, shrink).groupBy("y", "x").agg(F.avg("v").alias("value"), F.sum("w").alias("weight"), F.count("*").alias("n"))
 
 
-def averaged_middle(values: Column) -> Column:
-    """The median of a sorted array, the mean of the middle two of an even number."""
-    half = (F.size(values) / 2).cast("int")
-    return F.when(F.size(values) % 2 == 1, F.element_at(values, half + 1)).otherwise((F.element_at(values, F.greatest(half, F.lit(1))) + F.element_at(values, half + 1)) / 2)
-
-
 def drizzle_clipped(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8, low: float = 3.0, high: float = 3.0, passes: int = 3) -> DataFrame:
     """Cells (y, x) with value, weight, n and rejected: the mean of a cell's samples without those that passes about the
     averaged median, with 1.4826 times the averaged deviation, find beyond the limits; the weights are of all samples."""

@@ -45,7 +45,7 @@ p AS (SELECT label, y, x, v FROM l SEMI JOIN inside USING (label) JOIN b USING (
 
 #: Moments of components p0 (label, y, x, f), as SQL.
 MOMENTS = """m AS (SELECT label, sum(f) AS flux, max(f) AS peak, count(*) AS npix, sum(f * y) / sum(f) AS cy, sum(f * x) / sum(f) AS cx FROM p0 GROUP BY label HAVING sum(f) > 0),
-q AS (SELECT label, flux, peak, npix, cy, cx, sum((x - cx) * (x - cx) * f) / flux AS ixx, sum((y - cy) * (y - cy) * f) / flux AS iyy, sum((x - cx) * (y - cy) * f) / flux AS ixy FROM p0 JOIN m USING (label) GROUP BY ALL),
+q AS (SELECT label, flux, peak, npix, cy, cx, sum((x - cx) * (x - cx) * f) / flux AS ixx, sum((y - cy) * (y - cy) * f) / flux AS iyy, sum((x - cx) * (y - cy) * f) / flux AS ixy FROM p0 JOIN m USING (label) GROUP BY label, flux, peak, npix, cy, cx),
 e AS (SELECT *, (ixx + iyy) / 2 + sqrt(pow(ixx - iyy, 2) / 4 + ixy * ixy) AS big, greatest((ixx + iyy) / 2 - sqrt(pow(ixx - iyy, 2) / 4 + ixy * ixy), 0) AS small FROM q),
 star AS (SELECT label, cx AS x, cy AS y, flux, peak, npix, 2.3548200450309493 * sqrt((ixx + iyy) / 2) AS fwhm, CASE WHEN big > 1e-10 THEN sqrt(greatest(0, 1 - small / big)) ELSE 0 END AS eccentricity FROM e)"""
 
@@ -230,7 +230,7 @@ r{k + 1} AS MATERIALIZED (SELECT oy, ox, v FROM d{k} WHERE n < 2 OR (v - m >= {-
     return out
 
 
-@query(f"{using('cube')}, {drizzle_sql()}, {drizzle_clip_sql(2.0, 2.0, 3)}, z AS (SELECT oy, ox, avg(v) AS value, count(*) AS left FROM r3 GROUP BY oy, ox) SELECT oy AS y, ox AS x, round(value, 6) + 0.0 AS value, round(weight, 6) AS weight, n, n - left AS rejected FROM a JOIN z USING (oy, ox)")
+@query(f"{using('cube')}, {drizzle_sql()}, {drizzle_clip_sql(2.0, 2.0, 3)}, z AS (SELECT oy, ox, avg(v) AS value, count(*) AS stay FROM r3 GROUP BY oy, ox) SELECT oy AS y, ox AS x, round(value, 6) + 0.0 AS value, round(weight, 6) AS weight, n, n - stay AS rejected FROM a JOIN z USING (oy, ox)")
 def drizzle_clipped(spark: SparkSession, sf: str) -> DataFrame:
     rows, offsets = drizzle_input(spark, sf)
     return rounded(stacking.drizzle_clipped(rows, offsets, 2.0, 0.8, 2.0, 2.0, 3), "value", "weight")
@@ -241,12 +241,12 @@ CURVE = """k AS (SELECT 0.6 AS d0, 1.46 AS d1, 0.48 AS d2), g AS (SELECT d0, d1,
 f0 AS (SELECT *, pow(m0 / d0, 2) + pow(m1 / d0, 2) AS t FROM g), f1 AS (SELECT d0, d1, d2, CASE WHEN t > 9 THEN 3 / sqrt(t) * m0 ELSE m0 END AS m0, CASE WHEN t > 9 THEN 3 / sqrt(t) * m1 ELSE m1 END AS m1, m2, m3 FROM f0),
 f2 AS (SELECT *, pow(m1 / d1, 2) + pow(m2 / d1, 2) AS t FROM f1), f3 AS (SELECT d0, d1, d2, m0, CASE WHEN t > 9 THEN 3 / sqrt(t) * m1 ELSE m1 END AS m1, CASE WHEN t > 9 THEN 3 / sqrt(t) * m2 ELSE m2 END AS m2, m3 FROM f2),
 f4 AS (SELECT *, pow(m2 / d2, 2) + pow(m3 / d2, 2) AS t FROM f3), f5 AS (SELECT m0, m1, CASE WHEN t > 9 THEN 3 / sqrt(t) * m2 ELSE m2 END AS m2, CASE WHEN t > 9 THEN 3 / sqrt(t) * m3 ELSE m3 END AS m3 FROM f4),
-pieces AS (SELECT unnest([0.0, 0.25, 0.75]) AS x0, unnest([0.25, 0.75, 1.0]) AS x1, unnest([0.0, 0.15, 0.88]) AS y0, unnest([0.15, 0.88, 1.0]) AS y1, unnest([m0, m1, m2]) AS a, unnest([m1, m2, m3]) AS b, unnest([0, 1, 2]) AS piece FROM f5)"""
+pieces AS (SELECT unnest([0.0, 0.25, 0.75]) AS x0, unnest([0.25, 0.75, 1.0]) AS x1, unnest([0.0, 0.15, 0.88]) AS y0, unnest([0.15, 0.88, 1.0]) AS y1, unnest([m0, m1, m2]) AS ta, unnest([m1, m2, m3]) AS tb, unnest([0, 1, 2]) AS piece FROM f5)"""
 
 
 def toned(c: str) -> str:
     h, t = "(x1 - x0)", f"((floor(least(greatest({c}, 0), 1) * 4095) / 4095 - x0) / (x1 - x0))"
-    return f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, r, g, b, y0 * (1 + 2 * {t}) * pow(1 - {t}, 2) + {h} * a * {t} * pow(1 - {t}, 2) + y1 * pow({t}, 2) * (3 - 2 * {t}) + {h} * b * pow({t}, 2) * ({t} - 1) AS v FROM rgb JOIN pieces ON piece = CASE WHEN floor(least(greatest({c}, 0), 1) * 4095) / 4095 <= 0.25 THEN 0 WHEN floor(least(greatest({c}, 0), 1) * 4095) / 4095 <= 0.75 THEN 1 ELSE 2 END"
+    return f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, r, g, b, y0 * (1 + 2 * {t}) * pow(1 - {t}, 2) + {h} * ta * {t} * pow(1 - {t}, 2) + y1 * pow({t}, 2) * (3 - 2 * {t}) + {h} * tb * pow({t}, 2) * ({t} - 1) AS v FROM rgb JOIN pieces ON piece = CASE WHEN floor(least(greatest({c}, 0), 1) * 4095) / 4095 <= 0.25 THEN 0 WHEN floor(least(greatest({c}, 0), 1) * 4095) / 4095 <= 0.75 THEN 1 ELSE 2 END"
 
 
 @query(f"{using('rgb')}, {CURVE} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, r, g, b, round(least(greatest(v, 0), 1), 6) AS toned FROM ({toned('r')})")

@@ -317,12 +317,12 @@ def wavelength_axis(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(z.withColumn("nm", headers.wavelength("z", 4750.0, 1.0, 1.25, "ANGSTROM")), "nm")
 
 
-CTYPES, CUNITS = ("WAVE", "'FREQ-LSR'", "STOKES", "RA---TAN"), ("Angstrom", "km/s", "deg/px", "''")
+CTYPES, CUNITS = ("WAVE", "freq-lsr", "STOKES", "RA---TAN"), ("Angstrom", "km/s", "deg/px")
 
 
 @query(f"""WITH v AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 > 0 THEN {list(CTYPES)}[p_partkey % 4 + 1] END AS ctype, CASE WHEN p_partkey % 7 > 1 THEN {list(CUNITS)}[p_partkey % 3 + 1] END AS cunit,
 CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS cdelt, CASE WHEN p_size % 2 > 0 THEN 5.0 END AS crval, p_size AS planes FROM part)
-SELECT id, planes, CASE WHEN regexp_matches(coalesce(upper(ctype), ''), 'WAVE|FREQ|VELO|AWAV|VRAD|VOPT|ZOPT|BETA|ENER') OR (regexp_matches(upper(cunit), 'M|A|HZ|EV') AND cdelt IS NOT NULL) THEN true WHEN planes <= 4 THEN false WHEN cdelt IS NOT NULL AND crval IS NOT NULL THEN true ELSE planes > 10 END AS spectral FROM v""".replace('"', "'"))
+SELECT id, planes, CASE WHEN regexp_matches(coalesce(upper(ctype), ''), 'WAVE|FREQ|VELO|AWAV|VRAD|VOPT|ZOPT|BETA|ENER') OR (regexp_matches(upper(cunit), 'M|A|HZ|EV') AND cdelt IS NOT NULL) THEN true WHEN planes <= 4 THEN false WHEN cdelt IS NOT NULL AND crval IS NOT NULL THEN true ELSE planes > 10 END AS spectral FROM v""")
 def spectral_classify(spark: SparkSession, sf: str) -> DataFrame:
     k, pick = F.col("p_partkey"), lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (F.col("p_partkey") % n + 1).cast("int"))
     v = views.table(spark, sf, "part").select(k.alias("id"), F.when(k % 5 > 0, pick(CTYPES, 4)).alias("ctype"), F.when(k % 7 > 1, pick(CUNITS, 3)).alias("cunit"), F.when(F.col("p_size") % 3 > 0, F.col("p_retailprice")).alias("cdelt"), F.when(F.col("p_size") % 2 > 0, 5.0).alias("crval"), F.col("p_size").alias("planes"))
