@@ -19,6 +19,8 @@ from nebulark.llm.common import folded_words, kinds, slices, stash, text_key
 BLOCK_BYTES = 8 << 20
 #: Texts with hits that are broadcast to be merged, some tens of MB; beyond that a join shuffles.
 BROADCAST_TEXTS = 50_000
+#: Bytes of text whose words a task holds at a time; some 20 bytes of objects stand for each.
+TEXT_BYTES = 2 << 20
 #: Symbols of one FM-index.
 SHARD_SYMBOLS = 1 << 19
 #: Every so many suffix positions are kept.
@@ -209,7 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     joined = docs.join(F.broadcast(found) if few else found, text_key(text_col).eqNullSafe(F.col("__key")), "left").select(*(docs[c] for c in keep), "__spans", "__items")
 
     def merge(batches):
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, TEXT_BYTES):
             words = [len(folded_words(x)) if x else 0 for x in batch.column(at).cast(pa.binary()).to_pylist()]
             spans = [merged([x for one in of or () for x in zip(one[::2], one[1::2])]) for of in batch.column(len(keep)).to_pylist()]
             items = [sorted(set().union(*(of or ()))) for of in batch.column(len(keep) + 1).to_pylist()]
@@ -232,7 +234,7 @@ def search(shared, at: int, keep: list[str]):
     """A function for mapInArrow that finds a broadcast block's phrases in the texts of column `at`."""
 
     def scan(batches):
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, TEXT_BYTES):
             words = [folded_words(x) if x else [] for x in batch.column(at).cast(pa.binary()).to_pylist()]
             found = find(words, shared.value)
             yield result(batch, keep, map(len, words), [merged(x) for x, _ in found], [sorted(x) for _, x in found])

@@ -24,6 +24,8 @@ DENSE_BYTES = 256 << 20
 HELD_DOCS, SHORT_CHARS = 100, 20
 #: Highest threshold, in mean characters of a phrase; in languages of an alphabet, texts have about six.
 LEAST_PHRASE = 2.0
+#: Bytes of text that a task parses at a time; some 15 bytes of arrays stand for each.
+TEXT_BYTES = 2 << 20
 #: Characters of the pieces of a long text that are parsed side by side, before the parse is carried over their ends.
 PIECE = 1024
 
@@ -269,7 +271,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, text_col: str = "text", la
 
     def scan(batches):
         langs, least = np.array([*model.value["langs"], "und"], object), np.append(model.value["least"], np.inf)
-        for batch in slices(batches, keep.index(text_col)):
+        for batch in slices(batches, keep.index(text_col), TEXT_BYTES):
             texts = [x or "" for x in batch.column(keep.index(text_col)).to_pylist()]
             total, lengths = phrases(model.value, texts)
             some = (lengths > 0) & (len(langs) > 1)
