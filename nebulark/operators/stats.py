@@ -92,3 +92,46 @@ def normalized(pixels: DataFrame, keys: list[str], how: str, v: str = "v", to: s
         y = F.when(F.col("a") < 1e-15, x).otherwise(F.try_divide(x, F.col("a")))
     extra = [c for c in own.columns if c not in keys]
     return join_keys(pixels, own, keys).withColumn(to, F.coalesce(F.when(ok, y), F.lit(0.0))).drop(*extra)
+
+
+def at_rank(hist: DataFrame, keys: list[str], rank: Column) -> DataFrame:
+    """Per key of a histogram (keys, bin, cnt, and what rank reads) the bin in which a rank lies: bin, before (how many lie
+    below it) and frac, how far into the bin the rank is. A window over a histogram's bins, whose number is fixed."""
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    ranked = hist.withColumn("upto", F.sum("cnt").over(own.orderBy("bin"))).withColumn("rank", rank)
+    found = ranked.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("cnt") < F.col("rank")))
+    return found.select(*keys, "bin", (F.col("upto") - F.col("cnt")).alias("before"), (1 - (F.col("upto") - F.col("rank")) / F.col("cnt")).alias("frac"))
+
+
+def histogram_stats(pixels: DataFrame, keys: list[str], v: str = "v", ok=valid, bins: int = BINS) -> DataFrame:
+    """Per frame min, max, mean, median, mad, sigma and valid_count from histograms alone, for frames of any size.
+
+    The median's bin is split into as many again, and so are the bins about that of the deviations' median, in which the
+    ranks are interpolated; so both are within the range over the square of the bins. No task holds samples or their
+    distinct values: each pass is counts of bins, partial first. Frames without valid samples have no row.
+    """
+    some = pixels.where(ok(v)).select(*keys, F.col(v).cast("double").alias("v"))
+    facts = some.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.count("*").alias("n"))
+    facts = facts.withColumn("range", F.greatest(F.col("max") - F.col("min"), F.lit(1e-30))).withColumn("half", F.ceil(F.col("n") * 0.5)).where("n > 0")
+    own = [c for c in facts.columns if c not in keys]
+    rows = join_keys(some, facts, keys)
+    slot = lambda x, width: F.least(F.floor(x * bins / width), F.lit(bins - 1))
+    counted = lambda df, *more: df.groupBy(*keys, *own, *more, "bin").agg(F.count("*").alias("cnt"))
+    coarse = at_rank(counted(rows.withColumn("bin", slot(F.col("v") - F.col("min"), F.col("range")))), keys, F.col("half"))
+    width = F.col("range") / bins
+    coarse = join_keys(facts, coarse, keys).select(*keys, *own, "before", (F.col("min") + F.col("bin") * width).alias("lo"), (F.col("min") + (F.col("bin") + F.col("frac")) * width).alias("near"))
+    rows = join_keys(some, coarse, keys)
+    inner = rows.where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("lo") + width)).withColumn("bin", slot(F.col("v") - F.col("lo"), width))
+    fine = at_rank(counted(inner, "before"), keys, F.col("half") - F.col("before"))
+    spread = at_rank(counted(rows.withColumn("bin", slot(F.abs(F.col("v") - F.col("near")), F.col("range")))), keys, F.col("half"))
+    fine = fine.select(*keys, ((F.col("bin") + F.col("frac")) / bins).alias("part"))
+    spread = spread.select(*keys, F.greatest(F.col("bin") - 1, F.lit(0)).alias("from"), F.least(F.col("bin") + 2, F.lit(bins)).alias("to"))
+    found = join_keys(join_keys(coarse, fine, keys, "left"), spread, keys)
+    found = found.select(*keys, *own, (F.col("lo") + F.coalesce("part", F.lit(0.0)) * width).alias("median"), (F.col("from") * width).alias("d0"), (F.col("to") * width).alias("d1"))
+    rows = join_keys(some, found, keys).withColumn("d", F.abs(F.col("v") - F.col("median")))
+    below = rows.groupBy(*keys).agg(F.sum((F.col("d") < F.col("d0")).cast("long")).alias("below"))
+    region = rows.where((F.col("d") >= F.col("d0")) & (F.col("d") < F.col("d1"))).withColumn("bin", slot(F.col("d") - F.col("d0"), F.greatest(F.col("d1") - F.col("d0"), F.lit(1e-30))))
+    mad = at_rank(join_keys(counted(region), below, keys), keys, F.col("half") - F.col("below")).select(*keys, ((F.col("bin") + F.col("frac")) / bins).alias("part"))
+    out = join_keys(found, mad, keys, "left")
+    value = F.col("d0") + F.coalesce("part", F.lit(0.0)) * F.greatest(F.col("d1") - F.col("d0"), F.lit(1e-30))
+    return out.select(*keys, "min", "max", "mean", "median", value.alias("mad"), F.greatest(value * MAD_SIGMA, F.lit(1e-30)).alias("sigma"), F.col("n").alias("valid_count"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nebulark.functions import stretch
-from nebulark.operators import background, detection, masked, spatial, stacking, stars
+from nebulark.operators import background, detection, masked, spatial, stacking, stars, stats
 from nebulark.plans import views
 from nebulark.plans.queries import OK, UPPER, query, rounded
 from nebulark.plans.views import SQL, using
@@ -145,8 +145,9 @@ def background_residual(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def smoothed_sql(source: str, name: str, step: int) -> str:
-    return f"""{name}y AS MATERIALIZED (SELECT c.y, c.x, sum(w * s.v) AS v FROM {source} c, k, n JOIN {source} s ON s.x = c.x AND s.y = least(greatest(c.y + o * {step}, 0), my) GROUP BY c.y, c.x),
-{name} AS MATERIALIZED (SELECT c.y, c.x, sum(w * s.v) AS v FROM {name}y c, k, n JOIN {name}y s ON s.y = c.y AND s.x = least(greatest(c.x + o * {step}, 0), mx) GROUP BY c.y, c.x)"""
+    taps = lambda axis, of: f"(SELECT y, x, w, least(greatest({axis} + o * {step}, 0), m{axis}) AS t FROM {of}, k, n)"
+    return f"""{name}y AS MATERIALIZED (SELECT c.y, c.x, sum(w * s.v) AS v FROM {taps('y', source)} c JOIN {source} s ON s.x = c.x AND s.y = c.t GROUP BY c.y, c.x),
+{name} AS MATERIALIZED (SELECT c.y, c.x, sum(w * s.v) AS v FROM {taps('x', name + 'y')} c JOIN {name}y s ON s.y = c.y AND s.x = c.t GROUP BY c.y, c.x)"""
 
 
 def denoise_sql(scales: int) -> str:
@@ -253,3 +254,21 @@ def toned(c: str) -> str:
 def tone_curve(spark: SparkSession, sf: str) -> DataFrame:
     lut = stretch.curve_lut([(0.25, 0.15), (0.75, 0.88)])
     return rounded(views.rgb(spark, sf).withColumn("toned", stretch.apply_curve("r", lut)), "toned")
+
+
+def rank_sql(hist: str, rank: str) -> str:
+    """The bin of a rank in a histogram (frame, bin, cnt, and what the rank reads), as SQL."""
+    return f"SELECT *, upto - cnt AS under, 1 - (upto - {rank}) / cnt AS frac FROM (SELECT *, sum(cnt) OVER (PARTITION BY frame ORDER BY bin) AS upto FROM {hist}) WHERE upto >= {rank} AND upto - cnt < {rank}"
+
+
+HIST_STATS = f"""fx AS (SELECT frame, min(v) AS lo, max(v) AS hi, avg(v) AS mean, count(*) AS n, greatest(max(v) - min(v), 1e-30) AS rng, ceil(count(*) * 0.5) AS half FROM frames WHERE {OK} GROUP BY frame),
+h1 AS (SELECT frame, half, lo, rng, least(floor((v - lo) * 65536 / rng), 65535) AS bin, count(*) AS cnt FROM frames JOIN fx USING (frame) WHERE {OK} GROUP BY ALL), c1 AS (SELECT frame, half, under, rng / 65536 AS w, rng, lo + bin * (rng / 65536) AS mlo, lo + (bin + frac) * (rng / 65536) AS near FROM ({rank_sql('h1', 'half')})),
+h2 AS (SELECT frame, half - under AS r, mlo, w, least(floor((v - mlo) * 65536 / w), 65535) AS bin, count(*) AS cnt FROM frames JOIN c1 USING (frame) WHERE {OK} AND v >= mlo AND v < mlo + w GROUP BY ALL), c2 AS (SELECT frame, mlo + (bin + frac) / 65536 * w AS med FROM ({rank_sql('h2', 'r')})),
+h3 AS (SELECT frame, half, w, least(floor(abs(v - near) * 65536 / rng), 65535) AS bin, count(*) AS cnt FROM frames JOIN c1 USING (frame) WHERE {OK} GROUP BY ALL), c3 AS (SELECT frame, half, greatest(bin - 1, 0) * w AS d0, least(bin + 2, 65536) * w AS d1 FROM ({rank_sql('h3', 'half')})),
+dv AS (SELECT frame, abs(v - med) AS d, d0, d1, half FROM frames JOIN c2 USING (frame) JOIN c3 USING (frame) WHERE {OK}), be AS (SELECT frame, count(*) FILTER (d < d0) AS below FROM dv GROUP BY frame),
+h4 AS (SELECT frame, half - below AS r, d0, d1, least(floor((d - d0) * 65536 / (d1 - d0)), 65535) AS bin, count(*) AS cnt FROM dv JOIN be USING (frame) WHERE d >= d0 AND d < d1 GROUP BY ALL), c4 AS (SELECT frame, d0 + (bin + frac) / 65536 * (d1 - d0) AS mad FROM ({rank_sql('h4', 'r')}))"""
+
+
+@query(f"{using('frames')}, {HIST_STATS} SELECT frame, round(lo, 5) AS min, round(hi, 5) AS max, round(mean, 5) AS mean, round(med, 5) AS median, round(mad, 5) AS mad, round(mad * 1.4826, 5) AS sigma, n AS valid_count FROM fx JOIN c2 USING (frame) JOIN c4 USING (frame)")
+def histogram_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(stats.histogram_stats(views.frames(spark, sf), ["frame"]), "min", "max", "mean", "median", "mad", "sigma", to=5)

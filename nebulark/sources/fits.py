@@ -5,13 +5,17 @@ Files are read by Spark's binary source, a file a row; a task walks a file's 288
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK, CARD = 2880, 80
@@ -97,15 +101,54 @@ def binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUPPORTED))
 
 
+def expanded(files: DataFrame, depth: int = 4) -> DataFrame:
+    """Files (name, content) with ZIP bundles replaced by the supported files in them, bundles in bundles down to a depth; a
+    nested bundle that can't be read is left out. Names are the bundle's and the member's."""
+
+    def members(name: str, data: bytes, left: int):
+        if not name.lower().endswith(".zip"):
+            if name.lower().rpartition(".")[2] in SUPPORTED:
+                yield name, data
+            return
+        try:
+            bundle = zipfile.ZipFile(io.BytesIO(data))
+        except zipfile.BadZipFile:
+            if left == depth:
+                raise
+            return
+        if left:
+            for one in sorted(bundle.namelist()):
+                yield from members(f"{name}/{one}", bundle.read(one), left - 1) if not one.endswith("/") else ()
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for one, content in members(name, data, depth):
+                    yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([content], pa.binary())], names=["name", "content"])
+
+    return files.mapInArrow(scan, "name string, content binary")
+
+
+def first_of_bundle(files: DataFrame) -> DataFrame:
+    """Of each bundle's files (name, content) the first by name."""
+    top = F.regexp_extract("name", r"(?i)^(.*?\.zip)(?:/|$)", 1)
+    key = F.when(top != "", top).otherwise(F.col("name"))
+    return files.groupBy(key.alias("bundle")).agg(F.min(F.struct("name", "content")).alias("s")).select("s.*")
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Cards of all units: file, hdu, pos, key and value."""
+    return headers_of(binary(spark, path).select("path", "content"))
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """Cards of all units of files (name, content): file, hdu, pos, key and value."""
 
     def scan(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             rows = [(f, u.index, k, *card) for f, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for u in hdus(data) for k, card in enumerate(u.cards)]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["file", "hdu", "pos", "key", "value"]).astype({"hdu": "int32", "pos": "int32"}), preserve_index=False)
 
-    return binary(spark, path).select("path", "content").mapInArrow(scan, "file string, hdu int, pos int, key string, value string")
+    return files.mapInArrow(scan, "file string, hdu int, pos int, key string, value string")
 
 
 def merged_header(headers: DataFrame, hdu: int) -> DataFrame:
@@ -116,7 +159,13 @@ def merged_header(headers: DataFrame, hdu: int) -> DataFrame:
 
 
 def read_pixels(spark: SparkSession, path: str, hdu: int | None = None) -> DataFrame:
-    """Pixels of each file's image or cube: file, z, y, x (from 0) and v; the best unit, or the one asked for."""
+    """Pixels of each file's image or cube: file, z, y, x (from 0) and v; the best unit, or the one asked for. Files that are
+    too large for a task's memory are read with open_cubes and read_frames."""
+    return pixels_of(binary(spark, path).select("path", "content"), hdu)
+
+
+def pixels_of(files: DataFrame, hdu: int | None = None) -> DataFrame:
+    """Of files (name, content)."""
 
     def scan(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -135,7 +184,99 @@ def read_pixels(spark: SparkSession, path: str, hdu: int | None = None) -> DataF
                     cols = [pa.array([name] * len(at)), *(pa.array(c.astype(np.int32)) for c in (at // (y * x), at // x % y, at % x)), pa.array(flat[at])]
                     yield pa.RecordBatch.from_arrays(cols, names=["file", "z", "y", "x", "v"])
 
-    return binary(spark, path).select("path", "content").mapInArrow(scan, "file string, z int, y int, x int, v double")
+    return files.mapInArrow(scan, "file string, z int, y int, x int, v double")
+
+
+def rgb_of(pixels: DataFrame) -> DataFrame:
+    """file, y, x, r, g and b of files with three or four planes; others have no rows."""
+    planes = pixels.groupBy("file").agg((F.max("z") + 1).alias("planes")).where("planes BETWEEN 3 AND 4")
+    return pixels.join(planes, "file").groupBy("file", "y", "x").agg(*(F.max(F.when(F.col("z") == k, F.col("v"))).alias(c) for k, c in enumerate("rgb")))
+
+
+def ranges(name: str):
+    """A function that reads bytes [start, start + n) of a file, wherever Spark's path points to."""
+    store, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+    stream = store.open_input_file(path)
+
+    def read(start: int, n: int) -> bytes:
+        data = stream.read_at(n, start)
+        if len(data) < n:
+            raise ValueError(f"{name} is cut short")
+        return data
+
+    return read
+
+
+def header_at(read, size: int, at: int) -> Hdu | None:
+    """The unit whose header starts at a byte, read block by block; None if there is none."""
+    data = b""
+    while at + len(data) + BLOCK <= size:
+        data += read(at + len(data), BLOCK)
+        if any(data[k : k + 8].rstrip() == b"END" for k in range(len(data) - BLOCK, len(data), CARD)):
+            found = hdus(data)
+            return Hdu(0, at + len(data), found[0].cards) if found else None
+    return None
+
+
+def open_cubes(spark: SparkSession, path: str) -> DataFrame:
+    """Geometry of each file's first cube of several planes: file, start (of its data), bitpix, planes, height, width, scale
+    and zero. Only headers are read, by ranges; a file that ends before its cube does is an error."""
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                read, at = ranges(name), 0
+                while unit := header_at(read, size, at):
+                    if len(unit.shape) == 3 and unit.shape[0] > 1:
+                        if unit.start + unit.size > size:
+                            raise ValueError(f"{name} ends before its cube does")
+                        rows.append((name, unit.start, int(unit.number("BITPIX", 0)), *unit.shape, unit.number("BSCALE", 1.0), unit.number("BZERO", 0.0)))
+                        break
+                    at = unit.start + -(-unit.size // BLOCK) * BLOCK
+            kinds = ["string", "int64", "int32", "int32", "int32", "int32", "float64", "float64"]
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(k)) for c, k in zip(cols, kinds)], names=["file", "start", "bitpix", "planes", "height", "width", "scale", "zero"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUPPORTED))
+    return files.select("path", "length").mapInArrow(scan, "file string, start long, bitpix int, planes int, height int, width int, scale double, zero double")
+
+
+def read_frames(cubes: DataFrame, z: Column | None = None, rows: int = 256) -> DataFrame:
+    """Voxels (file, z, y, x, v) of opened cubes, or of the planes that a condition on z picks; a task reads blocks of rows
+    of a plane by range, never a whole file."""
+    planes = cubes.withColumn("z", F.explode(F.sequence(F.lit(0), F.col("planes") - 1)))
+    planes = planes if z is None else planes.where(z)
+    blocks = planes.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(rows)))).repartition("file", "z", "y0")
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for r in batch.to_pylist():
+                kind, n = np.dtype(SAMPLES[r["bitpix"]]), min(rows, r["height"] - r["y0"]) * r["width"]
+                first = (r["z"] * r["height"] + r["y0"]) * r["width"]
+                v = np.frombuffer(ranges(r["file"])(r["start"] + first * kind.itemsize, n * kind.itemsize), kind).astype(np.float64)
+                at = np.arange(n)
+                cols = [pa.array([r["file"]] * n), pa.array(np.full(n, r["z"], np.int32)), pa.array((r["y0"] + at // r["width"]).astype(np.int32)), pa.array((at % r["width"]).astype(np.int32)), pa.array(v * r["scale"] + r["zero"])]
+                yield pa.RecordBatch.from_arrays(cols, names=["file", "z", "y", "x", "v"])
+
+    return blocks.mapInArrow(scan, "file string, z int, y int, x int, v double")
+
+
+def read_spectra(cubes: DataFrame, y: int, x: int) -> DataFrame:
+    """file, z and v of one pixel of opened cubes: one sample a plane is read, and nothing else. Unknown formats give 0."""
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for r in batch.to_pylist():
+                if not (0 <= y < r["height"] and 0 <= x < r["width"]):
+                    raise ValueError(f"{r['file']} has no pixel ({y}, {x})")
+                kind, read = SAMPLES.get(r["bitpix"]), ranges(r["file"])
+                size = np.dtype(kind or "u1").itemsize
+                at = [r["start"] + ((k * r["height"] + y) * r["width"] + x) * size for k in range(r["planes"])]
+                v = [float(np.frombuffer(read(p, size), kind)[0]) * r["scale"] + r["zero"] if kind else 0.0 for p in at]
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(v)), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["file", "z", "v"])
+
+    return cubes.mapInArrow(scan, "file string, z int, v double")
 
 
 def encode(planes: np.ndarray, cards: list[tuple[str, str]] = (), bitpix: int = -32) -> bytes:
@@ -178,11 +319,13 @@ def to_files(pixels: DataFrame, frame: str, bitpix: int = -32) -> DataFrame:
 
 
 def save(files: DataFrame, folder: str, extension: str = "fits", name: str = "frame") -> None:
-    """Writes contents to a folder that all executors share."""
+    """Writes contents to a folder that all executors share, one file a row."""
 
     def write(rows) -> None:
+        store, base = fs.FileSystem.from_uri(re.sub(r"^(file:)?/+", "file:///", folder))
+        store.create_dir(base)
         for r in rows:
-            with open(f"{folder.removeprefix('file://')}/{r[0]}.{extension}", "wb") as out:
+            with store.open_output_stream(f"{base}/{r[0]}.{extension}") as out:
                 out.write(bytes(r[1]))
 
     files.select(name, "content").foreachPartition(write)
