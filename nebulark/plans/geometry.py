@@ -163,6 +163,6 @@ def palette_slots(spark: SparkSession, sf: str) -> DataFrame:
     return frames.best_of_slot(files, "slot", "confidence", "id")
 
 
-@query("SELECT star_id FROM (SELECT c_custkey AS star_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 30")
+@query("SELECT star_id FROM (SELECT c_custkey AS star_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 120")
 def alignment_stars(spark: SparkSession, sf: str) -> DataFrame:
-    return views.stars(spark, sf).orderBy(F.desc("flux"), "star_id").limit(30).select("star_id")
+    return views.stars(spark, sf).orderBy(F.desc("flux"), "star_id").limit(registration.STARS).select("star_id")
