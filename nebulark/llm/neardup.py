@@ -177,12 +177,13 @@ def rare_prefixes(nodes: DataFrame, texts: DataFrame, threshold: float, shingle:
         names = Names()
         for batch in slices(batches, 1, TEXT_BYTES):
             doc, prints, weight = shingles([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], shingle, names)
-            total = np.bincount(doc, weight, len(batch)).astype(np.int64)
+            n = np.bincount(doc, weight, len(batch)).astype(np.int64)
             doc, prints = repeats(doc, prints, weight)
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), pa.array(total[doc]), pa.array(prints.view(np.int64))], names=["node", "t", "n", "key"])
+            keys = prints[np.argsort(doc, kind="stable")].view(np.int64)
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), lists], names=["node", "t", "n", "keys"])
 
-    tokens = stash(involved.mapInArrow(scan, "node long, t long, n long, key long"))
+    tokens = stash(involved.mapInArrow(scan, "node long, t long, n long, keys array<long>")).select("node", "t", "n", F.explode("keys").alias("key"))
     common = tokens.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
     ranked = tokens.join(common, "key", "left").withColumn("rank", F.row_number().over(Window.partitionBy("node", "t").orderBy(F.coalesce("texts", F.lit(1)), "key")))
     first = ranked.where(F.col("texts").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1))
