@@ -163,33 +163,6 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def rare_prefixes(nodes: DataFrame, texts: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """key, node, root of nodes (node, root) by the shingles of their prefixes that several of their texts have.
-
-    With the shingles of all these texts in one order, the rarest first, two texts at least as similar as the threshold
-    share a shingle among the first n - ceil(threshold * n) + 1 of their n; what many texts have in common, as a
-    template, comes last. The k-th repeat of a shingle is one of its own.
-    """
-    few = nodes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    involved = stash(texts.join(F.broadcast(nodes.select("node")) if few else nodes.select("node"), "node", "left_semi").select("node", "text", "t"))
-
-    def scan(batches):
-        names = Names()
-        for batch in slices(batches, 1, TEXT_BYTES):
-            doc, prints, weight = shingles([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], shingle, names)
-            n = np.bincount(doc, weight, len(batch)).astype(np.int64)
-            doc, prints = repeats(doc, prints, weight)
-            keys = prints[np.argsort(doc, kind="stable")].view(np.int64)
-            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), lists], names=["node", "t", "n", "keys"])
-
-    tokens = stash(involved.mapInArrow(scan, "node long, t long, n long, keys array<long>")).select("node", "t", "n", F.explode("keys").alias("key"))
-    common = tokens.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    ranked = tokens.join(common, "key", "left").withColumn("rank", F.row_number().over(Window.partitionBy("node", "t").orderBy(F.coalesce("texts", F.lit(1)), "key")))
-    first = ranked.where(F.col("texts").isNotNull() & (F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1))
-    return first.select("key", "node").distinct().join(nodes, "node").select("key", "node", "root")
-
-
 def repeats(doc: np.ndarray, prints: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingles with the k-th repeat of one in a text as one of its own, so that common ones add up to multiset overlap."""
     doc, prints = np.repeat(doc, weight), np.repeat(prints, weight)
@@ -298,9 +271,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col
     Each node is first compared with the least node of each of its buckets, and one such pair verified, the most
     hopeful; that joins even a large group of near copies with one pair a node. In buckets that then still hold several
     components, all nodes but those of the bucket's largest one are compared with all of other components: pair by pair
-    in buckets of up to SMALL nodes. Larger ones are first broken up by the rarest shingles of their texts, which loses
-    nothing (see rare_prefixes), so that a template that many texts share brings none of them together; what is still
-    large is compared in blocks of texts (see linked_blocks). near_id is the most similar document of a verified pair
+    in buckets of up to SMALL nodes, in blocks of texts beyond that (see linked_blocks), which is only a matter of how
+    they meet. near_id is the most similar document of a verified pair
     with the document or its equal text (copy_of itself for a copy), similarity how similar; null if there is none.
     Rows that share an id share a class. Null ids have no class; null texts are classes of their own; texts without words
     are near only to equal ones; an empty table gives no rows.
@@ -321,11 +293,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, *, shingle: int = 5, id_col
 
     apart = still_apart(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     pairs, large = dealt_buckets(apart)
-    large, blocks = stash(large.select("node", "root").distinct()), None
-    if not large.isEmpty():
-        more_pairs, crowded = dealt_buckets(still_apart(rare_prefixes(large, texts, threshold, shingle)))
-        pairs, crowded = pairs.unionAll(more_pairs).distinct(), stash(crowded)
-        blocks = None if crowded.isEmpty() else linked_blocks(crowded, texts, sigs, threshold, shingle)
+    large = stash(large)
+    blocks = None if large.isEmpty() else linked_blocks(large, texts, sigs, threshold, shingle)
     pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = verify(stash(hopeful(pairs, sigs).select("a", "b").distinct()), texts, shingle).where(F.col("similarity") >= threshold)
     more = stash(more if blocks is None else more.unionAll(blocks))
