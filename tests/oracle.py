@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 
 def rows_of(frame, cols):
@@ -22,4 +23,6 @@ def check(df, con, sql: str) -> None:
     got, want = df.toPandas(), con.sql(sql).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
+    nullable = [c for c in cols if isinstance(want[c].dtype, pd.Int64Dtype)]  # Spark's frame has such integers as floats
+    got = got.astype({c: "Int64" for c in nullable})
     assert rows_of(got, cols) == rows_of(want, cols)
