@@ -85,7 +85,38 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op8_page_text, op9_near_duplicates, op10_decontamination)}
+#: The rules of the query, by precedence of length.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.urls import judge, rules
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return judge(pages, rules(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from nebulark.llm.conversations import branched, ordered, trie
+
+    turns, convs = ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    conv_id = F.col("conv_id")
+    taken = F.crc32(conv_id.cast("string").cast("binary")) % 9
+    return trie(*branched(turns, convs, base=conv_id - conv_id % 5, taken=taken, most=8))
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from nebulark.llm.crosstokens import align, byte_level, pieces
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = align(docs, byte_level(path("byte_bpe_50k.json")), pieces(path("piece_bpe_32k.model")))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_token_counts, op4_secret_scan, op5_language_id, op6_mixing, op7_exact_top_k, op8_page_text, op9_near_duplicates, op10_decontamination, op11_url_filter, op12_conversation_trie, op13_cross_tokenizer)}
 
 ORACLE = {
     "op1_substring_dedup": r"""
@@ -171,4 +202,31 @@ ORACLE = {
            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
     """,
+    "op11_url_filter": r"""
+    WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                      coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS r FROM pages),
+    k(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    m AS (SELECT r, h || p AS rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC) AS n
+          FROM u JOIN k ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, p))
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE n = 1) USING (r)
+    """,
+    "op12_conversation_trie": """
+    WITH t AS (SELECT conv_id AS c, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS y,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), x) - 1 AS i
+               FROM conversations WHERE conv_id IS NOT NULL),
+    n AS (SELECT c, c - c % 5 AS b, (list_reduce(flatten(list_prepend([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: [CAST(ascii(z) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                     lambda a, z: CASE WHEN z >= 0 THEN xor(a, z) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END)) AS crc
+          FROM (SELECT DISTINCT c FROM t)),
+    h AS (SELECT c, b, xor(crc, 4294967295) % 9 AS h FROM n),
+    own AS (SELECT h.c, x, y, h.h AS h, i FROM h JOIN t ON t.c = h.b WHERE i < h.h),
+    q AS (SELECT c, x, y, i FROM own UNION ALL SELECT h.c, x, y, i FROM h JOIN t ON t.c = h.c WHERE i >= h.h),
+    l AS (SELECT h.c, coalesce(xs, []) AS xs, coalesce(ys, []) AS ys FROM h LEFT JOIN (SELECT c, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM q GROUP BY c) USING (c)),
+    m AS (SELECT c, d, len(xs) AS n, md5(d || ':' || array_to_string(xs[1 : d], '')) AS k, md5((d - 1) || ':' || array_to_string(xs[1 : d - 1], '')) AS up, CASE WHEN d = 0 THEN 0 ELSE ys[d] END AS y
+          FROM (SELECT *, unnest(range(0, len(xs) + 1)) AS d FROM l)),
+    v AS (SELECT k, d, any_value(up) AS up, any_value(y) AS y, min(c) AS c, count(*) AS n_convs, string_agg(c, ',' ORDER BY c) FILTER (n = d) AS ends FROM m GROUP BY k, d),
+    g AS (SELECT up, count(*) AS n FROM v WHERE d > 0 GROUP BY up),
+    s AS (SELECT m.k, count(*) FILTER (g.n IS NULL) AS n_leaves, sum((n_convs - 1) * v.y) AS saved FROM v LEFT JOIN g ON g.up = v.k JOIN m ON m.c = v.c AND m.d <= v.d GROUP BY m.k)
+    SELECT v.c AS conv_id, v.d AS depth, CASE WHEN v.d > 0 THEN p.c END AS parent_conv_id, v.n_convs, CAST(coalesce(g.n, 0) AS BIGINT) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+    FROM v JOIN s USING (k) LEFT JOIN g ON g.up = v.k LEFT JOIN v p ON p.k = v.up
+    """,
 }
