@@ -17,7 +17,7 @@ from nebulark.plans import views
 from nebulark.plans.fields import composite
 from nebulark.plans.queries import FRAME_STATS, MTF, OK, STF, query, rounded
 from nebulark.plans.views import SQL, using
-from nebulark.sources import buffers, fits
+from nebulark.sources import asdf, buffers, fits
 
 CHANNELS = f"{SQL['img']}, ch AS (SELECT 'r' AS frame, y, x, v FROM img UNION ALL SELECT 'g', y, x, v * v FROM img UNION ALL SELECT 'b', y, x, v + 0.1 FROM img)"
 #: Statistics before, factors, samples after white balance.
@@ -79,68 +79,121 @@ def synthetic_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(views.stars(spark, sf).select("star_id", index.alias("bp_rp")), "bp_rp")
 
 
+#: Rows of a file: tables are written as many files of this height, so that no task holds an image.
+BAND = 64
+#: The bands of img and cube, as SQL: band, row in it, x and v.
+BANDS = f"img_band AS (SELECT 'band' || CAST(y // {BAND} AS VARCHAR) AS file, CAST(y % {BAND} AS INTEGER) AS y, CAST(x AS INTEGER) AS x, v FROM img)"
+CUBE_BANDS = f"cube_band AS (SELECT 'band' || CAST(y // {BAND} AS VARCHAR) AS file, CAST(z AS INTEGER) AS z, CAST(y % {BAND} AS INTEGER) AS y, CAST(x AS INTEGER) AS x, v FROM cube)"
+
+
+def banded(rows: DataFrame, name: str = "frame") -> DataFrame:
+    """Rows (y, x, v) as frames of BAND rows each."""
+    band = F.floor(F.col("y") / BAND)
+    return rows.withColumns({name: F.concat(F.lit("band"), band.cast("string")), "y": (F.col("y") - band * BAND).cast("int"), "x": F.col("x").cast("int")})
+
+
 def files_of(spark: SparkSession, sf: str, name: str, bitpix: int = -32) -> DataFrame:
-    rows = views.img(spark, sf).withColumn("frame", F.lit("one")) if name == "img" else views.cube(spark, sf).withColumn("frame", F.lit("cube"))
-    return fits.to_files(rows.withColumns({c: F.col(c).cast("int") for c in "yx"}), "frame", bitpix)
+    rows = views.img(spark, sf) if name == "img" else views.cube(spark, sf)
+    return fits.to_files(banded(rows), "frame", bitpix)
+
+
+def folder_of(spark: SparkSession, files: DataFrame, extension: str = "fits") -> str:
+    """A new shared folder with the files."""
+    folder = f"{checkpoint_folder(spark)}/files/{uuid.uuid4().hex}"
+    fits.save(files, folder, extension)
+    return folder
+
+
+def stem(c: str = "file"):
+    """A file's name without folder and extension."""
+    return F.regexp_extract(c, r"([^/]*)\.[^./]*$", 1).alias("file")
 
 
-@query(f"{using('img')} SELECT 'one' AS file, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, v FROM img")
+@query(f"{using('img')}, {BANDS} SELECT file, y, x, v FROM img_band")
 def fits_image(spark: SparkSession, sf: str) -> DataFrame:
-    return fits.pixels_of(files_of(spark, sf, "img"), 0).select("file", "y", "x", "v")
+    return fits.read_pixels(spark, folder_of(spark, files_of(spark, sf, "img")), 0).select(stem(), "y", "x", "v")
 
 
-@query(f"{using('img')}, q AS (SELECT min(v) AS lo, (max(v) - min(v)) / 65535 AS s FROM img), r AS (SELECT y, x, least(greatest((v - (lo + s * 32768)) / s, -32768), 32767) AS q, lo, s FROM img, q) SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(trunc(q + CASE WHEN q < 0 THEN -0.5 ELSE 0.5 END) * s + lo + s * 32768, 6) + 0.0 AS v FROM r")
+@query(f"{using('img')}, {BANDS}, q AS (SELECT file, min(v) AS lo, (max(v) - min(v)) / 65535 AS s FROM img_band GROUP BY file), r AS (SELECT file, y, x, least(greatest((v - (lo + s * 32768)) / s, -32768), 32767) AS q, lo, s FROM img_band JOIN q USING (file)) SELECT file, y, x, round(trunc(q + CASE WHEN q < 0 THEN -0.5 ELSE 0.5 END) * s + lo + s * 32768, 6) + 0.0 AS v FROM r")
 def fits_image_16_bits(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fits.pixels_of(files_of(spark, sf, "img", 16)).select("y", "x", "v"), "v")
+    return rounded(fits.read_pixels(spark, folder_of(spark, files_of(spark, sf, "img", 16))).select(stem(), "y", "x", "v"), "v")
 
 
-@query(f"{using('cube')}, n AS (SELECT max(z) + 1 AS d, max(y) + 1 AS h, max(x) + 1 AS w FROM cube) SELECT 'cube' AS file, CAST(0 AS INTEGER) AS hdu, CAST(pos AS INTEGER) AS pos, key, value FROM (SELECT unnest(range(0, 6)) AS pos, unnest(['SIMPLE', 'BITPIX', 'NAXIS', 'NAXIS1', 'NAXIS2', 'NAXIS3']) AS key, unnest(['T', '-32', '3', CAST(w AS VARCHAR), CAST(h AS VARCHAR), CAST(d AS VARCHAR)]) AS value FROM n)")
+@query(f"{using('cube')}, {CUBE_BANDS}, n AS (SELECT file, max(z) + 1 AS d, max(y) + 1 AS h, max(x) + 1 AS w FROM cube_band GROUP BY file) SELECT file, CAST(0 AS INTEGER) AS hdu, CAST(pos AS INTEGER) AS pos, key, value FROM (SELECT file, unnest(range(0, 6)) AS pos, unnest(['SIMPLE', 'BITPIX', 'NAXIS', 'NAXIS1', 'NAXIS2', 'NAXIS3']) AS key, unnest(['T', '-32', '3', CAST(w AS VARCHAR), CAST(h AS VARCHAR), CAST(d AS VARCHAR)]) AS value FROM n)")
 def fits_header_cards(spark: SparkSession, sf: str) -> DataFrame:
-    return fits.headers_of(files_of(spark, sf, "cube"))
+    return fits.read_headers(spark, folder_of(spark, files_of(spark, sf, "cube"))).withColumn("file", stem())
 
 
-@query("SELECT 'cube' AS file, 6 AS cards, '-32' AS bitpix, '3' AS naxis")
+@query(f"{using('cube')}, {CUBE_BANDS} SELECT file, 6 AS cards, '-32' AS bitpix, CAST(max(y) + 1 AS VARCHAR) AS height FROM cube_band GROUP BY file")
 def fits_merged_header(spark: SparkSession, sf: str) -> DataFrame:
-    found = fits.merged_header(fits.headers_of(files_of(spark, sf, "cube")), 0)
-    return found.select("file", (F.size("header") + 1).alias("cards"), F.col("header")["BITPIX"].alias("bitpix"), F.col("header")["NAXIS"].alias("naxis"))
+    found = fits.merged_header(fits.read_headers(spark, folder_of(spark, files_of(spark, sf, "cube"))), 0)
+    return found.select(stem(), (F.size("header") + 1).alias("cards"), F.col("header")["BITPIX"].alias("bitpix"), F.col("header")["NAXIS2"].alias("height"))
 
 
-@query(f"{using('cube')} SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, v FROM cube")
+@query(f"{using('cube')}, {CUBE_BANDS} SELECT file, z, y, x, v FROM cube_band")
 def fits_cube(spark: SparkSession, sf: str) -> DataFrame:
-    return fits.pixels_of(files_of(spark, sf, "cube")).select("z", "y", "x", "v").where(~F.isnan("v"))
+    return fits.read_pixels(spark, folder_of(spark, files_of(spark, sf, "cube"))).select(stem(), "z", "y", "x", "v").where(~F.isnan("v"))
 
 
 def saved_cube(spark: SparkSession, sf: str) -> DataFrame:
-    folder = f"{checkpoint_folder(spark)}/cubes/{uuid.uuid4().hex}"
-    fits.save(files_of(spark, sf, "cube"), folder)
-    return fits.open_cubes(spark, folder)
+    return fits.open_cubes(spark, folder_of(spark, files_of(spark, sf, "cube")))
 
 
-@query(f"{using('cube')} SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, v FROM cube WHERE z % 3 = 1")
+@query(f"{using('cube')}, {CUBE_BANDS} SELECT file, z, y, x, v FROM cube_band WHERE z % 3 = 1")
 def lazy_cube_frames(spark: SparkSession, sf: str) -> DataFrame:
-    return fits.read_frames(saved_cube(spark, sf), F.col("z") % 3 == 1, 7).select("z", "y", "x", "v").where(~F.isnan("v"))
+    return fits.read_frames(saved_cube(spark, sf), F.col("z") % 3 == 1, 7).select(stem(), "z", "y", "x", "v").where(~F.isnan("v"))
 
 
-@query(f"{using('cube')} SELECT CAST(z AS INTEGER) AS z, v FROM cube WHERE y = 3 AND x = 7")
+@query(f"{using('cube')}, {CUBE_BANDS} SELECT file, z, v FROM cube_band WHERE y = 3 AND x = 7")
 def lazy_cube_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    return fits.read_spectra(saved_cube(spark, sf), 3, 7).select("z", "v").where(~F.isnan("v"))
+    return fits.read_spectra(saved_cube(spark, sf), 3, 7).select(stem(), "z", "v").where(~F.isnan("v"))
+
+
+#: How the files of a band are written: kind of samples and compression, by the band's number.
+WRITTEN = (("<f8", ""), (">f8", "zlib"), ("<f4", "bzp2"), (">f4", ""))
+
+
+def asdf_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = banded(views.img(spark, sf))
+    number = F.regexp_extract("frame", "[0-9]+", 0).cast("int") % len(WRITTEN)
+    pick = lambda k: F.element_at(F.array(*(F.lit(w[k]) for w in WRITTEN)), number + 1)
+    return asdf.to_files(rows.withColumns({"kind": pick(0), "compression": pick(1)}), "frame")
+
+
+@query(f"{using('img')}, {BANDS} SELECT file, y, x, v FROM img_band")
+def asdf_image(spark: SparkSession, sf: str) -> DataFrame:
+    """Both byte orders, two kinds of samples, plain and compressed blocks."""
+    return asdf.read_images(spark, folder_of(spark, asdf_files(spark, sf), "asdf")).select(stem(), "y", "x", "v")
+
+
+@query(f"{using('img')}, {BANDS} SELECT file, 'data' AS name, max(y) + 1 AS height, max(x) + 1 AS width, CAST(max(y) + 1 AS VARCHAR) AS naxis2, file AS frame FROM img_band GROUP BY file")
+def asdf_header(spark: SparkSession, sf: str) -> DataFrame:
+    opened = asdf.open_arrays(asdf.listed(spark, folder_of(spark, asdf_files(spark, sf), "asdf")))
+    return opened.select(stem(), "name", "height", "width", F.col("header")["NAXIS2"].alias("naxis2"), F.col("header")["META_FRAME"].alias("frame"))
 
 
-@query(f"{using('img')}, m AS (SELECT min(v) AS lo, max(v) - min(v) AS span FROM img), q AS (SELECT y, x, CAST(floor((v - lo) / span * 65535) AS INTEGER) AS q FROM img, m) SELECT 0 AS frame, base64(unhex(string_agg(printf('%02X%02X', q % 256, q // 256), '' ORDER BY y, x))) AS text FROM q")
+@query(f"{using('img')}, {BANDS}, m AS (SELECT file, min(v) AS lo, max(v) - min(v) AS span FROM img_band GROUP BY file), q AS (SELECT file, y, x, CAST(floor((v - lo) / span * 65535) AS INTEGER) AS q FROM img_band JOIN m USING (file)) SELECT file AS frame, base64(unhex(string_agg(printf('%02X%02X', q % 256, q // 256), '' ORDER BY y, x))) AS text FROM q GROUP BY file")
 def preview_u16(spark: SparkSession, sf: str) -> DataFrame:
-    return buffers.preview_u16(views.img(spark, sf).withColumn("frame", F.lit(0)), "frame")
+    return buffers.preview_u16(banded(views.img(spark, sf)), "frame")
 
 
-@query(f"{using('img')}, q AS (SELECT y, x, " + ", ".join(f"CAST(floor(least(greatest({e}, 0), 1) * 255) AS INTEGER) AS {c}" for c, e in zip("rgb", ("v", "v * v", "v + 0.1"))) + " FROM img) SELECT 0 AS frame, base64(unhex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x))) AS text FROM q")
+@query(f"{using('img')}, {BANDS}, q AS (SELECT file, y, x, " + ", ".join(f"CAST(floor(least(greatest({e}, 0), 1) * 255) AS INTEGER) AS {c}" for c, e in zip("rgb", ("v", "v * v", "v + 0.1"))) + " FROM img_band) SELECT file AS frame, base64(unhex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x))) AS text FROM q GROUP BY file")
 def preview_rgb(spark: SparkSession, sf: str) -> DataFrame:
-    return buffers.preview_rgb(composite(spark, sf).withColumn("frame", F.lit(0)), "frame")
+    return buffers.preview_rgb(banded(composite(spark, sf)), "frame")
 
 
-@query(f"{using('img')} SELECT 0 AS frame, CAST(16 + 4 * count(*) AS INTEGER) AS bytes, max(x) + 1 AS width, max(y) + 1 AS height FROM img")
+@query(f"{using('img')}, {BANDS}, n AS (SELECT file, max(x) + 1 AS width, max(y) + 1 AS height FROM img_band GROUP BY file) SELECT file AS frame, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, round(v, 9) + 0.0 AS v FROM img_band JOIN n USING (file)")
 def pixel_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    found = buffers.raw(views.img(spark, sf).withColumn("frame", F.lit(0)), "frame")
-    number = lambda k: sum(F.conv(F.hex(F.substring("content", k + i, 1)), 16, 10).cast("long") * (256**i) for i in range(4))
-    return found.select("frame", F.octet_length("content").alias("bytes"), number(1).alias("width"), number(5).alias("height"))
+    """Buffers, and the samples read back from their bytes."""
+    found = buffers.raw(banded(views.img(spark, sf)), "frame")
+    byte = lambda at: F.hex(F.substr("content", at.cast("int"), F.lit(1)))
+    number = lambda at: F.conv(F.concat(*(byte(at + k) for k in (3, 2, 1, 0))), 16, 10).cast("long")  # noqa: E731  little-endian
+    rows = found.withColumns({"width": number(F.lit(1)), "height": number(F.lit(5))}).withColumn("k", F.explode(F.sequence(F.lit(0), F.expr("(octet_length(content) - 16) div 4 - 1").cast("int"))))
+    rows = rows.withColumn("bits", number(17 + 4 * F.col("k")))
+    power, part = F.shiftright("bits", 23).bitwiseAND(F.lit(255)), F.col("bits").bitwiseAND(F.lit(0x7FFFFF))
+    size = F.when(power == 0, part * F.pow(F.lit(2.0), F.lit(-149))).otherwise((1 + part / (1 << 23)) * F.pow(F.lit(2.0), power - 127))
+    value = F.when(F.shiftright("bits", 31) == 1, -size).otherwise(size)
+    return rounded(rows.select("frame", "width", "height", F.floor(F.col("k") / F.col("width")).alias("y"), (F.col("k") % F.col("width")).alias("x"), value.alias("v")), "v", to=9)
 
 
 @query(f"{using('stars')} SELECT star_id || ',' || printf('%.4f', x) || ',' || printf('%.4f', y) || ',0.0000,' || printf('%.4f', flux) || ',5778.0000' AS line FROM stars")
@@ -149,7 +202,7 @@ def star_catalogue_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bundled(files: DataFrame) -> DataFrame:
-    """All files in a bundle within a bundle, beside one that is broken and one of another kind."""
+    """Each file in a bundle of its own within a bundle, beside one that is broken and one of another kind."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         inner, outer = io.BytesIO(), io.BytesIO()
@@ -160,11 +213,11 @@ def bundled(files: DataFrame) -> DataFrame:
             z.writestr("deep/inner.zip", inner.getvalue())
             z.writestr("broken.zip", b"no bundle")
             z.writestr("notes.txt", b"text")
-        return pd.DataFrame({"name": ["all.zip"], "content": [outer.getvalue()]})
+        return pd.DataFrame({"name": [f"{pdf['frame'].iloc[0]}.zip"], "content": [outer.getvalue()]})
 
-    return files.groupBy().applyInPandas(build, "name string, content binary")
+    return files.groupBy("frame").applyInPandas(build, "name string, content binary")
 
 
-@query(f"{using('img')} SELECT 'all.zip/deep/inner.zip/one.fits' AS file, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, v FROM img")
+@query(f"{using('img')}, {BANDS} SELECT file || '.zip/deep/inner.zip/' || file || '.fits' AS file, y, x, v FROM img_band")
 def zip_input(spark: SparkSession, sf: str) -> DataFrame:
     return fits.pixels_of(fits.first_of_bundle(fits.expanded(bundled(files_of(spark, sf, "img"))))).select("file", "y", "x", "v")

@@ -1,6 +1,7 @@
 """FITS files: header tables and pixels from any store that Spark reads, and frames back to file contents.
 
-Files are read by Spark's binary source, a file a row; a task walks a file's 2880-byte blocks and emits rows in batches.
+Files are listed by Spark's binary source; tasks read headers and blocks of rows by range. The content of a file, a row
+each, is only taken for what comes out of a bundle.
 """
 
 from __future__ import annotations
@@ -136,8 +137,65 @@ def first_of_bundle(files: DataFrame) -> DataFrame:
     return files.groupBy(key.alias("bundle")).agg(F.min(F.struct("name", "content")).alias("s")).select("s.*")
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """Supported files under a path, without their content: path and length."""
+    return binary(spark, path).select("path", "length")
+
+
+UNIT = "file string, hdu int, start long, size long, bitpix int, shape array<int>, scale double, zero double, whole boolean, cards array<struct<key:string,value:string>>"
+
+
+def units_of(name: str, size: int) -> Iterator[tuple]:
+    """The units of a file, as rows of UNIT; only headers are read, block by block."""
+    read, at, index = ranges(name), 0, 0
+    while unit := header_at(read, size, at):
+        end = unit.start + unit.size
+        yield name, index, unit.start, unit.size, int(unit.number("BITPIX", 0)), unit.shape, unit.number("BSCALE", 1.0), unit.number("BZERO", 0.0), end <= size, [{"key": k, "value": v} for k, v in unit.cards]
+        at, index = unit.start + -(-unit.size // BLOCK) * BLOCK, index + 1
+
+
+def open_units(files: DataFrame) -> DataFrame:
+    """One row a unit of files (path, length): file, hdu, start and size of its data in bytes, bitpix, shape (slowest axis
+    first), scale, zero, whether the file is long enough, and its cards. A task reads headers by range, never data."""
+    names = UNIT.replace("struct<key:string,value:string>", "").split(", ")
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))]
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = list(units_of(name, size))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[n.split()[0] for n in names])
+
+    return files.select("path", "length").mapInArrow(scan, UNIT)
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    return headers_of(binary(spark, path).select("path", "content"))
+    """Cards of all units of the files under a path: file, hdu, pos, key and value; read by range."""
+    return open_units(listed(spark, path)).select("file", "hdu", F.posexplode("cards").alias("pos", "card")).select("file", "hdu", "pos", "card.key", "card.value")
+
+
+def card(key: str) -> Column:
+    """The value of a unit's last card of a key; null without one."""
+    found = F.filter("cards", lambda c: c["key"] == key)
+    return F.try_element_at(found, F.lit(-1))["value"]
+
+
+def images(units: DataFrame, hdu: int | None = None) -> DataFrame:
+    """Geometry of each file's image (of units from open_units): file, hdu, start, bitpix, planes, height, width, scale, zero.
+
+    The unit asked for; else a single unit, the first SCI one, or the first extension that has data, else the primary one.
+    A file without the unit or without an image, or that ends before it does, is an error.
+    """
+    full = F.col("size") > 0
+    science = F.upper(F.coalesce(card("EXTNAME"), F.lit(""))) == "SCI"
+    rank = F.when(full & science, 0).when(full & (F.col("hdu") > 0), 1).when(full, 2).otherwise(3) if hdu is None else F.when(F.col("hdu") == hdu, 0).otherwise(1)
+    one = units.groupBy("file").agg(F.min_by(F.struct("hdu", "start", "size", "bitpix", "shape", "scale", "zero", "whole", rank.alias("rank")), F.struct(rank, "hdu")).alias("u")).select("file", "u.*")
+    fault = F.when(F.col("size") <= 0, " has no image").when(~F.col("whole"), " ends before its image does").when(~F.col("bitpix").isin(*SAMPLES), " has samples of an unknown kind")
+    if hdu is not None:
+        fault = F.when(F.col("rank") > 0, f" has no unit {hdu}").otherwise(fault)
+    side = lambda k: F.coalesce(F.try_element_at("shape", F.lit(-k)), F.lit(1))
+    start = F.when(fault.isNull(), F.col("start")).otherwise(F.raise_error(F.concat("file", fault)).cast("long"))
+    return one.select("file", "hdu", start.alias("start"), "bitpix", side(3).alias("planes"), side(2).alias("height"), side(1).alias("width"), "scale", "zero")
 
 
 def headers_of(files: DataFrame) -> DataFrame:
@@ -159,9 +217,9 @@ def merged_header(headers: DataFrame, hdu: int) -> DataFrame:
 
 
 def read_pixels(spark: SparkSession, path: str, hdu: int | None = None) -> DataFrame:
-    """Pixels of each file's image or cube: file, z, y, x (from 0) and v; the best unit, or the one asked for. Files that are
-    too large for a task's memory are read with open_cubes and read_frames."""
-    return pixels_of(binary(spark, path).select("path", "content"), hdu)
+    """Pixels of each file's image or cube: file, z, y, x (from 0) and v; the best unit, or the one asked for. Tasks read
+    blocks of rows by range, so files may be larger than a task's memory."""
+    return read_frames(images(open_units(listed(spark, path)), hdu))
 
 
 def pixels_of(files: DataFrame, hdu: int | None = None) -> DataFrame:
@@ -221,25 +279,10 @@ def header_at(read, size: int, at: int) -> Hdu | None:
 def open_cubes(spark: SparkSession, path: str) -> DataFrame:
     """Geometry of each file's first cube of several planes: file, start (of its data), bitpix, planes, height, width, scale
     and zero. Only headers are read, by ranges; a file that ends before its cube does is an error."""
-
-    def scan(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            rows = []
-            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                read, at = ranges(name), 0
-                while unit := header_at(read, size, at):
-                    if len(unit.shape) == 3 and unit.shape[0] > 1:
-                        if unit.start + unit.size > size:
-                            raise ValueError(f"{name} ends before its cube does")
-                        rows.append((name, unit.start, int(unit.number("BITPIX", 0)), *unit.shape, unit.number("BSCALE", 1.0), unit.number("BZERO", 0.0)))
-                        break
-                    at = unit.start + -(-unit.size // BLOCK) * BLOCK
-            kinds = ["string", "int64", "int32", "int32", "int32", "int32", "float64", "float64"]
-            cols = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.type_for_alias(k)) for c, k in zip(cols, kinds)], names=["file", "start", "bitpix", "planes", "height", "width", "scale", "zero"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUPPORTED))
-    return files.select("path", "length").mapInArrow(scan, "file string, start long, bitpix int, planes int, height int, width int, scale double, zero double")
+    cubes = open_units(listed(spark, path)).where((F.size("shape") == 3) & (F.col("shape")[0] > 1))
+    first = cubes.groupBy("file").agg(F.min_by(F.struct("start", "bitpix", "shape", "scale", "zero", "whole"), "hdu").alias("u")).select("file", "u.*")
+    start = F.when(F.col("whole"), F.col("start")).otherwise(F.raise_error(F.concat("file", F.lit(" ends before its cube does"))).cast("long"))
+    return first.select("file", start.alias("start"), "bitpix", *(F.col("shape")[k].alias(n) for k, n in enumerate(("planes", "height", "width"))), "scale", "zero")
 
 
 def read_frames(cubes: DataFrame, z: Column | None = None, rows: int = 256) -> DataFrame:
