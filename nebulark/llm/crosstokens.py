@@ -16,15 +16,18 @@ from pyspark.sql import functions as F
 
 from nebulark.llm.common import kinds, slices, stash
 
-#: Bytes of text that are encoded at once, and characters of the pieces that a long text is encoded in.
-TEXT_BYTES, PIECE = 2 << 20, 1 << 16
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 2 << 20
+#: Words whose tokens a task remembers at a time, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
 #: Links that are held at once.
 LINKS = 1 << 20
 #: Products beyond this are made from the distinct tokens of a group and their numbers.
 LARGE_GROUP = 1 << 10
 #: Pairs of ids whose counts are broadcast, 17 bytes each; beyond that links are joined with counts by a shuffle.
 BROADCAST_PAIRS = 4 << 20
-#: A space at which a text can be cut without changing any token: pieces of both kinds start with it.
+#: A space at which a text can be cut without changing any token, if no token of either side goes on from another character
+#: to a space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -65,7 +68,6 @@ class Side:
             entries = [model.id_to_token(i) or "" for i in range(model.get_vocab_size())]
             self.bytes = [bytes(alphabet[c] for c in e) if all(c in alphabet for c in e) else e.encode() for e in entries]
             self.encode = lambda texts: [x.ids for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-            self.cuts = True
         else:
             import sentencepiece
 
@@ -73,32 +75,52 @@ class Side:
             entries = [model.id_to_piece(i) for i in range(model.get_piece_size())]
             self.bytes = [bytes([int(e[3:5], 16)]) if model.is_byte(i) else e.replace("▁", " ").encode() for i, e in enumerate(entries)]
             self.encode = lambda texts: model.encode([t[1:] for t in texts], num_threads=1)  # it adds the space itself
-            self.cuts = not any(re.search("[^▁]▁", e) for e in entries)
+        self.cuts = not any(re.search(rb"[^ ] ", x) for x in self.bytes)
         self.length = np.array([len(x) for x in self.bytes], np.int64)
 
-    def tokens(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; long texts are encoded piece by piece where no token can cross."""
-        found: list[list] = [[] for _ in texts]
-        waiting: list[tuple[int, str]] = []
-
-        def flush():
-            for (k, _), ids in zip(waiting, self.encode([part for _, part in waiting])):
-                found[k].append(np.array(ids, np.int32))
-            waiting.clear()
-
-        held = 0
-        for k, text in enumerate(texts):
-            start = 0
-            while start < len(text):
-                cut = CUT.search(text, start + PIECE) if self.cuts and len(text) - start > PIECE else None
-                stop = cut.start() if cut else len(text)
-                waiting.append((k, text[start:stop]))
-                held, start = held + stop - start, stop
-                if held > TEXT_BYTES:
-                    flush()
-                    held = 0
-        flush()
-        return [np.concatenate(x).astype(np.int64) for x in found]
+    def spells(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.bytes.__getitem__, ids)) == text.encode()
+
+
+class Encoder:
+    """Both tokenizers' ids of texts that start with a space, by their words: a word's tokens are the same in every text."""
+
+    def __init__(self, one: Side, two: Side):
+        self.one, self.two = one, two
+        self.seen: dict[str, tuple[list, list] | None] = {}
+
+    def learn(self, words: set[str]) -> dict[str, tuple[list, list] | None]:
+        """Ids of words that aren't remembered, about TEXT_BYTES at a time; None for one that either side doesn't spell."""
+        out, waiting, held = {}, [], 0
+        for k, word in enumerate(new := [w for w in words if w not in self.seen], 1):
+            waiting.append(" " + word)
+            held += len(word)
+            if held > TEXT_BYTES or k == len(new):
+                for text, a, b in zip(waiting, self.one.encode(waiting), self.two.encode(waiting)):
+                    out[text[1:]] = (a, b) if self.one.spells(a, text) and self.two.spells(b, text) else None
+                waiting, held = [], 0
+        return out
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Of each text, given without the space, the ids of both sides; None where either side doesn't spell it."""
+        cuts = self.one.cuts and self.two.cuts
+        split = [CUT.split(t) if cuts else [t] for t in texts]
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        fresh = self.learn({w for words in split for w in words})
+        self.seen |= {w: x for w, x in fresh.items() if len(w) <= LONGEST}
+        out = []
+        for words in split:
+            found = [self.seen[w] if w in self.seen else fresh[w] for w in words]
+            if None in found:
+                out.append(None)
+                continue
+            a, b = [], []
+            for x, y in found:
+                a += x
+                b += y
+            out.append((np.array(a, np.int64), np.array(b, np.int64)))
+        return out
 
 
 def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,16 +166,23 @@ def links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
         yield from products(*sides[0][k], *sides[1][k], n)
 
 
-def flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column without nulls and the offsets of its rows."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, each as wide as the largest needs, after a byte with the width."""
+    width = 1 if (most := int(values.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a column of packed ones, and the offsets of its rows."""
+    rows = [np.frombuffer(x, f"<u{x[0]}", offset=1) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.cumsum([0, *map(len, rows)])
 
 
 def encoded(docs: DataFrame, first: Vocabulary, second: Vocabulary, text_col: str) -> DataFrame:
-    """The columns of docs but the text, with the ids of both sides (a, b) and the tokens of either in each group (size_a, size_b)."""
+    """The columns of docs but the text, with the packed ids of both sides (a, b), the tokens of either in each group (size_a,
+    size_b), and n, the tokens of both sides."""
     shared = docs.sparkSession.sparkContext.broadcast((first, second))
-    made = ["a", "b", "size_a", "size_b"]
+    made = ["a", "b", "size_a", "size_b", "n"]
     keep = [c for c in docs.columns if c != text_col]
 
     def run(batches):
@@ -161,30 +190,25 @@ def encoded(docs: DataFrame, first: Vocabulary, second: Vocabulary, text_col: st
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         one, two = map(Side, shared.value)
+        encoder, none = Encoder(one, two), (np.zeros(0, np.int64),) * 4
         for batch in slices(batches, 0, TEXT_BYTES):
-            texts = [" " + t if t else "" for t in batch.column(0).to_pylist()]
+            texts = batch.column(0).to_pylist()
             some = [k for k, t in enumerate(texts) if t]
-            found: dict[int, tuple] = {}
-            ids_a, ids_b = (side.tokens([texts[k] for k in some]) if some else [] for side in (one, two))
-            for k, x, y in zip(some, ids_a, ids_b):
-                whole = texts[k].encode()
-                if b"".join(map(one.bytes.__getitem__, x.tolist())) == whole == b"".join(map(two.bytes.__getitem__, y.tolist())):
-                    found[k] = (x, y, *groups(np.cumsum(one.length[x]), np.cumsum(two.length[y])))
-            none = (np.zeros(0, np.int64),) * 4
-            cols = []
-            for j in range(4):
-                rows = [found.get(k, none)[j] for k in range(len(texts))]
-                offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, none[0]]).astype(np.int32))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols], names=[*keep, *made])
-
-    kind = ", ".join([*filter(None, [kinds(docs, keep)]), *(f"{c} array<int>" for c in made)])
+            rows = [none] * len(texts)
+            for k, found in zip(some, encoder.tokens([texts[k] for k in some])):
+                if found:
+                    a, b = found
+                    rows[k] = (a, b, *groups(np.cumsum(one.length[a]), np.cumsum(two.length[b])))
+            cols = [pa.array([packed(r[j]) for r in rows], pa.binary()) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols, pa.array([len(r[0]) + len(r[1]) for r in rows], pa.int64())], names=[*keep, *made])
+
+    kind = ", ".join([*filter(None, [kinds(docs, keep)]), *(f"{c} binary" for c in made[:4]), "n long"])
     return docs.select(text_col, *keep).mapInArrow(run, kind)
 
 
 def opened(batch: pa.RecordBatch, base: int):
-    """The four list columns of a batch, the document of each group, and the links as (document, pair, number) by chunks."""
-    (a, at_a), (b, at_b), (size_a, at), (size_b, _) = (flat(batch.column(c)) for c in ("a", "b", "size_a", "size_b"))
+    """The four columns of a batch, the offsets of its documents in them, and the links as (document, pair, number) by chunks."""
+    (a, at_a), (b, at_b), (size_a, at), (size_b, _) = (unpacked(batch.column(batch.schema.get_field_index(c))) for c in ("a", "b", "size_a", "size_b"))
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     chunks = ((doc[g], x * base + y, n) for g, x, y, n in links(a, b, size_a, size_b))
     return a, b, size_a, size_b, at_a, at_b, at, chunks
@@ -218,12 +242,12 @@ def pair_counts(tokens: DataFrame, base: int, n_pairs: int) -> DataFrame:
     """pair, n (documents that hold it linked) and best (n is the highest of the pair's first id)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches):
             *_, chunks = opened(batch, base)
             pair, n = np.unique(distinct_links(chunks, n_pairs)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
 
-    counts = stash(tokens.select("a", "b", "size_a", "size_b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    counts = stash(tokens.select("a", "b", "size_a", "size_b", F.col("n")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     own = F.expr(f"pair div {base}")
     most = counts.groupBy(own.alias("own")).agg(F.max("n").alias("most"))
     return stash(counts.withColumn("own", own).join(most, "own").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
@@ -259,7 +283,7 @@ def align(docs: DataFrame, first: Vocabulary, second: Vocabulary, *, text_col: s
     """
     spark = docs.sparkSession
     result = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
-    made = ["a", "b", "size_a", "size_b", "__row"]
+    made = ["a", "b", "size_a", "size_b", "n", "__row"]
     keep = [c for c in docs.columns if c not in (text_col, *result)]
     plain = {f"__{k}": c for k, c in enumerate(keep)}  # names that can't clash
     one, two = Side(first), Side(second)
@@ -278,7 +302,7 @@ def align(docs: DataFrame, first: Vocabulary, second: Vocabulary, *, text_col: s
 
     def run(batches):
         names = [f"{i}{mark}".encode() for n, marks in ((n_a, ",|"), (base, ",;")) for i in range(n) for mark in marks]
-        for batch in (part for b in batches for part in pieces_of(b)):
+        for batch in pieces_of(batches):
             sizes, text, chunks = described(batch, base, n_a, names)
             best, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             if few:
@@ -295,26 +319,26 @@ def align(docs: DataFrame, first: Vocabulary, second: Vocabulary, *, text_col: s
     if not few:
 
         def held(batches):
-            for batch in batches:
+            for batch in pieces_of(batches):
                 doc, pair, n = distinct_links(opened(batch, base)[-1], n_pairs)
-                rows = batch.column("__row").to_numpy()
+                rows = batch.column(batch.schema.get_field_index("__row")).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), pa.array(pair), pa.array(n)], names=["__row", "pair", "links"])
 
-        own = tokens.select("a", "b", "size_a", "size_b", "__row").mapInArrow(held, "__row long, pair long, links long")
+        own = tokens.select("a", "b", "size_a", "size_b", "n", "__row").mapInArrow(held, "__row long, pair long, links long")
         sums = own.join(counts, "pair").groupBy("__row").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
         zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
         out = out.drop("n_best", "count_sum").join(sums, "__row", "left").withColumns({c: zero(c) for c in ("n_best", "count_sum")})
     return out.select(*(F.col(k).alias(c) for k, c in plain.items()), *result)
 
 
-def pieces_of(batch: pa.RecordBatch, most: int = 1 << 20):
-    """Rows of a batch with about `most` tokens at once."""
-    size = np.diff(batch.column(batch.schema.get_field_index("a")).offsets.to_numpy()).astype(np.int64)
-    start, total = 0, 0
-    for k, n in enumerate(size.tolist()):
-        if total and total + n > most:
-            yield batch.slice(start, k - start)
-            start, total = k, 0
-        total += n
-    if start < len(size):
-        yield batch.slice(start)
+def pieces_of(batches, most: int = 1 << 20):
+    """Batches cut so that each has about `most` tokens; a longer text stands alone."""
+    for batch in batches:
+        start, total = 0, 0
+        for k, n in enumerate(batch.column(batch.schema.get_field_index("n")).to_pylist()):
+            if total and total + n > most:
+                yield batch.slice(start, k - start)
+                start, total = k, 0
+            total += n
+        if start < batch.num_rows:
+            yield batch.slice(start)

@@ -82,7 +82,7 @@ def test_align(spark, monkeypatch, small, pairs):
     """Also with texts cut into pieces, products in small chunks and from distinct ids, and counts that are joined."""
     monkeypatch.setattr(crosstokens, "BROADCAST_PAIRS", pairs)
     if small:
-        for name, value in {"PIECE": 8, "TEXT_BYTES": 64, "LINKS": 7, "LARGE_GROUP": 2}.items():
+        for name, value in {"REMEMBERED": 9, "LONGEST": 5, "TEXT_BYTES": 64, "LINKS": 7, "LARGE_GROUP": 2}.items():
             monkeypatch.setattr(crosstokens, name, value)
     texts = TEXTS + [t for t in odd.texts() if len(t or "") < 20_000]
     df = spark.createDataFrame([(i, t, "clash", 5, "clash") for i, t in enumerate(texts)] + [(None, texts[18], "clash", 5, None)], "doc_id long, text string, n_a string, a int, __row string")
