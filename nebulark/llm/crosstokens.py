@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from nebulark.llm.common import kinds, slices, stash
 
-#: Bytes of text that are encoded at once.
-TEXT_BYTES = 2 << 20
-#: Words whose tokens a task remembers at a time, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+#: Bytes of text that are split at once, and characters of new words that are encoded at once.
+TEXT_BYTES, PIECE = 2 << 20, 1 << 16
+#: Words whose tokens a task remembers at a time, beside those of the texts at hand.
+REMEMBERED = 400_000
 #: Links that are held at once.
 LINKS = 1 << 20
 #: Products beyond this are made from the distinct tokens of a group and their numbers.
@@ -75,7 +75,7 @@ class Side:
             entries = [model.id_to_piece(i) for i in range(model.get_piece_size())]
             self.bytes = [bytes([int(e[3:5], 16)]) if model.is_byte(i) else e.replace("▁", " ").encode() for i, e in enumerate(entries)]
             self.encode = lambda texts: model.encode([t[1:] for t in texts], num_threads=1)  # it adds the space itself
-        self.cuts = not any(re.search(rb"[^ ] ", x) for x in self.bytes)
+        self.cuts = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in self.bytes)
         self.length = np.array([len(x) for x in self.bytes], np.int64)
 
     def spells(self, ids: list[int], text: str) -> bool:
@@ -83,55 +83,92 @@ class Side:
 
 
 class Encoder:
-    """Both tokenizers' ids of texts that start with a space, by their words: a word's tokens are the same in every text."""
+    """Both tokenizers' ids and groups of texts, by their words: where texts can be cut, a word's tokens are the same in
+    every text, and its end is an end of both sides. New words are encoded together, as one text.
+
+    Words are numbered; what is known of them stands in four arrays (ids of either side, tokens of either side in each
+    group), one word after another.
+    """
 
     def __init__(self, one: Side, two: Side):
-        self.one, self.two = one, two
-        self.seen: dict[str, tuple[list, list] | None] = {}
-
-    def learn(self, words: set[str]) -> dict[str, tuple[list, list] | None]:
-        """Ids of words that aren't remembered, about TEXT_BYTES at a time; None for one that either side doesn't spell."""
-        out, waiting, held = {}, [], 0
-        for k, word in enumerate(new := [w for w in words if w not in self.seen], 1):
-            waiting.append(" " + word)
+        self.sides = one, two
+        self.cuts = one.cuts and two.cuts
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.int32) for _ in range(4)]
+        self.starts = [np.zeros(1, np.int64) for _ in range(4)]
+        self.spelled = np.zeros(0, bool)
+
+    def aligned(self, words: list[str]) -> list[tuple]:
+        """The four arrays of some words, and where each word's part of them ends, in pieces; None for words that either side doesn't spell."""
+        text = "".join(" " + w for w in words)
+        ids = [np.array(side.encode([text])[0], np.int64) for side in self.sides]
+        if all(side.spells(x.tolist(), text) for side, x in zip(self.sides, ids)):
+            ends = [np.cumsum(side.length[x]) for side, x in zip(self.sides, ids)]
+            cuts, *sizes = groups(*ends)
+            stops = np.cumsum([len(w.encode()) + 1 for w in words])
+            if (cuts[np.searchsorted(cuts, stops)] == stops).all():
+                at = [np.searchsorted(x, stops) + 1 for x in (*ends, cuts)]
+                return [(words, (*ids, *sizes), (*at, at[2]))]
+        return [(words, None, None)] if len(words) == 1 else [x for w in words for x in self.aligned([w])]
+
+    def learn(self, words: set[str]) -> None:
+        """Number new words, about PIECE characters of them at a time; those with white space at an end stand alone."""
+        parts, waiting, held = [], [], 0
+        for word in words:
+            if word in self.seen:
+                continue
+            if not self.cuts or word.strip() != word or not word:
+                parts += self.aligned([word])
+                continue
+            waiting.append(word)
             held += len(word)
-            if held > TEXT_BYTES or k == len(new):
-                for text, a, b in zip(waiting, self.one.encode(waiting), self.two.encode(waiting)):
-                    out[text[1:]] = (a, b) if self.one.spells(a, text) and self.two.spells(b, text) else None
+            if held > PIECE:
+                parts += self.aligned(waiting)
                 waiting, held = [], 0
-        return out
-
-    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Of each text, given without the space, the ids of both sides; None where either side doesn't spell it."""
-        cuts = self.one.cuts and self.two.cuts
-        split = [CUT.split(t) if cuts else [t] for t in texts]
+        if waiting:
+            parts += self.aligned(waiting)
+        for own, arrays, _ in parts:
+            self.seen |= zip(own, range(len(self.seen), len(self.seen) + len(own)))
+        none = np.zeros(0, np.int32)
+        self.spelled = np.concatenate([self.spelled, *(np.full(len(own), arrays is not None) for own, arrays, _ in parts)])
+        for k in range(4):
+            base, starts = len(self.flat[k]), [self.starts[k]]
+            for own, arrays, ends in parts:
+                starts.append(base + ends[k] if arrays else np.full(len(own), base))
+                base += len(arrays[k]) if arrays else 0
+            self.flat[k] = np.concatenate([self.flat[k], *(arrays[k].astype(np.int32) if arrays else none for _, arrays, _ in parts)])
+            self.starts[k] = np.concatenate(starts)
+
+    def tokens(self, texts: list[str]) -> list[list | None]:
+        """Of each text, with a space before it, its four arrays; None where either side doesn't spell it."""
+        split = [CUT.split(t) if self.cuts else [t] for t in texts]
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        fresh = self.learn({w for words in split for w in words})
-        self.seen |= {w: x for w, x in fresh.items() if len(w) <= LONGEST}
-        out = []
-        for words in split:
-            found = [self.seen[w] if w in self.seen else fresh[w] for w in words]
-            if None in found:
-                out.append(None)
-                continue
-            a, b = [], []
-            for x, y in found:
-                a += x
-                b += y
-            out.append((np.array(a, np.int64), np.array(b, np.int64)))
-        return out
-
-
-def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of either side in each group, from the ascending ends of both sides' tokens, which have the same last end."""
+            self.forget()
+        self.learn({w for words in split for w in words})
+        at = np.cumsum([0, *map(len, split)])
+        word = np.fromiter((k for words in split for k in map(self.seen.__getitem__, words)), np.int64, int(at[-1]))
+        whole = np.minimum.reduceat(self.spelled[word], at[:-1]) if len(texts) else []
+        columns = []
+        for flat, starts in zip(self.flat, self.starts):
+            n = starts[word + 1] - starts[word]
+            done = np.concatenate(([0], np.cumsum(n)))
+            columns.append((flat[np.repeat(starts[word] - done[:-1], n) + np.arange(done[-1])], done[at].tolist()))
+        return [[x[ends[k] : ends[k + 1]] for x, ends in columns] if whole[k] else None for k in range(len(texts))]
+
+
+def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shared ends, which close groups, and the tokens of either side in each group, from the ascending ends of both
+    sides' tokens, which have the same last end."""
     ends = np.union1d(ends_a, ends_b)  # an elementary interval ends at each
     is_a = ends_a[np.searchsorted(ends_a, ends)] == ends  # its owner ends with it
     is_b = ends_b[np.searchsorted(ends_b, ends)] == ends
     closes = is_a & is_b
     group = np.cumsum(closes) - closes
     n = int(closes.sum())
-    return np.bincount(group[is_a], minlength=n), np.bincount(group[is_b], minlength=n)
+    return ends[closes], np.bincount(group[is_a], minlength=n), np.bincount(group[is_b], minlength=n)
 
 
 def products(group_a, a, weight_a, group_b, b, weight_b, n: int):
@@ -153,15 +190,18 @@ def products(group_a, a, weight_a, group_b, b, weight_b, n: int):
 def links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray):
     """(group, id a, id b, number of links); a pair comes several times in a small group, once in a large one."""
     n = len(size_a)
+    alone = (size_a == 1) & (size_b == 1)
+    at = np.flatnonzero(alone)
+    if len(at):
+        yield at, a[(np.cumsum(size_a) - 1)[at]], b[(np.cumsum(size_b) - 1)[at]], np.ones(len(at), np.int64)
     large = size_a * size_b > LARGE_GROUP
     sides = []
     for ids, size in ((a, size_a), (b, size_b)):
         group = np.repeat(np.arange(n), size)
-        big = large[group]
+        big, few = large[group], ~(large | alone)[group]
         base = int(ids.max(initial=0)) + 1
         key, count = np.unique(group[big] * base + ids[big], return_counts=True)
-        small = (group[~big], ids[~big], np.ones(int((~big).sum()), np.int64))
-        sides.append((small, (key // base, key % base, count)))
+        sides.append(((group[few], ids[few], np.ones(int(few.sum()), np.int64)), (key // base, key % base, count)))
     for k in range(2):
         yield from products(*sides[0][k], *sides[1][k], n)
 
@@ -189,16 +229,14 @@ def encoded(docs: DataFrame, first: Vocabulary, second: Vocabulary, text_col: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        one, two = map(Side, shared.value)
-        encoder, none = Encoder(one, two), (np.zeros(0, np.int64),) * 4
+        encoder, none = Encoder(*map(Side, shared.value)), [np.zeros(0, np.int64)] * 4
         for batch in slices(batches, 0, TEXT_BYTES):
             texts = batch.column(0).to_pylist()
             some = [k for k, t in enumerate(texts) if t]
             rows = [none] * len(texts)
             for k, found in zip(some, encoder.tokens([texts[k] for k in some])):
                 if found:
-                    a, b = found
-                    rows[k] = (a, b, *groups(np.cumsum(one.length[a]), np.cumsum(two.length[b])))
+                    rows[k] = found
             cols = [pa.array([packed(r[j]) for r in rows], pa.binary()) for j in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cols, pa.array([len(r[0]) + len(r[1]) for r in rows], pa.int64())], names=[*keep, *made])
 

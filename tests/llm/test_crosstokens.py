@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -64,6 +65,7 @@ def expected(texts):
     return out
 
 
+@lru_cache(None)
 def token_bytes(token):
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     other = [b for b in range(256) if b not in shown]
@@ -82,11 +84,11 @@ def test_align(spark, monkeypatch, small, pairs):
     """Also with texts cut into pieces, products in small chunks and from distinct ids, and counts that are joined."""
     monkeypatch.setattr(crosstokens, "BROADCAST_PAIRS", pairs)
     if small:
-        for name, value in {"REMEMBERED": 9, "LONGEST": 5, "TEXT_BYTES": 64, "LINKS": 7, "LARGE_GROUP": 2}.items():
+        for name, value in {"REMEMBERED": 9, "TEXT_BYTES": 64, "PIECE": 20, "LINKS": 7, "LARGE_GROUP": 2}.items():
             monkeypatch.setattr(crosstokens, name, value)
     texts = TEXTS + [t for t in odd.texts() if len(t or "") < 20_000]
     df = spark.createDataFrame([(i, t, "clash", 5, "clash") for i, t in enumerate(texts)] + [(None, texts[18], "clash", 5, None)], "doc_id long, text string, n_a string, a int, __row string")
-    got = align(df.repartition(3), byte_level(A), pieces(B))
+    got = align(df.repartition(2), byte_level(A), pieces(B))
     assert got.columns == ["doc_id", "a", "__row", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
     want = expected([*texts, texts[18]])
     found = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "") for r in got.collect()}
@@ -108,8 +110,8 @@ def test_empty(spark):
 
 
 def test_groups_and_products():
-    size_a, size_b = crosstokens.groups(np.array([2, 3, 7]), np.array([1, 3, 5, 7]))
-    assert size_a.tolist() == [2, 1] and size_b.tolist() == [2, 2]
+    cuts, size_a, size_b = crosstokens.groups(np.array([2, 3, 7]), np.array([1, 3, 5, 7]))
+    assert cuts.tolist() == [3, 7] and size_a.tolist() == [2, 1] and size_b.tolist() == [2, 2]
     found = Counter()
     for g, x, y, n in crosstokens.links(np.array([5, 5, 6]), np.array([1, 1, 2, 3]), size_a, size_b):
         for k in zip(g.tolist(), x.tolist(), y.tolist(), n.tolist()):
