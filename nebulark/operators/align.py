@@ -1,11 +1,11 @@
 """Alignment and stacking of frames: star matches, transforms with fallbacks, and stacks of aligned frames.
 
-Frames are rows (frame, y, x, v); the driver learns a few numbers a frame, samples never.
+Frames are rows (frame, y, x, v); every step is keyed by frame, so all frames go through the same jobs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulark.functions import stretch
@@ -19,6 +19,10 @@ from nebulark.operators.stats import join_keys, order_stats
 
 #: Stars and matches of a transform, confidence and part of a side of a shift, side of coarse images.
 STARS, AFFINE, RIGID, CONFIDENCE, PART, COARSE = 120, 6, 4, 1.5, 0.4, 512
+#: Fixed value: level of detection for alignment.
+SIGMA = 3.5
+#: Rows of a table of frames up to which it is broadcast, about 6 MB.
+FEW_FRAMES = 100_000
 #: Bounds of drizzle's scale and footprint, and by how much frames' sizes may differ.
 SCALES, FOOTPRINTS, DIFFERENCE = (1.0, 4.0), (0.1, 1.0), 0.05
 
@@ -32,123 +36,150 @@ def for_detection(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, "y", "x", F.when(F.col("n") < 100, F.col("v")).when(stretch.finite("v"), F.coalesce(x, F.lit(0.0))).otherwise(0.0).alias("v"))
 
 
-def ordered_triangles(stars: DataFrame, n: int = TRIANGLE_STARS) -> DataFrame:
-    """Triangles of the n brightest stars (star_id, x, y, flux): ratios r1 and r2 of the shorter sides to the longest, and a,
-    b, c, the vertices opposite the sides from the shortest on. n bounds the result."""
-    top = stars.orderBy(F.desc("flux"), "star_id").limit(n)
-    one = lambda k: top.select(F.col("star_id").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    three = one("p").join(F.broadcast(one("q")), F.col("p") < F.col("q")).join(F.broadcast(one("r")), F.col("q") < F.col("r"))  # n rows
+def ordered_triangles(stars: DataFrame, n: int = TRIANGLE_STARS, keys: list[str] = ()) -> DataFrame:
+    """Triangles of the n brightest stars (keys, star_id, x, y, flux) of each key: ratios r1 and r2 of the shorter sides to the
+    longest, and a, b, c, the vertices opposite the sides from the shortest on. n bounds the result of a key."""
+    keys = list(keys)
+    top = ranked(stars, n, keys)
+    one = lambda k: top.select(*(F.col(c).alias(c if k == "p" else f"{c}__{k}") for c in keys), F.col("star_id").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    same = lambda k: [F.col(c).eqNullSafe(F.col(f"{c}__{k}")) for c in keys]
+    three = one("p").join(F.broadcast(one("q")) if not keys else one("q"), [*same("q"), F.col("p") < F.col("q")])  # n rows a key
+    three = three.join(F.broadcast(one("r")) if not keys else one("r"), [*same("r"), F.col("q") < F.col("r")])
     side = lambda a, b: F.hypot(F.col(f"x{a}") - F.col(f"x{b}"), F.col(f"y{a}") - F.col(f"y{b}"))
     opposite = F.array_sort(F.array(*(F.struct(side(*ends).alias("d"), F.col(v).alias("v")) for v, ends in (("r", "pq"), ("p", "qr"), ("q", "pr")))))
     s = three.withColumn("s", opposite).where(F.col("s")[0]["d"] >= LEAST_SIDE)
-    return s.select(*(F.col("s")[k]["v"].alias(n) for k, n in enumerate("abc")), (F.col("s")[0]["d"] / F.col("s")[2]["d"]).alias("r1"), (F.col("s")[1]["d"] / F.col("s")[2]["d"]).alias("r2"))
+    return s.select(*keys, *(F.col("s")[k]["v"].alias(n) for k, n in enumerate("abc")), (F.col("s")[0]["d"] / F.col("s")[2]["d"]).alias("r1"), (F.col("s")[1]["d"] / F.col("s")[2]["d"]).alias("r2"))
 
 
-def votes(one: DataFrame, two: DataFrame) -> DataFrame:
-    """a, b and votes: how many pairs of alike triangles have star a of the first list where the other has star b."""
-    met = triangle_matches(one, two)
+def ranked(stars: DataFrame, n: int, keys: list[str] = ()) -> DataFrame:
+    """The n brightest stars of each key."""
+    if not keys:
+        return brightest(stars, n)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("flux"), "star_id"))
+    return stars.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
+def votes(one: DataFrame, two: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys of the second, a, b and votes: how many pairs of alike triangles have star a of the first list where the other has star b."""
+    met = triangle_matches(one, two, keys=keys)
     pairs = F.explode(F.array(*(F.struct(F.col(k).alias("a"), F.col(f"{k}2").alias("b")) for k in "abc")))
-    return met.select(pairs.alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("votes"))
+    return met.select(*keys, pairs.alias("p")).groupBy(*keys, "p.a", "p.b").agg(F.count("*").alias("votes"))
 
 
-def assigned(votes: DataFrame) -> DataFrame:
-    """Pairs (a, b, votes) that a greedy choice takes: by falling votes, then a, then b, each a and each b once.
+def assigned(votes: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Pairs (keys, a, b, votes) that a greedy choice takes in each key: by falling votes, then a, then b, each a and each b once.
 
     In a round every pair that is the first of all left for both its sides is taken at once; the same pairs as one by one.
     """
+    keys = list(keys)
     left, taken = checkpointed(votes), None
-    first = lambda side: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("votes"), "a", "b"))
+    first = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(F.desc("votes"), "a", "b"))
     while True:
-        best = checkpointed(left.withColumn("i", first("a")).withColumn("j", first("b")).where("i = 1 AND j = 1").select("a", "b", "votes"))
+        best = checkpointed(left.withColumn("i", first("a")).withColumn("j", first("b")).where("i = 1 AND j = 1").select(*keys, "a", "b", "votes"))
         taken = best if taken is None else checkpointed(taken.unionAll(best))
-        left = checkpointed(left.join(best.select("a"), "a", "left_anti").join(best.select("b"), "b", "left_anti").select("a", "b", "votes"))
+        free = lambda side: [*keys, side]
+        left = checkpointed(left.join(best.select(*free("a")), free("a"), "left_anti").join(best.select(*free("b")), free("b"), "left_anti").select(*keys, "a", "b", "votes"))
         if left.isEmpty():
             return taken
 
 
-def matched_stars(reference: DataFrame, target: DataFrame) -> DataFrame:
-    """Matches (x, y of the reference, u, w of the target, votes) of two star lists by votes of their triangles."""
-    one, two = (brightest(s, STARS) for s in (reference, target))
-    pairs = assigned(votes(ordered_triangles(one), ordered_triangles(two)))
-    pairs = pairs.join(one.select(F.col("star_id").alias("a"), "x", "y"), "a").join(two.select(F.col("star_id").alias("b"), F.col("x").alias("u"), F.col("y").alias("w")), "b")
-    return pairs.select("x", "y", "u", "w", "votes")
+def matched_stars(reference: DataFrame, target: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Matches (keys of the targets, x, y of the reference, u, w of the target, votes) of star lists by votes of their triangles."""
+    keys = list(keys)
+    one, two = checkpointed(brightest(reference, STARS)), checkpointed(ranked(target, STARS, keys))
+    pairs = assigned(votes(ordered_triangles(one), ordered_triangles(two, keys=keys), keys), keys)
+    pairs = pairs.join(F.broadcast(one.select(F.col("star_id").alias("a"), "x", "y")), "a")  # STARS rows
+    pairs = join_keys(pairs, two.select(*keys, F.col("star_id").alias("b"), F.col("x").alias("u"), F.col("y").alias("w")), [*keys, "b"])
+    return pairs.select(*keys, "x", "y", "u", "w", "votes")
 
 
-def phase_offset(reference: DataFrame, target: DataFrame) -> tuple[float, float, float]:
-    """dy, dx and confidence of a target's shift (both y, x, v), from coarse to fine.
+def phase_offsets(frames: DataFrame, reference: DataFrame) -> DataFrame:
+    """frame, dy, dx, confidence and doubtful of each frame's shift from the reference (y, x, v), from coarse to fine, all in one plan.
 
     Images beyond 512 samples are first averaged down to that side; then the middle 512 samples, moved by what was found,
     tell the rest. So a task holds two planes of that size at most.
     """
     size = size_of(reference, []).first()
     h, w = size["h"], size["w"]
-    shift = lambda r, t: spectral.phase_correlation(t.select(F.lit(0).alias("frame"), "y", "x", "v"), r, "frame").first()
+    shift = lambda r, t: spectral.phase_correlation(t.select("frame", "y", "x", "v"), r, "frame")
     if max(h, w) <= COARSE:
-        found = shift(reference, target)
-        return found["dy"], found["dx"], found["confidence"]
+        return shift(reference, frames)
     s = max(h, w) / COARSE
-    coarse = shift(block_means(reference, [], s, s), block_means(target, [], s, s))
-    dy, dx = round(coarse["dy"] * s), round(coarse["dx"] * s)
-    fine = shift(centre(reference, h, w, 0, 0), centre(target, h, w, dy, dx))
-    return dy + fine["dy"], dx + fine["dx"], fine["confidence"]
+    coarse = checkpointed(shift(block_means(reference, [], s, s), block_means(frames, ["frame"], s, s)))
+    moved = coarse.select("frame", F.round(F.col("dy") * s).alias("oy"), F.round(F.col("dx") * s).alias("ox"))
+    fine = shift(centre(reference, h, w), centre(join_keys(frames, moved, ["frame"]), h, w, F.col("oy"), F.col("ox")))
+    return join_keys(fine, moved, ["frame"]).select("frame", (F.col("oy") + F.col("dy")).alias("dy"), (F.col("ox") + F.col("dx")).alias("dx"), "confidence", "doubtful")
 
 
-def centre(pixels: DataFrame, height: int, width: int, dy: int, dx: int, half: int = COARSE // 2) -> DataFrame:
+def centre(pixels: DataFrame, height: int, width: int, dy: Column | int = 0, dx: Column | int = 0, half: int = COARSE // 2) -> DataFrame:
     """The middle of an image, read at an offset."""
-    top, left = max(height // 2 - half, 0) + dy, max(width // 2 - half, 0) + dx
+    top, left = max(height // 2 - half, 0) + F.lit(dy), max(width // 2 - half, 0) + F.lit(dx)
     inside = pixels.where(F.col("y").between(top, top + 2 * half - 1) & F.col("x").between(left, left + 2 * half - 1))
-    return inside.select((F.col("y") - top).alias("y"), (F.col("x") - left).alias("x"), "v")
+    return inside.select(*(c for c in ("frame",) if c in pixels.columns), (F.col("y") - top).cast("int").alias("y"), (F.col("x") - left).cast("int").alias("x"), "v")
+
+
+#: What a transform is: it takes a reference's pixel (x, y) to a frame's (a x + b y + tx, c x + d y + ty).
+TERMS = ("a", "b", "tx", "c", "d", "ty")
+
 
+def shifts(frames: DataFrame, reference: DataFrame, height: int, width: int) -> DataFrame:
+    """frame, method and TERMS of shifts by phase correlation; none where it is doubtful or moves by more than 40 % of a side."""
+    found = phase_offsets(frames, reference)
+    sure = (F.col("confidence") >= CONFIDENCE) & (F.abs("dy") <= PART * height) & (F.abs("dx") <= PART * width)
+    move = lambda c: F.when(sure, F.col(f"d{c}")).otherwise(0.0).alias(f"t{c}")
+    return found.select("frame", F.when(sure, "phase").otherwise("identity").alias("method"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), move("x"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d"), move("y"))
 
-def transform_of(reference: DataFrame, target: DataFrame, sigma: float = 5.0) -> dict:
-    """How a target lies on a reference: method and a, b, tx, c, d, ty, which take its pixel (x, y) to the target's.
 
-    Affine from six or more matched stars that agree, else rigid from four, else a shift by phase correlation, unless that
-    is doubtful or moves by more than 40 % of a side; else nothing moves.
+def star_transforms(frames: DataFrame, reference, height: int, width: int, sigma: float = SIGMA) -> DataFrame:
+    """frame, method and TERMS of the frames whose stars match the reference's: affine from six or more matches that agree,
+    else rigid from four; frames without a plausible one have no row."""
+    stars = checkpointed(detected(for_detection(frames, ["frame"]), ["frame"], sigma))
+    one, others = stars.where(F.col("frame") == F.lit(reference)), stars.where(F.col("frame") != F.lit(reference))
+    found = checkpointed(matched_stars(one, others, ["frame"]))
+    n = found.groupBy("frame").agg(F.count("*").alias("matches"))
+    likely = registration.plausible(width, height)
+    affine = registration.robust_affine(found, -F.col("votes"), keys=["frame"]).where((F.col("n") >= AFFINE) & (F.col("total") >= AFFINE) & likely)
+    turn = F.radians("rotation")
+    rigid = registration.rigid_fit(found, ["frame"]).where(F.col("n") >= RIGID).select("frame", F.cos(turn).alias("a"), (-F.sin(turn)).alias("b"), "tx", F.sin(turn).alias("c"), F.cos(turn).alias("d"), "ty").where(likely)
+    both = join_keys(join_keys(n.select("frame"), affine.select("frame", F.struct(*TERMS).alias("affine")), ["frame"], "left"), rigid.select("frame", F.struct(*TERMS).alias("rigid")), ["frame"], "left")
+    both = both.withColumn("t", F.coalesce("affine", "rigid")).where("t IS NOT NULL")
+    return both.select("frame", F.when(F.col("affine").isNotNull(), "affine").otherwise("rigid").alias("method"), "t.*")
+
+
+def transforms(frames: DataFrame, reference, method: str = "phase") -> DataFrame:
+    """frame, method and TERMS of each frame on the reference frame; that of the reference itself moves nothing.
+
+    By shifts, or (method affine) by stars, and by a shift where those don't do. All frames go through the same jobs, keyed
+    by frame, so their number doesn't grow with the frames.
     """
-    size = size_of(reference, []).first()
-    lists = [checkpointed(detected(for_detection(p, []), [], sigma)) for p in (reference, target)]
-    found = checkpointed(matched_stars(*lists))
-    n = found.count()
-    if n >= AFFINE:
-        fit = registration.robust_affine(found, -F.col("votes")).where(registration.plausible(size["w"], size["h"])).first()
-        if fit and fit["n"] >= AFFINE:
-            return {"method": "affine", **{k: fit[k] for k in ("a", "b", "tx", "c", "d", "ty")}}
-    if n >= RIGID:
-        fit = registration.rigid_fit(found.withColumn("k", F.lit(0)), ["k"])
-        turn = F.radians("rotation")
-        fit = fit.select(F.cos(turn).alias("a"), (-F.sin(turn)).alias("b"), "tx", F.sin(turn).alias("c"), F.cos(turn).alias("d"), "ty").where(registration.plausible(size["w"], size["h"])).first()
-        if fit:
-            return {"method": "rigid", **fit.asDict()}
-    return shift_of(reference, target, size["h"], size["w"])
-
-
-def shift_of(reference: DataFrame, target: DataFrame, height: int, width: int) -> dict:
-    """A shift by phase correlation, or none if it is doubtful or large."""
-    dy, dx, confidence = phase_offset(reference, target)
-    sure = confidence >= CONFIDENCE and abs(dy) <= PART * height and abs(dx) <= PART * width
-    return {"method": "phase" if sure else "identity", "a": 1.0, "b": 0.0, "tx": dx if sure else 0.0, "c": 0.0, "d": 1.0, "ty": dy if sure else 0.0}
-
-
-def transforms(frames: DataFrame, reference, method: str = "phase") -> list[dict]:
-    """The transform of each frame on the reference frame; that of the reference itself moves nothing. A job a frame."""
-    base = checkpointed(frames.where(F.col("frame") == F.lit(reference)).select("y", "x", "v"))
-    size, out = size_of(base, []).first(), []
-    for r in frames.select("frame").distinct().orderBy("frame").collect():  # a row a frame
-        if r.frame == reference:
-            out.append({"frame": r.frame, "method": "identity", "a": 1.0, "b": 0.0, "tx": 0.0, "c": 0.0, "d": 1.0, "ty": 0.0})
-            continue
-        own = frames.where(F.col("frame") == F.lit(r.frame)).select("y", "x", "v")
-        out.append({"frame": r.frame} | (shift_of(base, own, size["h"], size["w"]) if method == "phase" else transform_of(base, own)))
-    return out
-
-
-def warped(frames: DataFrame, found: list[dict]) -> DataFrame:
-    """Frames read through their transforms (see transforms): cubic, 0 outside. Each output cell asks for its 16 samples, and
+    frames = checkpointed(frames.select("frame", "y", "x", "v"))
+    base, others = frames.where(F.col("frame") == F.lit(reference)).select("y", "x", "v"), frames.where(F.col("frame") != F.lit(reference))
+    size = size_of(base, []).first()
+    kind = frames.schema["frame"].dataType.simpleString()
+    own = frames.sparkSession.range(1).select(F.lit(reference).cast(kind).alias("frame"), F.lit("identity").alias("method"), *(F.lit(1.0 if c in "ad" else 0.0).alias(c) for c in TERMS))
+    names = others.select("frame").distinct()
+    if method == "phase":
+        moved = shifts(others, base, size["h"], size["w"])
+    else:
+        by_stars = checkpointed(star_transforms(frames, reference, size["h"], size["w"]))
+        rest = others.join(by_stars.select("frame"), "frame", "left_anti")
+        moved = by_stars.unionByName(shifts(rest, base, size["h"], size["w"]))
+    # A frame that shares no sample with the reference has no shift, either.
+    left = join_keys(names, moved, ["frame"], "left")
+    moved = left.select("frame", F.coalesce("method", F.lit("identity")).alias("method"), *(F.coalesce(c, F.lit(1.0 if c in "ad" else 0.0)).alias(c) for c in TERMS))
+    return checkpointed(own.unionByName(moved))
+
+
+def each_frame(table: DataFrame) -> DataFrame:
+    """A table of a row a frame, to be broadcast while it has few rows."""
+    return F.broadcast(table) if table.count() <= FEW_FRAMES else table
+
+
+def warped(frames: DataFrame, found: DataFrame) -> DataFrame:
+    """Frames read through their transforms (frame and TERMS): cubic, 0 outside. Each output cell asks for its 16 samples, and
     meets them in one equi join, so a frame is split over tasks."""
-    spark = frames.sparkSession
-    table = spark.createDataFrame([tuple(float(x[k]) if k != "frame" else x[k] for k in ("frame", "a", "b", "tx", "c", "d", "ty")) for x in found], f"frame {frames.schema['frame'].dataType.simpleString()}, a double, b double, tx double, c double, d double, ty double")
-    cells = frames.select("frame", "y", "x").join(F.broadcast(table), "frame").join(F.broadcast(size_of(frames, ["frame"])), "frame")  # a row a frame
+    table = each_frame(checkpointed(join_keys(found.select("frame", *TERMS), size_of(frames, ["frame"]), ["frame"])))
+    cells = frames.select("frame", "y", "x").join(table, "frame")
     cells = cells.select("frame", "y", "x", "h", "w", (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("tx")).alias("sx"), (F.col("c") * F.col("x") + F.col("d") * F.col("y") + F.col("ty")).alias("sy"))
     cells = cells.where("sx >= 0 AND sx <= w - 1 AND sy >= 0 AND sy <= h - 1")
     for axis, side in (("y", "h"), ("x", "w")):
@@ -170,18 +201,45 @@ def stacked(frames: DataFrame, reference, low: float = 3.0, high: float = 3.0, p
     return stacking.sigma_clip(rows, ["y", "x"], low, high, passes)
 
 
-def drizzle_stack(frames: DataFrame, reference, scale: float = 2.0, shrink: float = 0.8, low: float = 3.0, high: float = 3.0, passes: int = 3, method: str = "phase") -> DataFrame:
+def drizzle_stack(frames: DataFrame, reference, scale: float = 2.0, shrink: float = 0.8, low: float = 3.0, high: float = 3.0, passes: int = 3, method: str = "phase", kernel: str = "square") -> DataFrame:
     """One image of two or more frames on a finer grid, each placed by its offset from the reference, clipped by cell.
 
-    Frames whose sides differ by more than 5 % are an error; scale and footprint are kept within 1 to 4 and 0.1 to 1.
+    Frames are cut to the least size; if their sides differ by more than 5 % of it, it is an error. Scale and footprint are
+    kept within 1 to 4 and 0.1 to 1. By phase, a frame's offset is that of its shift, or of its stars where that is doubtful;
+    no offset (method none) leaves all where they are.
     """
     size = size_of(frames, ["frame"]).agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "hw")).first()
-    if size["n"] < 2 or any(size[f"max_{c}"] - size[f"min_{c}"] > DIFFERENCE * size[f"max_{c}"] for c in "hw"):
+    if size["n"] < 2 or any(size[f"max_{c}"] - size[f"min_{c}"] > int(DIFFERENCE * max(size["min_h"], size["min_w"])) for c in "hw"):
         raise ValueError("drizzle needs two frames or more of one size")
-    found = transforms(frames, reference, method)
-    offsets = frames.sparkSession.createDataFrame([(x["frame"], -float(x["ty"]), -float(x["tx"])) for x in found], f"frame {frames.schema['frame'].dataType.simpleString()}, dy double, dx double")
+    rows = checkpointed(frames.where((F.col("y") < size["min_h"]) & (F.col("x") < size["min_w"])).select("frame", "y", "x", "v"))
+    if method == "none":
+        offsets = rows.select("frame").distinct().select("frame", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx"))
+    else:
+        offsets = frame_offsets(rows, reference, method)
     bounded = lambda x, ends: min(max(x, ends[0]), ends[1])
-    return stacking.drizzle_clipped(frames, offsets, bounded(scale, SCALES), bounded(shrink, FOOTPRINTS), low, high, passes)
+    return stacking.drizzle_clipped(rows, each_frame(checkpointed(offsets)), bounded(scale, SCALES), bounded(shrink, FOOTPRINTS), low, high, passes, kernel)
+
+
+def frame_offsets(frames: DataFrame, reference, method: str = "phase") -> DataFrame:
+    """frame, dy and dx, by which each frame is moved onto the reference."""
+    if method != "phase":
+        return transforms(frames, reference, method).select("frame", (-F.col("ty")).alias("dy"), (-F.col("tx")).alias("dx"))
+    base = frames.where(F.col("frame") == F.lit(reference)).select("y", "x", "v")
+    found = checkpointed(phase_offsets(frames.where(F.col("frame") != F.lit(reference)), base))
+    sure = found.where(~F.col("doubtful")).select("frame", (-F.col("dy")).alias("dy"), (-F.col("dx")).alias("dx"))
+    if found.where("doubtful").isEmpty():
+        others = sure
+    else:
+        rest = frames.join(found.where("doubtful").select("frame"), "frame", "left_semi").unionByName(frames.where(F.col("frame") == F.lit(reference)))
+        by_stars = transforms(rest, reference, "affine").where(F.col("frame") != F.lit(reference))
+        others = sure.unionByName(by_stars.select("frame", (-F.col("ty")).alias("dy"), (-F.col("tx")).alias("dx")))
+    return others.unionByName(frames.where(F.col("frame") == F.lit(reference)).select("frame").distinct().select("frame", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dx")))
+
+
+def aligned_channels(channels: DataFrame, reference: str = "r", method: str = "phase") -> DataFrame:
+    """Channels (channel, y, x, v) of one size read through their transforms on the reference channel."""
+    rows = checkpointed(channels.select(F.col("channel").alias("frame"), "y", "x", "v"))
+    return warped(rows, transforms(rows, reference, method)).withColumnRenamed("frame", "channel")
 
 
 def drizzle_rgb(frames: DataFrame, references: dict, **options) -> DataFrame:

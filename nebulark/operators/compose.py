@@ -66,14 +66,23 @@ def balanced(channels: DataFrame) -> DataFrame:
     return s.select(F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), f[c].alias("factor")) for c in "rgb"))).alias("s")).select("s.*")
 
 
-def composed(channels: DataFrame, balance: str | tuple[float, float, float] | None = "auto", auto_stretch: bool = True, linked: bool = False, green: tuple[str, float, bool] | None = ("average", 1.0, False)) -> DataFrame:
-    """A composite (y, x, r, g, b) in 0 to 1 from aligned channels.
+def composed(channels: DataFrame, balance: str | tuple[float, float, float] | None = "auto", auto_stretch: bool = True, linked: bool = False, green: tuple[str, float, bool] | None = ("average", 1.0, False), align: str | None = None) -> DataFrame:
+    """A composite (y, x, r, g, b) in 0 to 1 from two or three channels; fewer are an error.
 
-    Sizes are made equal and a missing channel is made up; then white balance (auto, three factors or none), a stretch
+    Sizes are made equal; with align (phase or affine) channels are moved onto the first that there is of red, green and
+    blue; a missing channel is made up; then white balance (auto, three factors or none), a stretch
     (automatic for each channel, linked: from the mean of the channels with each channel's own range, or neutral), and
     less green (method, amount, whether luminance is kept).
     """
-    rows = checkpointed(long(wide(harmonised(channels))))
+    there = sorted((r.channel for r in channels.select("channel").distinct().collect()), key="rgbl".find)  # a row a channel
+    if len(set(there) & set("rgb")) < 2:
+        raise ValueError("a composite needs two channels or more")
+    rows = harmonised(channels)
+    if align:
+        from nebulark.operators.align import aligned_channels
+
+        rows = aligned_channels(rows, there[0], align)
+    rows = checkpointed(long(wide(rows)))
     if balance is not None:
         factors = balanced(rows) if balance == "auto" else channels.sparkSession.createDataFrame(list(zip("rgb", map(float, balance))), "channel string, factor double")
         rows = checkpointed(multiplied(rows, factors))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulark.operators.stars import affine_fit
@@ -37,28 +37,30 @@ def plausible(width: int, height: int) -> Column:
     return (F.abs("tx") <= 0.4 * width) & (F.abs("ty") <= 0.4 * height) & (turn <= 30) & scales
 
 
-def robust_affine(matches: DataFrame, order: Column, rounds: int = ROUNDS, reach: float = REACH) -> DataFrame:
-    """One row, or none if too few agree: an affine fit of matches (x, y, u, w) to those that the best hypothesis takes
-    within `reach`, with n, their number, and total.
+def robust_affine(matches: DataFrame, order: Column, rounds: int = ROUNDS, reach: float = REACH, keys: list[str] = ()) -> DataFrame:
+    """One row a key, or none if too few agree: an affine fit of its matches (x, y, u, w) to those that the best hypothesis
+    takes within `reach`, with n, their number, and total.
 
-    Only the first STARS matches in the given order take part, which bounds the one array of them that each hypothesis
-    reads. Hypotheses are rows, three matches each by hash of their number, so that reruns agree.
+    Only the first STARS matches of a key in the given order take part, which bounds the one array of them that each
+    hypothesis reads. Hypotheses are rows, three matches each by hash of their number, so that reruns agree.
     """
-    top = matches.select("x", "y", "u", "w", order.alias("o")).orderBy("o", "x", "y", "u", "w").limit(STARS)
-    one = top.agg(F.array_sort(F.collect_list(F.struct("x", "y", "u", "w"))).alias("ms"))
-    tried = join_keys(matches.sparkSession.range(rounds).withColumnRenamed("id", "round"), one, []).where(F.size("ms") >= LEAST)
+    keys = list(keys)
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ranked = matches.select(*keys, "x", "y", "u", "w", order.alias("o")).withColumn("rank", F.row_number().over(own.orderBy("o", "x", "y", "u", "w")))
+    one = ranked.where(F.col("rank") <= STARS).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y", "u", "w"))).alias("ms")).where(F.size("ms") >= LEAST)
+    tried = one.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
     picks = [F.element_at("ms", (F.pmod(F.xxhash64("round", F.lit(k)), F.size("ms")) + 1).cast("int")).alias(f"p{k}") for k in range(3)]
-    tried = tried.select("round", "ms", *picks)
+    tried = tried.select(*keys, "round", "ms", *picks)
     side = lambda k, c: F.col(f"p{k}.{c}") - F.col(f"p0.{c}")
     det = side(1, "x") * side(2, "y") - side(2, "x") * side(1, "y")
     solve = lambda t: (F.try_divide(side(1, t) * side(2, "y") - side(2, t) * side(1, "y"), det), F.try_divide(side(1, "x") * side(2, t) - side(2, "x") * side(1, t), det))
     (a, b), (c, d) = solve("u"), solve("w")
-    tried = tried.where(F.abs(det) > 1e-6).select("round", "ms", F.col("p0").alias("p"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+    tried = tried.where(F.abs(det) > 1e-6).select(*keys, "round", "ms", F.col("p0").alias("p"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
     off = lambda m: F.hypot(m["u"] - F.col("p.u") - F.col("a") * (m["x"] - F.col("p.x")) - F.col("b") * (m["y"] - F.col("p.y")), m["w"] - F.col("p.w") - F.col("c") * (m["x"] - F.col("p.x")) - F.col("d") * (m["y"] - F.col("p.y")))
-    judged = tried.select("round", F.size("ms").alias("total"), F.filter("ms", lambda m: off(m) < reach).alias("inliers"))
-    best = judged.agg(F.max_by(F.struct("inliers", "total"), F.struct(F.size("inliers"), -F.col("round"))).alias("s")).select("s.*")
-    agreed = best.where((F.size("inliers") >= LEAST) & (F.size("inliers") >= PART * F.col("total"))).select("total", F.explode("inliers").alias("m")).select("total", "m.*")
-    return affine_fit(agreed, ["total"])
+    judged = tried.select(*keys, "round", F.size("ms").alias("total"), F.filter("ms", lambda m: off(m) < reach).alias("inliers"))
+    best = judged.groupBy(*keys).agg(F.max_by(F.struct("inliers", "total"), F.struct(F.size("inliers"), -F.col("round"))).alias("s")).select(*keys, "s.*")
+    agreed = best.where((F.size("inliers") >= LEAST) & (F.size("inliers") >= PART * F.col("total"))).select(*keys, "total", F.explode("inliers").alias("m")).select(*keys, "total", "m.*")
+    return affine_fit(agreed, [*keys, "total"])
 
 
 def psf_score(roundness: Column, snr: Column, distance: Column, fwhm: Column) -> Column:

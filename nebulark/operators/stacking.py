@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nebulark.functions.sky import lanczos3
 from nebulark.functions.validity import finite, positive
+from nebulark.operators.spatial import size_of
 from nebulark.operators.stats import MAD_SIGMA, join_keys, upper_median
 
 
@@ -119,35 +121,48 @@ def frame_normalized(frames: DataFrame, keys: list[str]) -> DataFrame:
     return join_keys(frames, means, keys).withColumn("v", F.when(F.col("mean") > 0, F.try_divide(F.col("v"), F.col("mean"))).otherwise(F.col("v"))).drop("mean")
 
 
-def drizzle_hits(frames: DataFrame, offsets: DataFrame, scale: float, shrink: float) -> DataFrame:
-    """y, x, v and w: each finite sample spread over the cells of a grid `scale` times finer that its shrunken footprint
-    overlaps, by area. frames: frame, y, x, v; offsets: frame, dy, dx, joined by frame."""
-    joined = join_keys(frames.where(finite("v")), offsets, ["frame"], "left")
-    half = shrink * scale / 2
-    cy, cx = ((F.col(a) + F.coalesce(F.col(f"d{a}"), F.lit(0.0)) + 0.5) * scale for a in ("y", "x"))
-    cells = joined.select("v", (cy - half).alias("y0"), (cy + half).alias("y1"), (cx - half).alias("x0"), (cx + half).alias("x1"))
-    cells = cells.withColumn("oy", F.explode(F.sequence(F.floor("y0"), F.ceil("y1") - 1))).withColumn("ox", F.explode(F.sequence(F.floor("x0"), F.ceil("x1") - 1)))
-    overlap = (F.least(F.col("y1"), F.col("oy") + 1) - F.greatest(F.col("y0"), F.col("oy"))) * (F.least(F.col("x1"), F.col("ox") + 1) - F.greatest(F.col("x0"), F.col("ox")))
-    return cells.withColumn("w", overlap).where("w > 1e-12 AND oy >= 0 AND ox >= 0").select(F.col("oy").alias("y"), F.col("ox").alias("x"), "v", "w")
-
+def drizzle_hits(frames: DataFrame, offsets: DataFrame, scale: float, shrink: float, kernel: str = "square") -> DataFrame:
+    """y, x, v and w: each finite sample spread over the cells of a grid `scale` times finer that its shrunken footprint, about
+    (y + dy, x + dx) times scale, reaches; the grid ends with the largest frame. frames: frame, y, x, v; offsets: frame, dy, dx.
 
-def drizzle(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8) -> DataFrame:
+    The weight of a cell is the overlap (square), falls off as a Gaussian of half the footprint (gaussian), or is the
+    product of windowed sincs (lanczos3); cells that get next to nothing or less are left out.
+    """
+    sides = size_of(frames, []).select(F.ceil(F.col("h") * scale).alias("oh"), F.ceil(F.col("w") * scale).alias("ow"))
+    joined = join_keys(frames.where(finite("v")).join(offsets, "frame", "left"), sides, [])
+    half = shrink * scale / 2
+    place = lambda a: ((F.col(a) + F.coalesce(F.col(f"d{a}"), F.lit(0.0))) * scale).alias(f"c{a}")
+    cells = joined.select("v", place("y"), place("x"), "oh", "ow")
+    kept = lambda c, side: F.greatest(F.lit(0).cast("long"), F.least(c, F.col(side) - 1))
+    for a, side in (("y", "oh"), ("x", "ow")):
+        cells = cells.withColumn(f"o{a}", F.explode(F.sequence(kept(F.floor(F.col(f"c{a}") - half), side), kept(F.ceil(F.col(f"c{a}") + half), side))))
+    if kernel == "square":
+        shared = lambda a: F.greatest(F.least(F.col(f"c{a}") + half, F.col(f"o{a}") + 1) - F.greatest(F.col(f"c{a}") - half, F.col(f"o{a}")), F.lit(0.0))
+        weight = shared("y") * shared("x")
+    else:
+        off = lambda a: F.col(f"o{a}") + 0.5 - F.col(f"c{a}")
+        weight = F.exp(-(off("y") * off("y") + off("x") * off("x")) / (2 * max(half, 0.5) ** 2)) if kernel == "gaussian" else lanczos3(F.abs(off("y"))) * lanczos3(F.abs(off("x")))
+    return cells.withColumn("w", weight).where("w > 1e-12").select(F.col("oy").alias("y"), F.col("ox").alias("x"), "v", "w")
+
+
+def drizzle(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8, kernel: str = "square") -> DataFrame:
     """Cells (y, x) with value, weight and n: the plain mean of a cell's samples; cells without any don't appear."""
-    return drizzle_hits(frames, offsets, scale, shrink).groupBy("y", "x").agg(F.avg("v").alias("value"), F.sum("w").alias("weight"), F.count("*").alias("n"))
+    return drizzle_hits(frames, offsets, scale, shrink, kernel).groupBy("y", "x").agg(F.avg("v").alias("value"), F.sum("w").alias("weight"), F.count("*").alias("n"))
 
 
-def drizzle_clipped(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8, low: float = 3.0, high: float = 3.0, passes: int = 3) -> DataFrame:
+def drizzle_clipped(frames: DataFrame, offsets: DataFrame, scale: float = 2.0, shrink: float = 0.8, low: float = 3.0, high: float = 3.0, passes: int = 3, kernel: str = "square") -> DataFrame:
     """Cells (y, x) with value, weight, n and rejected: the mean of a cell's samples without those that passes about the
-    averaged median, with 1.4826 times the averaged deviation, find beyond the limits; the weights are of all samples."""
-    cells = drizzle_hits(frames, offsets, scale, shrink).groupBy("y", "x").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.sum("w").alias("weight"))
+    averaged median, with 1.4826 times the averaged deviation, find beyond the limits, while three or more are left; the mean
+    of all if none is left. The weights are of all samples."""
+    cells = drizzle_hits(frames, offsets, scale, shrink, kernel).groupBy("y", "x").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.sum("w").alias("weight"))
 
     def step(vs, k):
         spread = lambda m: F.greatest(averaged_middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA, F.lit(1e-10))
-        return F.when(F.size(vs) < 2, vs).otherwise(bound(averaged_middle(vs), lambda m: bound(spread(m), lambda s: within(vs, m, s, low, high))))
+        return F.when(F.size(vs) < 3, vs).otherwise(bound(averaged_middle(vs), lambda m: bound(spread(m), lambda s: within(vs, m, s, low, high))))
 
     left = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.col("vs"), step) if passes else F.col("vs")
     cells = cells.withColumn("left", left)
-    return cells.select("y", "x", F.coalesce(mean_of(F.col("left")), F.lit(0.0)).alias("value"), "weight", F.size("vs").cast("long").alias("n"), (F.size("vs") - F.size("left")).cast("long").alias("rejected"))
+    return cells.select("y", "x", F.when(F.size("left") > 0, mean_of(F.col("left"))).otherwise(mean_of(F.col("vs"))).alias("value"), "weight", F.size("vs").cast("long").alias("n"), (F.size("vs") - F.size("left")).cast("long").alias("rejected"))
 
 
 def median_clip(stack: DataFrame, pixel: list[str], low: float = 2.5, high: float = 3.0, passes: int = 5, v: str = "v") -> DataFrame:

@@ -87,12 +87,12 @@ def triangles(stars: DataFrame, n: int = TRIANGLE_STARS) -> DataFrame:
     return s.select("a", "b", "c", (F.col("s")[0] / F.col("s")[2]).alias("r1"), (F.col("s")[1] / F.col("s")[2]).alias("r2"))
 
 
-def triangle_matches(one: DataFrame, two: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Pairs of triangles with both ratios within the tolerance, by cells of ratios; a, b, c and a2, b2, c2."""
+def triangle_matches(one: DataFrame, two: DataFrame, tolerance: float = TOLERANCE, keys: list[str] = ()) -> DataFrame:
+    """Pairs of triangles with both ratios within the tolerance, by cells of ratios; keys of the second, a, b, c and a2, b2, c2."""
     cell = lambda c: F.floor(F.col(c) / tolerance)
     asked = one.withColumns({"gy": cell("r1"), "gx": cell("r2")}).withColumn("n", F.explode(around("gy", "gx"))).withColumns({"gy": F.col("n.y"), "gx": F.col("n.x")}).drop("n")
-    other = two.select(*(F.col(c).alias(f"{c}2") for c in ("a", "b", "c", "r1", "r2"))).withColumns({"gy": cell("r12"), "gx": cell("r22")})
-    return asked.join(other, ["gy", "gx"]).where((F.abs(F.col("r1") - F.col("r12")) <= tolerance) & (F.abs(F.col("r2") - F.col("r22")) <= tolerance)).select("a", "b", "c", "a2", "b2", "c2")
+    other = two.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("a", "b", "c", "r1", "r2"))).withColumns({"gy": cell("r12"), "gx": cell("r22")})
+    return asked.join(other, ["gy", "gx"]).where((F.abs(F.col("r1") - F.col("r12")) <= tolerance) & (F.abs(F.col("r2") - F.col("r22")) <= tolerance)).select(*keys, "a", "b", "c", "a2", "b2", "c2")
 
 
 def affine_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ q AS (SELECT y, x, greatest(0, least(h - 1, floor(sy) + i)) AS iy, greatest(0, l
 FROM p, (SELECT unnest([-1, 0, 1, 2]) AS i), (SELECT unnest([-1, 0, 1, 2]) AS j) WHERE sx >= 0 AND sx <= w - 1 AND sy >= 0 AND sy <= h - 1),
 s AS (SELECT q.y, q.x, sum(k * v) AS v FROM q JOIN img ON img.y = iy AND img.x = ix GROUP BY q.y, q.x) SELECT y, x, round(coalesce(s.v, 0), 6) + 0.0 AS v FROM img LEFT JOIN s USING (y, x)""")
 def affine_warp(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(align.warped(views.img(spark, sf).select(F.lit(0).alias("frame"), "y", "x", "v"), [WARP]).drop("frame"), "v")
+    return rounded(align.warped(views.img(spark, sf).select(F.lit(0).alias("frame"), "y", "x", "v"), spark.createDataFrame([WARP])).drop("frame"), "v")
 
 
 @query(f"WITH {SQL['cube']}, m AS (SELECT min(h) AS h FROM (SELECT max(y) + 1 AS h FROM cube GROUP BY z)), stack AS (SELECT y * 1000 + x AS pixel, v FROM cube, m WHERE y < h), {clip_sql(1.5, 1.5, 5)}")

@@ -204,17 +204,41 @@ def masked_stretch_rgb(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(masked.masked_stretch_rgb(composite(spark, sf), 4.0).select("y", "x", "g"), "g", to=5)
 
 
-def drizzle_sql() -> str:
-    """Cells' samples within clipping limits, as SQL, over a view of frames (frame, y, x, v)."""
-    return f"""p AS (SELECT v, (y + z * 0.3 + 0.5) * 2 AS cy, (x - z * 0.2 + 0.5) * 2 AS cx FROM cube), r AS (SELECT v, cy - 0.8 AS y0, cy + 0.8 AS y1, cx - 0.8 AS x0, cx + 0.8 AS x1 FROM p),
-c AS (SELECT oy, unnest(range(CAST(floor(x0) AS BIGINT), CAST(ceil(x1) AS BIGINT))) AS ox, v, y0, y1, x0, x1 FROM (SELECT *, unnest(range(CAST(floor(y0) AS BIGINT), CAST(ceil(y1) AS BIGINT))) AS oy FROM r)),
-w AS (SELECT oy, ox, v, (least(y1, oy + 1) - greatest(y0, oy)) * (least(x1, ox + 1) - greatest(x0, ox)) AS w FROM c), hit AS (SELECT oy, ox, v, w FROM w WHERE w > 1e-12 AND oy >= 0 AND ox >= 0), a AS (SELECT oy, ox, sum(w) AS weight, count(*) AS n FROM hit GROUP BY oy, ox)"""
+def drizzle_sql(kernel: str = "square") -> str:
+    """Cells' samples, as SQL, over the cube as frames: tables hit (oy, ox, v, w) and a, its sums."""
+    sinc = lambda t: f"CASE WHEN {t} < 1e-12 THEN 1 WHEN {t} >= 3 THEN 0 ELSE sin(pi() * {t}) / (pi() * {t}) * sin(pi() * {t} / 3) / (pi() * {t} / 3) END"
+    weight = {
+        "square": "greatest(least(cy + 0.8, oy + 1) - greatest(cy - 0.8, oy), 0) * greatest(least(cx + 0.8, ox + 1) - greatest(cx - 0.8, ox), 0)",
+        "gaussian": "exp(-(pow(oy + 0.5 - cy, 2) + pow(ox + 0.5 - cx, 2)) / (2 * 0.8 * 0.8))",
+        "lanczos3": f"({sinc('abs(oy + 0.5 - cy)')}) * ({sinc('abs(ox + 0.5 - cx)')})",
+    }[kernel]
+    cells = lambda c, side: f"unnest(range(CAST(least(greatest(floor({c} - 0.8), 0), {side} - 1) AS BIGINT), CAST(least(greatest(ceil({c} + 0.8), 0), {side} - 1) AS BIGINT) + 1))"
+    return f"""n AS (SELECT 2 * (max(y) + 1) AS oh, 2 * (max(x) + 1) AS ow FROM cube), p AS (SELECT v, (y + z * CAST(0.3 AS DOUBLE)) * 2 AS cy, (x - z * CAST(0.2 AS DOUBLE)) * 2 AS cx, oh, ow FROM cube, n),
+c AS (SELECT oy, {cells('cx', 'ow')} AS ox, v, cy, cx FROM (SELECT *, {cells('cy', 'oh')} AS oy FROM p)), w AS (SELECT oy, ox, v, {weight} AS w FROM c),
+hit AS (SELECT oy, ox, v, w FROM w WHERE w > 1e-12), a AS (SELECT oy, ox, sum(w) AS weight, count(*) AS n FROM hit GROUP BY oy, ox)"""
 
 
-@query(f"{using('cube')}, {drizzle_sql()} SELECT oy AS y, ox AS x, round(avg(v), 6) + 0.0 AS value, round(sum(w), 6) AS weight, count(*) AS n FROM hit GROUP BY oy, ox")
-def drizzle_square(spark: SparkSession, sf: str) -> DataFrame:
+DRIZZLED = "SELECT oy AS y, ox AS x, round(avg(v), 6) + 0.0 AS value, round(sum(w), 6) AS weight, count(*) AS n FROM hit GROUP BY oy, ox"
+
+
+def drizzled(spark: SparkSession, sf: str, kernel: str) -> DataFrame:
     rows, offsets = drizzle_input(spark, sf)
-    return rounded(stacking.drizzle(rows, offsets, 2.0, 0.8), "value", "weight")
+    return rounded(stacking.drizzle(rows, offsets, 2.0, 0.8, kernel), "value", "weight")
+
+
+@query(f"{using('cube')}, {drizzle_sql()} {DRIZZLED}")
+def drizzle_square(spark: SparkSession, sf: str) -> DataFrame:
+    return drizzled(spark, sf, "square")
+
+
+@query(f"{using('cube')}, {drizzle_sql('gaussian')} {DRIZZLED}")
+def drizzle_gaussian(spark: SparkSession, sf: str) -> DataFrame:
+    return drizzled(spark, sf, "gaussian")
+
+
+@query(f"{using('cube')}, {drizzle_sql('lanczos3')} {DRIZZLED}")
+def drizzle_lanczos(spark: SparkSession, sf: str) -> DataFrame:
+    return drizzled(spark, sf, "lanczos3")
 
 
 def drizzle_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -223,15 +247,15 @@ def drizzle_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def drizzle_clip_sql(low: float, high: float, passes: int) -> str:
-    """Clipping of cells by averaged medians, as SQL: a table r with what passes leave."""
+    """Clipping of cells by averaged medians, while three samples are left, as SQL: a table r with what passes leave."""
     out = "r0 AS MATERIALIZED (SELECT oy, ox, v FROM hit)"
     for k in range(passes):
         out += f""", m{k} AS (SELECT oy, ox, median(v) AS m, count(*) AS n FROM r{k} GROUP BY oy, ox), d{k} AS (SELECT oy, ox, v, m, n, greatest(median(abs(v - m)) OVER (PARTITION BY oy, ox) * 1.4826, 1e-10) AS s FROM r{k} JOIN m{k} USING (oy, ox)),
-r{k + 1} AS MATERIALIZED (SELECT oy, ox, v FROM d{k} WHERE n < 2 OR (v - m >= {-low} * s AND v - m <= {high} * s))"""
+r{k + 1} AS MATERIALIZED (SELECT oy, ox, v FROM d{k} WHERE n < 3 OR (v - m >= {-low} * s AND v - m <= {high} * s))"""
     return out
 
 
-@query(f"{using('cube')}, {drizzle_sql()}, {drizzle_clip_sql(2.0, 2.0, 3)}, z AS (SELECT oy, ox, avg(v) AS value, count(*) AS stay FROM r3 GROUP BY oy, ox) SELECT oy AS y, ox AS x, round(value, 6) + 0.0 AS value, round(weight, 6) AS weight, n, n - stay AS rejected FROM a JOIN z USING (oy, ox)")
+@query(f"{using('cube')}, {drizzle_sql()}, {drizzle_clip_sql(2.0, 2.0, 3)}, z AS (SELECT oy, ox, avg(v) AS value, count(*) AS stay FROM r3 GROUP BY oy, ox), e AS (SELECT oy, ox, avg(v) AS whole FROM hit GROUP BY oy, ox) SELECT oy AS y, ox AS x, round(coalesce(value, whole), 6) + 0.0 AS value, round(weight, 6) AS weight, n, n - coalesce(stay, 0) AS rejected FROM a JOIN e USING (oy, ox) LEFT JOIN z USING (oy, ox)")
 def drizzle_clipped(spark: SparkSession, sf: str) -> DataFrame:
     rows, offsets = drizzle_input(spark, sf)
     return rounded(stacking.drizzle_clipped(rows, offsets, 2.0, 0.8, 2.0, 2.0, 3), "value", "weight")

@@ -44,15 +44,49 @@ def test_detection_of_planted_stars(frames):
 
 
 def test_transforms(frames):
-    affine = align.transform_of(one(frames, "a"), one(frames, "c"))
-    assert affine["method"] == "affine"
+    found = {r.frame: r for r in align.transforms(frames, "a", "affine").collect()}
+    assert {n: r.method for n, r in found.items()} == {"a": "identity", "b": "affine", "c": "affine"}
+    turn = math.radians(2)
     for x, y, _ in STARS:
-        u, w = (affine["a"] * x + affine["b"] * y + affine["tx"], affine["c"] * x + affine["d"] * y + affine["ty"])
-        assert math.hypot(u - (math.cos(math.radians(2)) * x - math.sin(math.radians(2)) * y + 3), w - (math.sin(math.radians(2)) * x + math.cos(math.radians(2)) * y - 2)) < 0.5
-    phase = align.shift_of(one(frames, "a"), one(frames, "b"), 128, 128)
-    assert phase["method"] == "phase" and abs(phase["tx"] - 4) < 0.6 and abs(phase["ty"] + 3) < 0.6
-    flat = one(frames, "a").withColumn("v", F.lit(1.0))
-    assert align.shift_of(flat, flat, 128, 128)["method"] == "identity"
+        at = lambda n: (found[n].a * x + found[n].b * y + found[n].tx, found[n].c * x + found[n].d * y + found[n].ty)  # noqa: B023, E731
+        assert math.dist(at("b"), (x + 4, y - 3)) < 0.5 and at("a") == (x, y)
+        assert math.dist(at("c"), (math.cos(turn) * x - math.sin(turn) * y + 3, math.sin(turn) * x + math.cos(turn) * y - 2)) < 0.5
+    phase = {r.frame: r for r in align.transforms(frames.where("frame <> 'c'"), "a").collect()}
+    assert phase["b"].method == "phase" and abs(phase["b"].tx - 4) < 0.6 and abs(phase["b"].ty + 3) < 0.6
+    flat = frames.where("frame <> 'c'").withColumn("v", F.lit(1.0))
+    assert {r.method for r in align.transforms(flat, "a", "affine").collect()} == {"identity"}
+
+
+def test_jobs_do_not_grow_with_frames(spark, frames):
+    """As many jobs for two frames as for one, but for a few rounds of the star lists."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(df, group):
+        spark.sparkContext.setJobGroup(group, group)
+        align.transforms(df, "a").collect()
+        return len(tracker.getJobIdsForGroup(group))
+
+    many = frames
+    for k in range(4):
+        many = many.unionByName(frames.where("frame = 'b'").withColumn("frame", F.lit(f"b{k}")))
+    assert jobs(many, "many") <= jobs(frames.where("frame <> 'c'"), "few") + 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_channels(frames):
+    """Composites align their channels, make up a missing one, and need two."""
+    from nebulark.operators import compose
+
+    channels = frames.where("frame <> 'c'").select(F.when(F.col("frame") == "a", "r").otherwise("b").alias("channel"), "y", "x", "v")
+    moved = align.aligned_channels(channels, "r").where("y BETWEEN 20 AND 100 AND x BETWEEN 20 AND 100")
+    apart = lambda df: df.groupBy("y", "x").pivot("channel", ["r", "b"]).sum("v").agg(F.avg(F.abs(F.col("r") - F.col("b")))).first()[0]
+    assert apart(moved) < 0.5 * apart(channels.where("y BETWEEN 20 AND 100 AND x BETWEEN 20 AND 100"))
+    out = compose.composed(channels, align="phase")
+    assert out.columns == ["y", "x", "r", "g", "b"] and out.count() == 128 * 128
+    with pytest.raises(ValueError, match="two channels"):
+        compose.composed(channels.where("channel = 'r'"))
+    half = channels.where("channel = 'r'").unionByName(channels.where("channel = 'b' AND y < 64 AND x < 64"))
+    assert compose.harmonised(half).groupBy("channel").agg(F.max("y").alias("y"), F.max("x").alias("x")).where("y = 127 AND x = 127").count() == 2
 
 
 def test_stack_of_aligned_frames(frames):
@@ -60,10 +94,25 @@ def test_stack_of_aligned_frames(frames):
     worst = out.join(one(frames, "a"), ["y", "x"]).agg(F.avg(F.abs(F.col("result") - F.col("v")))).first()[0]
     plain = align.stacked(frames.where("frame <> 'c'"), "a", align=False).where("y BETWEEN 10 AND 110 AND x BETWEEN 10 AND 110")
     assert worst < 0.6 * plain.join(one(frames, "a"), ["y", "x"]).agg(F.avg(F.abs(F.col("result") - F.col("v")))).first()[0]
-    grid = align.drizzle_stack(frames.where("frame <> 'c'"), "a", scale=2.0)
-    assert grid.where("n > 1").count() > 20_000
+    pair = frames.where("frame <> 'c'")
+    grid = align.drizzle_stack(pair, "a", scale=2.0)
+    assert grid.where("n > 1").count() > 20_000 and all(253 <= m <= 255 for m in grid.agg(F.max("y"), F.max("x")).first())
+    # The brightest star of the reference lies at twice its place; a sample's footprint ends where the sample begins.
+    top = grid.where("y BETWEEN 40 AND 60 AND x BETWEEN 50 AND 70").orderBy(F.desc("value")).first()
+    assert abs(top.y - 50) <= 1 and abs(top.x - 60) <= 1
+    for kernel in ("gaussian", "lanczos3"):
+        assert align.drizzle_stack(pair, "a", kernel=kernel, method="none").count() > 60_000
     with pytest.raises(ValueError):
         align.drizzle_stack(frames.where("frame = 'a'"), "a")
+    with pytest.raises(ValueError):
+        align.drizzle_stack(frames.where("frame = 'a' OR (frame = 'b' AND y < 100)"), "a")
+
+
+def test_drizzled_composite(frames):
+    rows = frames.where("frame <> 'c'").select("frame", "y", "x", "v", F.lit("r").alias("channel"))
+    both = rows.unionByName(rows.withColumn("channel", F.lit("b")))
+    out = align.drizzle_rgb(both, {"r": "a", "b": "a"}, scale=1.0, method="none")
+    assert out.columns == ["y", "x", "r", "g", "b"] and out.count() == 128 * 128
 
 
 def test_border_components_and_mask(spark):
