@@ -17,7 +17,7 @@ from nebulark.plans import views
 from nebulark.plans.fields import composite
 from nebulark.plans.queries import FRAME_STATS, MTF, OK, STF, query, rounded
 from nebulark.plans.views import SQL, using
-from nebulark.sources import asdf, buffers, fits
+from nebulark.sources import asdf, buffers, datasource, fits
 
 CHANNELS = f"{SQL['img']}, ch AS (SELECT 'r' AS frame, y, x, v FROM img UNION ALL SELECT 'g', y, x, v * v FROM img UNION ALL SELECT 'b', y, x, v + 0.1 FROM img)"
 #: Statistics before, factors, samples after white balance.
@@ -149,6 +149,14 @@ def lazy_cube_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     return fits.read_spectra(saved_cube(spark, sf), 3, 7).select(stem(), "z", "v").where(~F.isnan("v"))
 
 
+@query(f"{using('cube')}, {CUBE_BANDS} SELECT file, z, y, x, v FROM cube_band WHERE z IN (1, 4) AND y >= 2 AND y < 40")
+def fits_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Spark's own reader of the files, some planes and rows of each."""
+    datasource.register(spark)
+    rows = spark.read.format("fits").option("split", 1 << 15).load(folder_of(spark, files_of(spark, sf, "cube")))
+    return rows.where(F.col("z").isin(1, 4) & (F.col("y") >= 2) & (F.col("y") < 40) & ~F.isnan("v")).select(stem(), "z", "y", "x", "v")
+
+
 #: How the files of a band are written: kind of samples and compression, by the band's number.
 WRITTEN = (("<f8", ""), (">f8", "zlib"), ("<f4", "bzp2"), (">f4", ""))
 
