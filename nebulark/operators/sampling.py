@@ -65,6 +65,13 @@ def bilinear(pixels: DataFrame, points: DataFrame) -> DataFrame:
     return asked.join(pixels.select("y", "x", "v"), ["y", "x"]).groupBy("id").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
 
 
+def nearest_sample(pixels: DataFrame, points: DataFrame) -> DataFrame:
+    """id and v of points (id, y, x): the sample at their rounded place, half away from 0, or the nearest of the edge."""
+    p = join_keys(points, size_of(pixels, []), [])
+    at = lambda c, n: F.greatest(F.lit(0.0), F.least(F.round(c), F.col(n) - 1.0)).cast("long").alias(c)
+    return p.select("id", at("y", "h"), at("x", "w")).join(pixels.select("y", "x", "v"), ["y", "x"]).select("id", "v")
+
+
 def offset_scores(reference: DataFrame, target: DataFrame, radius: int = 2) -> DataFrame:
     """dy, dx, score and n: the correlation of a reference with a target moved by each whole offset up to radius.
 

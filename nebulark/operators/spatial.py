@@ -88,10 +88,21 @@ def block_means(pixels: DataFrame, keys: list[str], sy: float, sx: float, ok=fin
     return rows.groupBy(*keys, F.col("oy").alias("y"), F.col("ox").alias("x")).agg(mean.alias("v"))
 
 
-def halved(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Means of finite samples over 2 x 2 cells, fewer at an odd edge."""
-    mean = F.coalesce(F.avg(F.when(finite("v"), F.col("v"))), F.lit(0.0))
-    return pixels.groupBy(*keys, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(mean.alias("v"))
+def area_means(pixels: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """Dense images averaged down to at most their size over blocks [trunc(o s), trunc((o + 1) s)), which don't overlap."""
+    rows = join_keys(pixels, size_of(pixels, keys), keys)
+    for axis, side, n in (("y", "h", height), ("x", "w", width)):
+        s = F.col(side) / F.lit(float(n))
+        guess = F.floor(F.col(axis) / s)
+        inside = lambda o, s=s, axis=axis: (F.floor(o * s) <= F.col(axis)) & (F.col(axis) < F.floor((o + 1) * s))
+        rows = rows.withColumn(f"o{axis}", F.when(inside(guess), guess).when(inside(guess + 1), guess + 1).otherwise(guess - 1))
+    return rows.groupBy(*keys, F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.avg("v").alias("v"))
+
+
+def halved(pixels: DataFrame, keys: list[str], values: tuple[str, ...] = ("v",)) -> DataFrame:
+    """Means of finite samples over 2 x 2 cells, fewer at an odd edge; 0 for none."""
+    mean = lambda v: F.coalesce(F.avg(F.when(finite(v), F.col(v))), F.lit(0.0)).alias(v)
+    return pixels.groupBy(*keys, F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(*map(mean, values))
 
 
 def nearest(pixels: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

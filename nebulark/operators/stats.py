@@ -44,14 +44,35 @@ def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -
     return a.join(right, on, how).drop(*(f"__{k}" for k in keys))
 
 
-def order_stats(pixels: DataFrame, keys: list[str], fractions: dict[str, float], v: str = "v", ok=valid) -> DataFrame:
-    """Per frame the samples at trunc(f * n) of the sorted valid ones, at most the last."""
+def order_stats(pixels: DataFrame, keys: list[str], fractions: dict[str, float], v: str = "v", ok=valid, bins: int = 65536) -> DataFrame:
+    """Per frame the samples at trunc(f * n) of the sorted valid ones, at most the last; exact, for frames of any size.
+
+    Counts of bins, partial first, tell in which bin each rank lies; only the samples of those bins are counted by value.
+    """
     some = pixels.where(ok(v)).select(*keys, F.col(v).cast("double").alias("v"))
-    counted = some.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    ranked = counted.select(*keys, "v", F.sum("c").over(own.orderBy("v")).alias("upto"), F.sum("c").over(own).alias("n"))
-    at = {name: F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1) for name, f in fractions.items()}
-    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("upto") > k, F.col("v"))).alias(name) for name, k in at.items()))
+    facts = some.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n")).where("n > 0")
+    place = F.coalesce(bin_of("v", F.col("min"), F.col("max"), bins), F.lit(0))
+    rows = join_keys(some, facts, keys).select(*keys, "v", "n", place.alias("bin"))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    counted = rows.groupBy(*keys, "n", "bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(own.orderBy("bin")))  # `bins` rows a frame at most
+    ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1).alias("k")) for name, f in fractions.items())))
+    asked = counted.withColumn("r", ranks).where((F.col("upto") > F.col("r.k")) & (F.col("upto") - F.col("c") <= F.col("r.k")))
+    asked = asked.select(*keys, "bin", "r.name", (F.col("r.k") - (F.col("upto") - F.col("c"))).alias("left"))
+    values = join_keys(rows.drop("n"), asked, [*keys, "bin"]).groupBy(*keys, "name", "left", "v").agg(F.count("*").alias("c"))
+    within = Window.partitionBy(*keys, "name").orderBy("v")
+    first = values.withColumn("upto", F.sum("c").over(within)).where(F.col("upto") > F.col("left"))
+    return first.groupBy(*keys).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in fractions))
+
+
+def mean_sigma(pixels: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
+    """Per frame mean and sample deviation of finite samples; 0 for none, and a deviation of 0 for one."""
+    x = F.when(finite(v), F.col(v).cast("double"))
+    return pixels.groupBy(*keys).agg(F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("sigma"))
+
+
+def peak_snr(peak: Column, mean: Column, sigma: Column) -> Column:
+    """A peak above the mean over the deviation; 0 without one."""
+    return F.when(F.abs(sigma) < 1e-15, 0.0).otherwise(F.try_divide(peak - mean, sigma))
 
 
 def bin_of(v: Column | str, low: Column, high: Column, bins: int) -> Column:

@@ -372,3 +372,9 @@ def save(files: DataFrame, folder: str, extension: str = "fits", name: str = "fr
                 out.write(bytes(r[1]))
 
     files.select(name, "content").foreachPartition(write)
+
+
+def folder_info(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: bytes and files under a folder, hidden ones left out; no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("length")
+    return found.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
