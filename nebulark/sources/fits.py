@@ -305,6 +305,51 @@ def read_frames(cubes: DataFrame, z: Column | None = None, rows: int = 256) -> D
     return blocks.mapInArrow(scan, "file string, z int, y int, x int, v double")
 
 
+def collapse(cubes: DataFrame, how: str = "mean", samples: int = 1 << 22) -> DataFrame:
+    """Mean or upper median along z (file, y, x, v) of the samples of opened cubes that are finite and not 0; 0 without any.
+
+    A task reads a block of the image through all planes by range and reduces it where it is read, so voxels never become
+    rows and nothing is shuffled but the list of blocks. It holds `samples` at most: a mean adds plane to plane, a median
+    takes as many pixels as fit with all their planes.
+    """
+    width = F.lit(samples) if how == "mean" else F.greatest(F.lit(1), F.floor(F.lit(samples) / F.col("planes")))
+    blocks = cubes.withColumn("cols", F.least(F.col("width"), width).cast("int")).withColumn("rows", F.greatest(F.lit(1), F.least(F.col("height"), F.floor(width / F.col("cols")))).cast("int"))
+    for axis, side, step in (("y", "height", "rows"), ("x", "width", "cols")):
+        blocks = blocks.withColumn(f"{axis}0", F.explode(F.sequence(F.lit(0), F.col(side) - 1, F.col(step))))
+
+    def scan(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for r in batch.to_pylist():
+                kind, read = np.dtype(SAMPLES[r["bitpix"]]), ranges(r["file"])
+                rows, cols = min(r["rows"], r["height"] - r["y0"]), min(r["cols"], r["width"] - r["x0"])
+
+                def plane(z: int, r=r, kind=kind, read=read, rows=rows, cols=cols) -> np.ndarray:
+                    at = lambda y: r["start"] + ((z * r["height"] + r["y0"] + y) * r["width"] + r["x0"]) * kind.itemsize
+                    runs = [(at(0), rows * cols)] if cols == r["width"] else [(at(y), cols) for y in range(rows)]
+                    v = np.concatenate([np.frombuffer(read(p, n * kind.itemsize), kind) for p, n in runs]).astype(np.float64)
+                    return v * r["scale"] + r["zero"]
+
+                counts = lambda v: np.isfinite(v) & (v != 0)
+                if how == "mean":
+                    total, n = np.zeros(rows * cols), np.zeros(rows * cols, np.int64)
+                    for z in range(r["planes"]):
+                        v = plane(z)
+                        ok = counts(v)
+                        total += np.where(ok, v, 0)
+                        n += ok
+                    out = total / np.maximum(n, 1)
+                else:
+                    v = np.stack([plane(z) for z in range(r["planes"])])
+                    ok = counts(v)
+                    n = ok.sum(axis=0)
+                    ordered = np.sort(np.where(ok, v, np.inf), axis=0)
+                    out = np.where(n > 0, np.take_along_axis(ordered, np.minimum(n // 2, len(v) - 1)[None], axis=0)[0], 0.0)
+                k = np.arange(rows * cols)
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(k)), pa.array((r["y0"] + k // cols).astype(np.int32)), pa.array((r["x0"] + k % cols).astype(np.int32)), pa.array(out)], names=["file", "y", "x", "v"])
+
+    return blocks.repartition("file", "y0", "x0").mapInArrow(scan, "file string, y int, x int, v double")
+
+
 def read_spectra(cubes: DataFrame, y: int, x: int) -> DataFrame:
     """file, z and v of one pixel of opened cubes: one sample a plane is read, and nothing else. Unknown formats give 0."""
 
