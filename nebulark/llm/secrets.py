@@ -124,14 +124,26 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     return met.select("id", bits.alias("bits"))
 
 
+#: Matches of one text that are numbered in a row; the work for n matches is n times this.
+RUN = 256
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans(text: str, number: int, rule: Rule) -> Column:
-    """Array of (start, number of the rule, end) of a rule's matches, in code points, from what lies between them."""
+    """Array of (start, number of the rule, end) of a rule's matches, in code points, from what lies between them.
+
+    Places are sums of lengths: within runs of RUN matches first, then over the runs, so that arrays that grow stay short.
+    """
     p = F.lit(rule.pattern)
     parts, whole = F.split(F.col(text), rule.pattern, -1), F.regexp_extract_all(F.col(text), p, F.lit(0))
     value = F.regexp_extract_all(F.col(text), p, F.lit(rule.group)) if rule.group else whole
     rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(whole)).alias("gap"), whole.alias("hit"), value.alias("value"))
     kind = "array<struct<start:bigint,kind:int,end:bigint>>"
-    none = F.array().cast(kind)
+    none, zero = F.array().cast(kind), F.lit(0).cast("long")
 
     def add(acc, x):
         start = acc["at"] + F.length(x["gap"])
@@ -139,8 +151,16 @@ def spans(text: str, number: int, rule: Rule) -> Column:
         one = F.array(F.struct(start.cast("long").alias("start"), F.lit(number).alias("kind"), end.cast("long").alias("end")))
         return F.struct(end.cast("long").alias("at"), F.when(F.length(x["value"]) >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), add, lambda acc: acc["found"])
-    return F.when(F.col(text).rlike(rule.pattern), found).otherwise(none)
+    def follow(acc, run):
+        moved = F.transform(run["found"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["runs"], F.array(moved)).alias("runs"))
+
+    def numbered(rs):
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(rs), F.lit(1)), F.lit(RUN)), lambda s: F.slice(rs, s, F.lit(RUN)))
+        each = F.transform(runs, lambda run: F.aggregate(run, F.struct(zero.alias("at"), none.alias("found")), add))
+        return F.flatten(F.aggregate(each, F.struct(zero.alias("at"), F.array().cast(f"array<{kind}>").alias("runs")), follow, lambda acc: acc["runs"]))
+
+    return F.when(F.col(text).rlike(rule.pattern), bound(rows, numbered)).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

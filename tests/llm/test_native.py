@@ -1,6 +1,7 @@
 """Mixing, secret scans and exact search against direct readings of their contracts."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -71,6 +72,16 @@ def test_scan(spark, monkeypatch, few):
     assert scan(odd.table(spark)).count() == len(odd.rows()) and scan(odd.empty(spark)).count() == 0
 
 
+def test_scan_of_very_many_matches(spark):
+    """64,000 matches in one text, in time that grows with them."""
+    text = " ".join(f"{k:016x}" for k in range(64_000)) + " token=abcdefghijklmnop"
+    began = time.time()
+    got = scan(spark.createDataFrame([(1, text), (2, "x " + "0" * 16 * 300)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (got[0].n_hex, got[0].n_assign, got[1].n_hex) == (64_000, 1, 1) and time.time() - began < 60
+    names = [r.kind for r in RULES]
+    assert got[0].spans == ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans(text))
+
+
 def test_mandatory_strings():
     assert mandatory(RULES[0].pattern) == [{"password", "passwd", "secret", "token", "apikey", "api_key"}]
     assert mandatory(RULES[1].pattern) == [{"akia"}] and mandatory(RULES[2].pattern) == []
