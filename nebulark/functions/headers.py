@@ -19,12 +19,13 @@ DISCOVERY = ("FILTER", "FILTER1", "FILTER2", "FILTER3", "INSTRUME", "OBJECT", "I
 IN_NAME = {"Ha": ("_HA", "_HALPHA", "-HA", "_H_ALPHA", "656"), "OIII": ("_OIII", "-OIII", "_O3", "-O3", "502"), "SII": ("_SII", "-SII", "_S2", "-S2", "673")}
 CHANNELS = {"SII": "R", "Ha": "G", "OIII": "B"}
 PRODUCT = r"(?i)[_-](i2d|segm|cal|rate|rateints|x1d|s2d|s3d|uncal|crf|bsub|srctype|outlier|tweakreg|skymatch|whtlt)(?:\.fits|\.fit|\.fts|\.asdf)$"
+#: Category, its keys, and starts of further keys.
 CATEGORIES = (
-    ("wcs", "CRPIX1 CRPIX2 CRVAL1 CRVAL2 CDELT1 CDELT2 CD1_1 CD1_2 CD2_1 CD2_2 CTYPE1 CTYPE2 LONPOLE LATPOLE RADESYS EQUINOX WCSAXES A_ORDER B_ORDER", "A_ B_ AP_ BP_"),
-    ("observation", "DATE-OBS MJD-OBS EXPTIME EXPOSURE OBJECT OBSERVER TELESCOP INSTRUME FILTER FILTER1 FILTER2 AIRMASS RA DEC EPOCH GAIN OFFSET CCD-TEMP SET-TEMP", ""),
-    ("image", "NAXIS NAXIS1 NAXIS2 NAXIS3 BITPIX BSCALE BZERO DATAMIN DATAMAX BLANK", ""),
-    ("processing", "SWCREATE SOFTWARE HISTORY COMMENT PROGRAM CREATOR ORIGIN PIPELINE", "HISTORY COMMENT"),
-    ("instrument", "", "TELESCOP INSTRUME CAMERA CCD SENSOR"),
+    ("wcs", ("CRPIX1", "CRPIX2", "CRVAL1", "CRVAL2", "CDELT1", "CDELT2", "CD1_1", "CD1_2", "CD2_1", "CD2_2", "CTYPE1", "CTYPE2", "LONPOLE", "LATPOLE", "RADESYS", "EQUINOX", "WCSAXES", "A_ORDER", "B_ORDER"), ("A_", "B_", "AP_", "BP_")),
+    ("observation", ("DATE-OBS", "MJD-OBS", "EXPTIME", "EXPOSURE", "OBJECT", "OBSERVER", "TELESCOP", "INSTRUME", "FILTER", "FILTER1", "FILTER2", "AIRMASS", "RA", "DEC", "EPOCH", "GAIN", "OFFSET", "CCD-TEMP", "SET-TEMP"), ()),
+    ("image", ("NAXIS", "NAXIS1", "NAXIS2", "NAXIS3", "BITPIX", "BSCALE", "BZERO", "DATAMIN", "DATAMAX", "BLANK"), ()),
+    ("processing", ("SWCREATE", "SOFTWARE", "HISTORY", "COMMENT", "PROGRAM", "CREATOR", "ORIGIN", "PIPELINE"), ("HISTORY", "COMMENT")),
+    ("instrument", (), ("TELESCOP", "INSTRUME", "CAMERA", "CCD", "SENSOR")),
 )
 SPECTRAL_TYPES = ("WAVE", "FREQ", "VELO", "AWAV", "VRAD", "VOPT", "ZOPT", "BETA", "ENER")
 SPECTRAL_UNITS = ("M", "CM", "MM", "UM", "NM", "ANGSTROM", "A", "HZ", "KHZ", "MHZ", "GHZ", "M/S", "KM/S", "EV", "KEV")
@@ -85,7 +86,7 @@ def category(key: Column | str) -> Column:
     upper = F.upper(col(key))
     found = F.when(upper.isin("SIMPLE", "END", "EXTEND"), F.lit(None).cast("string"))
     for name, keys, starts in CATEGORIES:
-        found = found.when(any_of([upper.isin(*keys.split())] * bool(keys) + [upper.startswith(s) for s in starts.split()]), name)
+        found = found.when(any_of([upper.isin(*keys)] * bool(keys) + [upper.startswith(s) for s in starts]), name)
     return found.otherwise("other")
 
 

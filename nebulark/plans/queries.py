@@ -494,11 +494,11 @@ def masked_median(spark: SparkSession, sf: str) -> DataFrame:
     return stats.masked_median(rows, ["frame"])
 
 
-@query(f"""WITH i AS (SELECT unnest(range(0, 64)) AS i) SELECT i, round(0.5 * (1 - cos(2 * {pi} * i / 64)), 6) AS hann, round(0.5 * (1 - cos(2 * {pi} * i / 63)), 6) AS symmetric, round(sin({pi} * i / 63), 6) + 0.0 AS bell,
+@query(f"""WITH i AS (SELECT vec_id, vec_id % 64 AS i FROM embeddings) SELECT vec_id, i, round(0.5 * (1 - cos(2 * {pi} * i / 64)), 6) AS hann, round(0.5 * (1 - cos(2 * {pi} * i / 63)), 6) AS symmetric, round(sin({pi} * i / 63), 6) + 0.0 AS bell,
 round(CASE WHEN least(i, 63 - i) / 63 < 0.25 THEN 0.5 * (1 - cos(2 * {pi} * (least(i, 63 - i) / 63) / 0.5)) ELSE 1 END, 6) AS tukey, round(CASE WHEN i = 0 THEN 1 WHEN i / 20 >= 3 THEN 0 ELSE sin({pi} * i / 20) / ({pi} * i / 20) * sin({pi} * i / 60) / ({pi} * i / 60) END, 6) + 0.0 AS lanczos FROM i""")
 def window_functions(spark: SparkSession, sf: str) -> DataFrame:
-    i = spark.range(64).withColumnRenamed("id", "i")
-    out = i.select("i", sky.hann("i", 64).alias("hann"), sky.hann("i", 64, False).alias("symmetric"), sky.cosine_bell("i", 64).alias("bell"), sky.tukey("i", 64, 0.5).alias("tukey"), sky.lanczos3(F.col("i") / 20).alias("lanczos"))
+    rows = views.table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 64).alias("i"))
+    out = rows.select("vec_id", "i", sky.hann("i", 64).alias("hann"), sky.hann("i", 64, False).alias("symmetric"), sky.cosine_bell("i", 64).alias("bell"), sky.tukey("i", 64, 0.5).alias("tukey"), sky.lanczos3(F.col("i") / 20).alias("lanczos"))
     return rounded(out, "hann", "symmetric", "bell", "tukey", "lanczos")
 
 

@@ -147,10 +147,16 @@ def subframe_sort(spark: SparkSession, sf: str) -> DataFrame:
     return frames.sorted_by(rows, "metric", "x", False, "id")
 
 
-@query(f"WITH {FILES_SQL} SELECT o % 100 AS k, array_to_string(list_sort(list(DISTINCT regexp_extract(name, '([A-Za-z0-9]+)[.]', 1))), ' ') AS kinds FROM f GROUP BY o % 100")
+#: Ends of file names, of which three name a product.
+ENDS = ("_i2d.fits", "-CAL.fit", "_x1d.asdf", "_other.fits", "_cal.txt", "plain.fits")
+
+
+@query(f"SELECT k, array_to_string(list_sort(list(DISTINCT kind) FILTER (kind <> '')), ' ') AS kinds FROM (SELECT l_orderkey % 100 AS k, CASE l_partkey % 6 WHEN 0 THEN 'i2d' WHEN 1 THEN 'cal' WHEN 2 THEN 'x1d' ELSE '' END AS kind FROM lineitem) GROUP BY k HAVING count(*) FILTER (kind <> '') > 0")
 def sorted_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.regexp_extract("name", r"([A-Za-z0-9]+)[.]", 1)
-    return files(spark, sf).groupBy((F.col("o") % 100).alias("k")).agg(F.array_join(F.array_sort(F.collect_set(kind)), " ").alias("kinds"))
+    """Distinct products of file names, in order."""
+    name = F.concat(F.lit("shot"), F.col("l_suppkey").cast("string"), F.element_at(F.array(*map(F.lit, ENDS)), (F.col("l_partkey") % len(ENDS) + 1).cast("int")))
+    rows = views.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("k"), headers.product_type(name).alias("kind")).where("kind IS NOT NULL")
+    return rows.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("kind")), " ").alias("kinds"))  # kinds are few
 
 
 @query(rf"""WITH {FILES_SQL} SELECT o, n, p, name, regexp_matches(name, '{channels.REFERENCE_FILE}') AS reference, starts_with(name, 'jwst_') AND ends_with(name, '.asdf') AND regexp_matches(name, '{'|'.join(channels.REFERENCE_KINDS)}') AS held,
