@@ -19,8 +19,10 @@ FOLD = bytes(
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; only where it is unset, a local one."""
+    """A new path in the folder that the cluster names in spark.checkpoint.dir; in local mode a local one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
