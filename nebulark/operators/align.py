@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulark.functions import stretch
-from nebulark.operators import registration, spectral, stacking
+from nebulark.operators import registration, spectral, stacking, tiles
 from nebulark.operators.detection import brightest, detected
 from nebulark.operators.lineage import checkpointed
-from nebulark.operators.sampling import catmull_rom
 from nebulark.operators.spatial import block_means, size_of
 from nebulark.operators.stars import LEAST_SIDE, TRIANGLE_STARS, triangle_matches
 from nebulark.operators.stats import join_keys, order_stats
@@ -176,21 +175,9 @@ def each_frame(table: DataFrame) -> DataFrame:
 
 
 def warped(frames: DataFrame, found: DataFrame) -> DataFrame:
-    """Frames read through their transforms (frame and TERMS): cubic, 0 outside. Each output cell asks for its 16 samples, and
-    meets them in one equi join, so a frame is split over tasks."""
-    table = each_frame(checkpointed(join_keys(found.select("frame", *TERMS), size_of(frames, ["frame"]), ["frame"])))
-    cells = frames.select("frame", "y", "x").join(table, "frame")
-    cells = cells.select("frame", "y", "x", "h", "w", (F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("tx")).alias("sx"), (F.col("c") * F.col("x") + F.col("d") * F.col("y") + F.col("ty")).alias("sy"))
-    cells = cells.where("sx >= 0 AND sx <= w - 1 AND sy >= 0 AND sy <= h - 1")
-    for axis, side in (("y", "h"), ("x", "w")):
-        first = F.floor(f"s{axis}")
-        taps = F.array(*(F.struct(F.greatest(F.lit(0), F.least(F.col(side) - 1, first + k)).alias("i"), F.col(f"s{axis}").alias("at"), (first + k).alias("k")) for k in range(-1, 3)))
-        cells = cells.withColumn(f"t{axis}", F.explode(taps))
-    weight = catmull_rom(F.col("ty.at") - F.col("ty.k")) * catmull_rom(F.col("tx.at") - F.col("tx.k"))
-    asked = cells.select("frame", "y", "x", F.col("ty.i").alias("iy"), F.col("tx.i").alias("ix"), weight.alias("weight")).where("weight <> 0")
-    read = asked.join(frames.select("frame", F.col("y").alias("iy"), F.col("x").alias("ix"), "v"), ["frame", "iy", "ix"])
-    values = read.groupBy("frame", "y", "x").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
-    return frames.select("frame", "y", "x").join(values, ["frame", "y", "x"], "left").select("frame", "y", "x", F.coalesce("v", F.lit(0.0)).alias("v"))
+    """Dense frames read through their transforms (frame and TERMS): cubic, 0 outside; a frame is split over tasks by tiles."""
+    table = checkpointed(join_keys(found.select("frame", *TERMS), size_of(frames, ["frame"]), ["frame"]))
+    return tiles.affine_reads(frames.select("frame", "y", "x", "v"), table, ["frame"])
 
 
 def stacked(frames: DataFrame, reference, low: float = 3.0, high: float = 3.0, passes: int = 5, align: bool = True, method: str = "phase") -> DataFrame:

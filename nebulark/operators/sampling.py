@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from nebulark.operators.spatial import size_of
 from nebulark.operators.stats import join_keys
+from nebulark.operators.tiles import cubic
 
 
 def catmull_rom(t: Column) -> Column:
     """The cubic kernel with slope -1/2 at distance t."""
     t = F.abs(t)
-    return F.when(t < 1, (1.5 * t - 2.5) * t * t + 1).when(t < 2, ((2.5 - 0.5 * t) * t - 4) * t + 2).otherwise(0.0)
+    near, far = cubic(t)
+    return F.when(t < 1, near).when(t < 2, far).otherwise(0.0)
 
 
 def along(pixels: DataFrame, keys: list[str], axis: str, count: Callable[[Column], Column], at: Callable[[Column, Column], Column], inside_only: bool = False) -> DataFrame:

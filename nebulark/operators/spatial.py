@@ -1,13 +1,15 @@
-"""Neighbourhoods, grids and resampling: neighbours come by exploding a sample to the cells that read it, never by
-joining every pixel with every other."""
+"""Neighbourhoods, grids and resampling: smoothing and maxima work on tiles with halos; other neighbours come by exploding a
+sample to the cells that read it, never by joining every pixel with every other."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulark.functions.stretch import hard_threshold, soft_threshold
 from nebulark.functions.validity import finite
+from nebulark.operators import tiles
 from nebulark.operators.lineage import checkpointed
 from nebulark.operators.stats import join_keys
 
@@ -16,36 +18,55 @@ B3 = (1, 4, 6, 4, 1)
 FWHM = 2.3548200450309493
 THRESHOLDS = (3.0, 2.5, 2.0, 1.5, 1.0)
 SCALE_NOISE = (0.8908, 0.2007, 0.0856, 0.0413, 0.0205, 0.0103, 0.0051)
+#: Scales that come from one pass, with a halo of 62 samples.
+TOGETHER = 5
 
 
 def size_of(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return pixels.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
-def smoothed(pixels: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
-    """Separable B3 smoothing with holes of `step`, samples beyond the edge being the edge's. pixels: keys, y, x, v, dense.
+def b3(plane: np.ndarray, step: int) -> np.ndarray:
+    """Separable B3 smoothing with holes of `step`; samples beyond the edge are the edge's."""
+    for axis in (0, 1):
+        n = plane.shape[axis]
+        taps = (w / 16 * np.take(plane, np.clip(np.arange(n) + k * step, 0, n - 1), axis) for k, w in zip(range(-2, 3), B3))
+        plane = sum(taps)
+    return plane
+
 
-    Along each axis a sample is read by at most five cells, and by more only at the edge, where taps fall together.
+def scales_of(pixels: DataFrame, keys: list[str], steps: list[int], v: str = "v", to: tuple[str, ...] = ("c",)) -> DataFrame:
+    """pixels with a column of `to` for each step: v smoothed with the first step, the next with the second, and so on.
+
+    Squares have a halo of all the steps together, so the scales come out of one shuffle, side by side in a sample's row.
+    Missing and null samples count as nothing; a sample that is null and finds no other is null.
     """
-    out, size = pixels.select(*keys, "y", "x", "v"), size_of(pixels, keys)
-    for axis, side in (("y", "h"), ("x", "w")):
-        rows = join_keys(out, size.select(*keys, F.col(side).alias("n")), keys)
-        taps = F.array(*(F.struct(F.lit(k * step).alias("o"), F.lit(w / 16).alias("w")) for k, w in zip(range(-2, 3), B3)))
-        rows = rows.withColumn("t", F.explode(taps))
-        # Cell c reads the sample at clamp(c + o): a sample at s is read by s - o, one at the edge by all cells beyond, too.
-        own, s, o = F.col(axis) - F.col("t.o"), F.col(axis), F.col("t.o")
-        low = F.greatest(F.when((s == 0) & (o < 0), 0).otherwise(own), F.lit(0))
-        high = F.least(F.when((s == F.col("n") - 1) & (o > 0), F.col("n") - 1).otherwise(own), F.col("n") - 1)
-        rows = rows.withColumns({"a": low, "b": high}).where("a <= b").withColumn("to", F.explode(F.sequence("a", "b")))
-        other = "x" if axis == "y" else "y"
-        out = rows.groupBy(*keys, F.col("to").alias(axis), other).agg(F.sum(F.col("v") * F.col("t.w")).alias("v")).select(*keys, "y", "x", "v")
-    return out
+    halo = 2 * sum(steps)
+    rows = join_keys(pixels, size_of(pixels, keys).select(*keys, F.col("h").alias("image_h"), F.col("w").alias("image_w")), keys)
+
+    def work(table, y, x, tile):
+        top, left, side = tile
+        ends = [max(top - halo, 0), max(left - halo, 0), min(top + side + halo, table["image_h"][0].as_py()), min(left + side + halo, table["image_w"][0].as_py())]
+        plane, seen = tiles.plane_of(table[v], y, x, *ends, 0.0)
+        at, out, whole = (y - ends[0], x - ends[1]), [], seen.all()
+        for step in steps:
+            plane = b3(plane, step)
+            seen = seen if whole else b3(seen.astype(float), step) > 0
+            out.append((plane[at], ~seen[at]))
+        return None, out
+
+    return tiles.over_tiles(rows, keys, halo, work, to, ("image_h", "image_w"))
+
+
+def smoothed(pixels: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
+    """Separable B3 smoothing of dense images (keys, y, x, v) with holes of `step`, samples beyond the edge being the edge's."""
+    return scales_of(pixels.select(*keys, "y", "x", "v"), keys, [step]).select(*keys, "y", "x", F.col("c").alias("v"))
 
 
 def wavelet_noise(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """1.4826 times the median of |first wavelet plane|."""
-    plane = join_keys(pixels.select(*keys, "y", "x", F.col("v").alias("v0")), smoothed(pixels, keys), [*keys, "y", "x"])
-    return plane.groupBy(*keys).agg((F.median(F.abs(F.col("v0") - F.col("v"))) * 1.4826).alias("noise"))
+    plane = scales_of(pixels.select(*keys, "y", "x", "v"), keys, [1])
+    return plane.groupBy(*keys).agg((F.median(F.abs(F.col("v") - F.col("c"))) * 1.4826).alias("noise"))
 
 
 def scale_noise(scale: int) -> float:
@@ -57,14 +78,16 @@ def scale_noise(scale: int) -> float:
 def denoised(pixels: DataFrame, keys: list[str], scales: int = 5, thresholds: tuple = THRESHOLDS, soft: bool = True) -> DataFrame:
     """Dense images without the noise of their wavelet scales: details below a scale's threshold go, the rest is added up.
 
-    The noise is that of the finest scale; results that are negative or not finite are 0. All scales stand side by side
-    in one row of a sample, so the only joins are those between a smoothing and the one before it.
+    The noise is that of the finest scale; results that are negative or not finite are 0. The first five scales come from
+    one pass over tiles, each coarser one from a pass of its own; all stand side by side in a sample's row, without joins.
     """
     scales, cut = min(max(scales, 1), 8), soft_threshold if soft else hard_threshold
-    rows = smooth = checkpointed(pixels.select(*keys, "y", "x", F.col("v").cast("double").alias("v")))
-    for k in range(scales):
-        smooth = checkpointed(smoothed(smooth, keys, 1 << k))
-        rows = join_keys(rows, smooth.withColumnRenamed("v", f"c{k}"), [*keys, "y", "x"])
+    rows, done = pixels.select(*keys, "y", "x", F.col("v").cast("double").alias("v")), 0
+    while done < scales:
+        more = min(scales, TOGETHER) if done == 0 else 1
+        rows = scales_of(rows, keys, [1 << (done + k) for k in range(more)], f"c{done - 1}" if done else "v", tuple(f"c{done + k}" for k in range(more)))
+        done += more
+    rows = checkpointed(rows)
     detail = [F.col("v" if k == 0 else f"c{k - 1}") - F.col(f"c{k}") for k in range(scales)]
     noise = rows.where(finite(detail[0])).groupBy(*keys).agg((F.median(F.abs(detail[0])) * 1.4826).alias("noise"))
     rows = join_keys(rows, noise, keys, "left") if keys else join_keys(rows, noise, [])
@@ -129,24 +152,32 @@ def autocrop(pixels: DataFrame, frame: str, least: float = 1e-6) -> DataFrame:
     return each.agg(F.max("t").alias("top"), F.max("l").alias("left"), F.min("b").alias("bottom"), F.min("r").alias("right"))
 
 
+def window_max(plane: np.ndarray, low: int, high: int, axis: int) -> np.ndarray:
+    """The greatest of the samples from low to high places on along an axis; minus infinity beyond the edge and for none."""
+    n, out = plane.shape[axis], np.full(plane.shape, -np.inf)
+    at = lambda a, b: tuple(slice(a, b) if k == axis else slice(None) for k in (0, 1))
+    for k in range(max(low, -n), min(high, n) + 1):
+        to, of = at(max(0, -k), n - max(0, k)), at(max(0, k), n - max(0, -k))
+        np.maximum(out[to], plane[of], out=out[to])
+    return out
+
+
 def local_maxima(pixels: DataFrame, keys: list[str], radius: int = 5, above: float = 0.0) -> DataFrame:
     """Samples that no sample within `radius` rows and columns exceeds; of equal ones the first in row order.
 
-    Candidates only are compared, through the grid cells of their neighbourhood.
+    Samples that aren't finite or not greater than `above` are left out; missing ones are exceeded by all.
     """
     rows = pixels.where(finite("v") & (F.col("v") > above)).select(*keys, "y", "x", "v")
-    side = radius + 1
-    cell = lambda a: F.floor(F.col(a) / side)
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    best = rows.groupBy(*keys, cell("y").alias("gy"), cell("x").alias("gx")).agg(F.max(F.struct("v", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("m"))
-    # A maximum is its own cell's greatest; others of its neighbourhood lie in the nine cells around.
-    tops = best.select(*keys, "gy", "gx", F.col("m.v").alias("v"), (-F.col("m.ny")).alias("y"), (-F.col("m.nx")).alias("x"))
-    asked = tops.withColumn("d", F.explode(near)).select(*keys, (F.col("gy") + F.col("d.i")).alias("gy"), (F.col("gx") + F.col("d.j")).alias("gx"), F.col("y").alias("cy"), F.col("x").alias("cx"), F.col("v").alias("cv"))
-    others = rows.withColumns({"gy": cell("y"), "gx": cell("x")})
-    on = [*keys, "gy", "gx"]
-    met = join_keys(asked, others, on).where((F.abs(F.col("y") - F.col("cy")) <= radius) & (F.abs(F.col("x") - F.col("cx")) <= radius))
-    beaten = (F.col("v") > F.col("cv")) | ((F.col("v") == F.col("cv")) & ((F.col("y") < F.col("cy")) | ((F.col("y") == F.col("cy")) & (F.col("x") < F.col("cx")))))
-    return met.groupBy(*keys, F.col("cy").alias("y"), F.col("cx").alias("x"), F.col("cv").alias("v")).agg(F.max(beaten.cast("int")).alias("beaten")).where("beaten = 0").drop("beaten")
+
+    def work(table, y, x, tile):
+        top, left, bottom, right = y.min(), x.min(), y.max() + 1, x.max() + 1
+        plane, _ = tiles.plane_of(table["v"], y, x, top, left, bottom, right, -np.inf)
+        wide = window_max(plane, -radius, radius, 1)
+        before = np.maximum(window_max(wide, -radius, -1, 0), window_max(plane, -radius, -1, 1))
+        best = (plane >= window_max(wide, -radius, radius, 0)) & (plane > before)
+        return best[y - top, x - left], []
+
+    return tiles.over_tiles(rows, keys, radius, work)
 
 
 def labelled(pixels: DataFrame, keys: list[str], threshold: float | Column) -> DataFrame:

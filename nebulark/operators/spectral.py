@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from nebulark.operators.tiles import cubic_reads
+
 #: Shifts found with less confidence are doubtful.
 LEAST_CONFIDENCE = 2.0
 
@@ -121,39 +123,8 @@ def deconvolved(pixels: DataFrame, key: str, sigma: float = 2.0, rounds: int = 2
     return per_plane(pixels, key, lambda plane: richardson_lucy(plane, kernel, rounds))
 
 
-def catmull_rom(t: np.ndarray) -> np.ndarray:
-    t = np.abs(t)
-    return np.where(t < 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
-
-
-def bicubic(plane: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Samples at real positions, 4 by 4 taps each, edges repeated."""
-    iy, ix = np.floor(y).astype(int), np.floor(x).astype(int)
-    out = np.zeros(y.shape)
-    for i in range(-1, 3):
-        for j in range(-1, 3):
-            tap = plane[np.clip(iy + i, 0, plane.shape[0] - 1), np.clip(ix + j, 0, plane.shape[1] - 1)]
-            out += tap * catmull_rom(y - iy - i) * catmull_rom(x - ix - j)
-    return out
-
-
-def warped(plane: np.ndarray, affine: tuple[float, float, float, float, float, float]) -> np.ndarray:
-    """The plane read at (a x + b y + tx, c x + d y + ty); 0 outside."""
-    a, b, tx, c, d, ty = affine
-    y, x = np.indices(plane.shape)
-    sx, sy = a * x + b * y + tx, c * x + d * y + ty
-    inside = (sx >= 0) & (sx < plane.shape[1] - 1 + 1e-9) & (sy >= 0) & (sy < plane.shape[0] - 1 + 1e-9)
-    return np.where(inside, bicubic(plane, sy, sx), 0.0)
-
-
 def resampled(plane: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A plane resampled to a size, centres aligned, edges repeated."""
     y = (np.arange(height) + 0.5) * plane.shape[0] / height - 0.5
     x = (np.arange(width) + 0.5) * plane.shape[1] / width - 0.5
-    return bicubic(plane, np.repeat(y[:, None], width, 1), np.repeat(x[None, :], height, 0))
-
-
-def aligned(pixels: DataFrame, shifts: DataFrame, key: str) -> DataFrame:
-    """Frames read at their shift (dy, dx), so that they lie on the reference."""
-    kind = pixels.schema[key].dataType.simpleString()
-    work = lambda pdf: rows_of(warped(plane_of(pdf), (1, 0, pdf["dx"].iloc[0], 0, 1, pdf["dy"].iloc[0])), key, pdf[key].iloc[0])
-    return pixels.join(shifts.select(key, "dy", "dx"), key).groupBy(key).applyInPandas(work, f"{key} {kind}, y int, x int, v double")
+    return cubic_reads(plane, 0, 0, np.repeat(y[:, None], width, 1), np.repeat(x[None, :], height, 0), *plane.shape)
