@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nebulark.functions.validity import finite, nonzero
-from nebulark.operators.stats import MAD_SIGMA, join_keys, order_stats, upper_median
+from nebulark.operators.stats import MAD_SIGMA, join_keys, medians, order_stats, upper_median
 
 
 def collapsed(voxels: DataFrame, how: str = "mean", ok=nonzero) -> DataFrame:
@@ -21,9 +21,10 @@ def spectrum(voxels: DataFrame, y: int, x: int) -> DataFrame:
 
 def global_stats(voxels: DataFrame, ok=nonzero) -> DataFrame:
     """Per cube upper median, sigma, and the samples at 1 % and 99.9 % of the sorted ones."""
-    some = voxels.where(ok("v"))
-    centre = some.groupBy("cube").agg(upper_median("cast(v AS double)").alias("median"), F.count("*").alias("n"))
-    spread = join_keys(some, centre, ["cube"]).groupBy("cube").agg((upper_median("abs(v - median)") * MAD_SIGMA).alias("sigma"))
+    some = voxels.where(ok("v")).select("cube", F.col("v").cast("double").alias("v"))
+    centre = medians(some, ["cube"], upper=True)
+    away = join_keys(some, centre.select("cube", "median"), ["cube"]).select("cube", F.abs(F.col("v") - F.col("median")).alias("v"))
+    spread = medians(away, ["cube"], upper=True).select("cube", (F.col("median") * MAD_SIGMA).alias("sigma"))
     return centre.join(spread, "cube").join(order_stats(voxels, ["cube"], {"low": 0.01, "high": 0.999}, ok=ok), "cube")
 
 

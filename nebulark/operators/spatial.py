@@ -11,7 +11,7 @@ from nebulark.functions.stretch import hard_threshold, soft_threshold
 from nebulark.functions.validity import finite
 from nebulark.operators import tiles
 from nebulark.operators.lineage import checkpointed
-from nebulark.operators.stats import join_keys
+from nebulark.operators.stats import MAD_SIGMA, join_keys, medians
 
 #: The B3 spline, thresholds of scales and noise of scales of white noise; width at half maximum of a unit Gaussian.
 B3 = (1, 4, 6, 4, 1)
@@ -66,7 +66,12 @@ def smoothed(pixels: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
 def wavelet_noise(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """1.4826 times the median of |first wavelet plane|."""
     plane = scales_of(pixels.select(*keys, "y", "x", "v"), keys, [1])
-    return plane.groupBy(*keys).agg((F.median(F.abs(F.col("v") - F.col("c"))) * 1.4826).alias("noise"))
+    detail = F.col("v") - F.col("c")
+    return noise_of(plane.where(finite(detail)).select(*keys, F.abs(detail).alias("v")), keys)
+
+
+def noise_of(details: DataFrame, keys: list[str]) -> DataFrame:
+    return medians(details, keys).select(*keys, (F.col("median") * MAD_SIGMA).alias("noise"))
 
 
 def scale_noise(scale: int) -> float:
@@ -89,7 +94,7 @@ def denoised(pixels: DataFrame, keys: list[str], scales: int = 5, thresholds: tu
         done += more
     rows = checkpointed(rows)
     detail = [F.col("v" if k == 0 else f"c{k - 1}") - F.col(f"c{k}") for k in range(scales)]
-    noise = rows.where(finite(detail[0])).groupBy(*keys).agg((F.median(F.abs(detail[0])) * 1.4826).alias("noise"))
+    noise = noise_of(rows.where(finite(detail[0])).select(*keys, F.abs(detail[0]).alias("v")), keys)
     rows = join_keys(rows, noise, keys, "left") if keys else join_keys(rows, noise, [])
     level = lambda k: F.coalesce("noise", F.lit(0.0)) * scale_noise(k) * thresholds[min(k, len(thresholds) - 1)]
     total = sum((cut(d, level(k)) for k, d in enumerate(detail)), F.col(f"c{scales - 1}"))

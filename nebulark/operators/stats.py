@@ -9,6 +9,8 @@ from nebulark.functions.validity import col, finite, positive, valid
 
 #: Sigma of a normal distribution over its median absolute deviation; bins of histograms.
 MAD_SIGMA, BINS, DISPLAY_BINS = 1.4826, 65536, 512
+#: Accuracy of the sketch that brackets a median: its error is n / SKETCH ranks at most. The bracket reaches BRACKET times that.
+SKETCH, BRACKET = 10_000, 5
 
 
 def upper_median(v: str) -> Column:
@@ -19,16 +21,37 @@ def upper_median(v: str) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {v} DESC)")
 
 
+def medians(rows: DataFrame, keys: list[str], upper: bool = False, **more: Column) -> DataFrame:
+    """Per frame n, the aggregates of `more` and the exact median of v, doubles without null or NaN; for frames of any size.
+
+    A mergeable sketch brackets the middle, so only samples of the bracket, about a thousandth of a large frame, are counted
+    by value and ranked; those below it are one count. An even median is averaged, or with `upper` the greater of both.
+    """
+    around = F.percentile_approx("v", [0.5 - BRACKET / SKETCH, 0.5 + BRACKET / SKETCH], SKETCH)
+    facts = rows.groupBy(*keys).agg(F.count("*").alias("n"), around.alias("ends"), *(a.alias(name) for name, a in more.items()))
+    met = join_keys(rows.select(*keys, "v"), facts.select(*keys, "n", "ends"), keys).where(F.col("v") <= F.col("ends")[1])
+    counted = met.groupBy(*keys, "n", F.when(F.col("v") >= F.col("ends")[0], F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ranked = counted.withColumn("upto", F.sum("c").over(own.orderBy(F.asc_nulls_first("v"))))
+    beyond = lambda rank: F.col("upto") > rank
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    at = lambda rank: F.when(~F.bool_or(F.col("v").isNull() & beyond(rank)), F.min(F.when(beyond(rank), F.col("v"))))
+    middle = ranked.groupBy(*keys).agg((at(high) if upper else 0.5 * at(low) + 0.5 * at(high)).alias("median"))
+    out = join_keys(facts.drop("ends"), middle, keys, "left") if keys else join_keys(facts.drop("ends"), middle, keys)
+    missed = F.raise_error(F.lit("a sketch missed the median")).cast("double")
+    return out.withColumn("median", F.when(F.col("n") > 0, F.coalesce("median", missed)))
+
+
 def image_stats(pixels: DataFrame, keys: list[str], v: str = "v", ok=valid) -> DataFrame:
     """Per frame min, max, mean, median, mad, sigma and valid_count of valid samples; zeros for a frame without any.
 
-    The deviations need the median, so samples meet their frame's median in a join; both aggregates are partial first,
-    the medians in exact counted form, and skewed frames can be split.
+    The deviations need the median, so samples meet their frame's median in a join. No task holds a frame's samples or
+    their distinct values: see `medians`.
     """
     some = pixels.where(ok(v)).select(*keys, F.col(v).cast("double").alias("v"))
-    first = some.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.count("*").alias("valid_count"))
-    spread = join_keys(some, first.select(*keys, "median"), keys).groupBy(*keys).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
-    both = join_keys(first, spread, keys)
+    first = medians(some, keys, min=F.min("v"), max=F.max("v"), mean=F.avg("v")).withColumnRenamed("n", "valid_count")
+    away = join_keys(some, first.select(*keys, "median"), keys).select(*keys, F.abs(F.col("v") - F.col("median")).alias("v"))
+    both = join_keys(first, medians(away, keys).select(*keys, F.col("median").alias("mad")), keys)
     out = join_keys(pixels.select(*keys).distinct(), both, keys, "left") if keys else both
     stat = lambda name: F.coalesce(name, F.lit(0.0)).alias(name)
     sigma = F.when(F.col("mad").isNull(), 0.0).otherwise(F.greatest(F.col("mad") * MAD_SIGMA, F.lit(1e-30)))
@@ -95,7 +118,8 @@ def downsampled(hist: DataFrame, keys: list[str], bins: int = BINS, to: int = DI
 
 def masked_median(pixels: DataFrame, keys: list[str], v: str = "v", mask: str = "mask") -> DataFrame:
     """The upper median of positive samples where the mask is below one half."""
-    return pixels.where(positive(v) & (F.col(mask) < 0.5)).groupBy(*keys).agg(upper_median(v).alias("median"), F.count("*").alias("n"))
+    some = pixels.where(positive(v) & (F.col(mask) < 0.5)).select(*keys, F.col(v).cast("double").alias("v"))
+    return medians(some, keys, upper=True).select(*keys, "median", "n")
 
 
 def normalized(pixels: DataFrame, keys: list[str], how: str, v: str = "v", to: str = "norm") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nebulark.functions.sky import Wcs
-from nebulark.operators import photometry, psf
+from nebulark.operators import photometry, psf, stats
 
 PLACES = [(40.3, 45.2), (60.0, 90.4), (90.7, 50.0), (100.2, 100.9), (75.5, 70.5), (45.0, 115.0)]
 
@@ -73,3 +73,17 @@ def test_calibration(spark):
         photometry.calibrated(rgb, wcs, grey.where("cat_id < 2")).first()
     with pytest.raises(ValueError, match="are needed"):
         photometry.calibrated(rgb, wcs, grey, signal=1e9)
+
+
+def test_medians_of_frames_beyond_the_sketch(spark):
+    """Exact where the sketch approximates: many distinct values, one far outlier, heavy ties, few samples, none."""
+    rng = np.random.default_rng(11)
+    frames = {"wide": np.append(rng.normal(100, 5, 60_000), 1e9), "even": rng.normal(size=40_000), "ties": np.repeat([1.0, 2.0, 3.0], [20_000, 20_001, 2]), "two": np.array([1.0, 4.0]), None: np.array([7.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, a in frames.items() for v in a], "frame string, v double").repartition(5)
+    for upper in (False, True):
+        got = {r.frame: (r.n, r.median) for r in stats.medians(df, ["frame"], upper).collect()}
+        assert got == {k: (len(a), float(np.sort(a)[len(a) // 2] if upper else np.median(a))) for k, a in frames.items()}
+    none = df.where("false")
+    assert stats.medians(none, ["frame"]).isEmpty() and tuple(stats.medians(none.select("v"), []).first()) == (0, None)
+    r = stats.image_stats(none, []).first()
+    assert (r["median"], r["mad"], r["sigma"], r["valid_count"]) == (0.0, 0.0, 0.0, 0)
