@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nebulark.functions.sky import color_temperature, planck_rgb
+from nebulark.functions.validity import finite
 from nebulark.operators.lineage import checkpointed
 from nebulark.operators.stats import join_keys
 
@@ -54,25 +55,38 @@ def cross_match(stars: DataFrame, catalog: DataFrame, radius: float) -> DataFram
 
 def deduplicated(stars: DataFrame, radius: float = 3.0, keys: list[str] = ()) -> DataFrame:
     """Stars (keys, star_id, x, y, flux) without those within radius of a brighter one, of the same keys, that stays; ties
-    go to the smaller id.
+    go to the smaller id, null counts as the least flux.
 
-    A star is decided once all brighter neighbours are: it stays if none of them stays, and goes if one does. Rounds go
-    on until all are decided; their number is the longest chain of ever brighter neighbours.
+    Cells are so small that one star of each stays at most. In a round, the brightest open star of a cell stays if no open
+    star around is brighter, and those around it go; rounds go on until none is open. Only brightest stars of cells meet the
+    others, in 25 cells, so the work grows with the stars, however many are near each other. A star without a finite place
+    is near none.
     """
-    keys = list(keys)
-    rows = stars.select(*keys, "star_id", "x", "y", "flux", F.floor(F.col("y") / radius).alias("gy"), F.floor(F.col("x") / radius).alias("gx"))
-    asked = rows.withColumn("c", F.explode(around("gy", "gx"))).select(*keys, F.col("c.y").alias("gy"), F.col("c.x").alias("gx"), F.col("star_id").alias("id"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("flux").alias("pf"))
-    d2 = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
-    brighter = (F.col("flux") > F.col("pf")) | ((F.col("flux") == F.col("pf")) & (F.col("star_id") < F.col("id")))
-    above = checkpointed(join_keys(asked, rows, [*keys, "gy", "gx"]).where(brighter & (d2 < radius * radius)).select(*keys, "id", F.col("star_id").alias("by")))
-    first = join_keys(stars.select(*keys, F.col("star_id").alias("id")), above.select(*keys, "id").distinct().withColumn("b", F.lit(True)), [*keys, "id"], "left")
-    state = checkpointed(first.select(*keys, "id", F.when(F.col("b").isNull(), True).alias("stays")))
-    while not state.where("stays IS NULL").isEmpty():
-        known = state.select(*keys, F.col("id").alias("by"), F.col("stays").alias("s"))
-        met = join_keys(above, known, [*keys, "by"]).groupBy(*keys, "id").agg(F.max(F.coalesce("s", F.lit(False))).alias("one"), F.max(F.col("s").isNull()).alias("open"))
-        decided = F.coalesce("stays", F.when(F.col("one"), False).when(~F.col("open"), True))
-        state = checkpointed(join_keys(state, met, [*keys, "id"], "left").select(*keys, "id", decided.alias("stays")))
-    return join_keys(stars, state.where("stays").select(*keys, F.col("id").alias("star_id")), [*keys, "star_id"])
+    keys, cell = list(keys), ["gy", "gx"]
+    placed = finite("x") & finite("y")
+    side = radius / 1.5
+    rank = F.struct("flux", (-F.col("star_id")).alias("first"))
+    rows = stars.where(placed).select(*keys, F.col("star_id").alias("id"), "x", "y", rank.alias("rank"), F.floor(F.col("y") / side).alias("gy"), F.floor(F.col("x") / side).alias("gx"))
+    near = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2) < radius * radius
+
+    def reach(tops: DataFrame) -> DataFrame:
+        """tops once for each cell that they reach into."""
+        steps = F.array(*(F.struct(F.lit(i).alias("y"), F.lit(j).alias("x")) for i in range(-2, 3) for j in range(-2, 3)))
+        return tops.withColumn("c", F.explode(steps)).select(*keys, (F.col("gy") + F.col("c.y")).alias("gy"), (F.col("gx") + F.col("c.x")).alias("gx"), F.col("id").alias("by"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("rank").alias("prank"))
+
+    still, kept = checkpointed(rows.withColumn("own", F.lit(None).cast("boolean")).repartition(*keys, *cell)), []  # own: whether it goes by itself, as it stays
+    while not still.where("own IS NULL").isEmpty():
+        still = still.where("own IS NULL").drop("own")
+        tops = still.groupBy(*keys, *cell).agg(F.max_by(F.struct("id", "x", "y"), "rank").alias("t"), F.max("rank").alias("rank")).select(*keys, *cell, "t.*", "rank")
+        beaten = join_keys(still, reach(tops), [*keys, *cell]).where(near & (F.col("rank") > F.col("prank"))).select(*keys, F.col("by").alias("id")).distinct()
+        stay = join_keys(tops, beaten.withColumn("b", F.lit(True)), [*keys, "id"], "left").where("b IS NULL")
+        gone = join_keys(still, reach(stay), [*keys, *cell]).where(near).groupBy(*keys, "id").agg(F.max(F.col("id") == F.col("by")).alias("own"))
+        still = checkpointed(join_keys(still, gone, [*keys, "id"], "left").where("own IS NULL OR own"))
+        kept.append(still.where("own").select(*keys, "id"))
+    found = stars.where(~F.coalesce(placed, F.lit(False))).select(*keys, F.col("star_id").alias("id"))
+    for one in kept:
+        found = found.unionByName(one)
+    return join_keys(stars, found.withColumnRenamed("id", "star_id"), [*keys, "star_id"])
 
 
 def triangles(stars: DataFrame, n: int = TRIANGLE_STARS) -> DataFrame:
