@@ -219,11 +219,15 @@ def labelled(pixels: DataFrame, keys: list[str], threshold: float | Column) -> D
 
 
 def component_moments(labels: DataFrame, keys: list[str]) -> DataFrame:
-    """Per component flux, centroid, peak, npix, fwhm and eccentricity, from first and second moments of its samples."""
-    v, y, x = F.col("v"), F.col("y"), F.col("x")
-    s = labels.groupBy(*keys, "label").agg(F.sum("v").alias("flux"), F.max("v").alias("peak"), F.count("*").alias("npix"), *(F.sum(v * e).alias(n) for n, e in {"sy": y, "sx": x, "syy": y * y, "sxx": x * x, "sxy": x * y}.items()))
-    cy, cx = F.col("sy") / F.col("flux"), F.col("sx") / F.col("flux")
-    myy, mxx, mxy = (F.greatest(F.lit(0.0), F.col("syy") / F.col("flux") - cy * cy), F.greatest(F.lit(0.0), F.col("sxx") / F.col("flux") - cx * cx), F.col("sxy") / F.col("flux") - cx * cy)
+    """Per component flux, centroid, peak, npix, fwhm and eccentricity, from its samples' first moments and the second ones
+    about the centroid; those about the origin lose their digits far from it."""
+    v, own = F.col("v"), [*keys, "label"]
+    first = labels.groupBy(*own).agg(F.sum("v").alias("flux"), F.max("v").alias("peak"), F.count("*").alias("npix"), *(F.sum(v * F.col(c)).alias(f"s{c}") for c in "yx")).where("flux > 0")
+    first = first.select(*own, "flux", "peak", "npix", *((F.col(f"s{c}") / F.col("flux")).alias(f"c{c}") for c in "yx"))
+    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
+    same = [F.first(c).alias(c) for c in ("flux", "peak", "npix", "cy", "cx")]
+    s = join_keys(labels, first, own).groupBy(*own).agg(*same, *(F.sum(v * e).alias(n) for n, e in {"syy": dy * dy, "sxx": dx * dx, "sxy": dx * dy}.items()))
+    myy, mxx, mxy = F.greatest(F.lit(0.0), F.col("syy") / F.col("flux")), F.greatest(F.lit(0.0), F.col("sxx") / F.col("flux")), F.col("sxy") / F.col("flux")
     root = F.sqrt((mxx - myy) * (mxx - myy) + 4 * mxy * mxy)
     big, small = (mxx + myy + root) / 2, F.greatest(F.lit(0.0), (mxx + myy - root) / 2)
-    return s.where("flux > 0").select(*keys, "label", cx.alias("x"), cy.alias("y"), "flux", "peak", "npix", (FWHM * F.sqrt((mxx + myy) / 2)).alias("fwhm"), F.when(big > 1e-10, F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(small, big)))).otherwise(0.0).alias("eccentricity"))
+    return s.select(*own, F.col("cx").alias("x"), F.col("cy").alias("y"), "flux", "peak", "npix", (FWHM * F.sqrt((mxx + myy) / 2)).alias("fwhm"), F.when(big > 1e-10, F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(small, big)))).otherwise(0.0).alias("eccentricity"))
