@@ -14,14 +14,12 @@ from nebulark.operators.detection import brightest, detected
 from nebulark.operators.lineage import checkpointed
 from nebulark.operators.spatial import block_means, size_of
 from nebulark.operators.stars import LEAST_SIDE, TRIANGLE_STARS, triangle_matches
-from nebulark.operators.stats import join_keys, order_stats
+from nebulark.operators.stats import each_frame, join_keys, order_stats
 
 #: Stars and matches of a transform, confidence and part of a side of a shift, side of coarse images.
 STARS, AFFINE, RIGID, CONFIDENCE, PART, COARSE = 120, 6, 4, 1.5, 0.4, 512
 #: Fixed value: level of detection for alignment.
 SIGMA = 3.5
-#: Rows of a table of frames up to which it is broadcast, about 6 MB.
-FEW_FRAMES = 100_000
 #: Bounds of drizzle's scale and footprint, and by how much frames' sizes may differ.
 SCALES, FOOTPRINTS, DIFFERENCE = (1.0, 4.0), (0.1, 1.0), 0.05
 
@@ -169,11 +167,6 @@ def transforms(frames: DataFrame, reference, method: str = "phase") -> DataFrame
     return checkpointed(own.unionByName(moved))
 
 
-def each_frame(table: DataFrame) -> DataFrame:
-    """A table of a row a frame, to be broadcast while it has few rows."""
-    return F.broadcast(table) if table.count() <= FEW_FRAMES else table
-
-
 def warped(frames: DataFrame, found: DataFrame) -> DataFrame:
     """Dense frames read through their transforms (frame and TERMS): cubic, 0 outside; a frame is split over tasks by tiles."""
     table = checkpointed(join_keys(found.select("frame", *TERMS), size_of(frames, ["frame"]), ["frame"]))
@@ -204,7 +197,7 @@ def drizzle_stack(frames: DataFrame, reference, scale: float = 2.0, shrink: floa
     else:
         offsets = frame_offsets(rows, reference, method)
     bounded = lambda x, ends: min(max(x, ends[0]), ends[1])
-    return stacking.drizzle_clipped(rows, each_frame(checkpointed(offsets)), bounded(scale, SCALES), bounded(shrink, FOOTPRINTS), low, high, passes, kernel)
+    return stacking.drizzle_clipped(rows, each_frame(offsets), bounded(scale, SCALES), bounded(shrink, FOOTPRINTS), low, high, passes, kernel)
 
 
 def frame_offsets(frames: DataFrame, reference, method: str = "phase") -> DataFrame:

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nebulark.functions.validity import col, finite, positive, valid
+from nebulark.operators.lineage import checkpointed
 
 #: Sigma of a normal distribution over its median absolute deviation; bins of histograms.
 MAD_SIGMA, BINS, DISPLAY_BINS = 1.4826, 65536, 512
 #: Accuracy of the sketch that brackets a median: its error is n / SKETCH ranks at most. The bracket reaches BRACKET times that.
 SKETCH, BRACKET = 10_000, 5
+#: Rows of a table of frames up to which it is broadcast, about 6 MB.
+FEW_FRAMES = 100_000
 
 
 def upper_median(v: str) -> Column:
@@ -29,6 +32,7 @@ def medians(rows: DataFrame, keys: list[str], upper: bool = False, **more: Colum
     """
     around = F.percentile_approx("v", [0.5 - BRACKET / SKETCH, 0.5 + BRACKET / SKETCH], SKETCH)
     facts = rows.groupBy(*keys).agg(F.count("*").alias("n"), around.alias("ends"), *(a.alias(name) for name, a in more.items()))
+    facts = each_frame(facts)
     met = join_keys(rows.select(*keys, "v"), facts.select(*keys, "n", "ends"), keys).where(F.col("v") <= F.col("ends")[1])
     counted = met.groupBy(*keys, "n", F.when(F.col("v") >= F.col("ends")[0], F.col("v")).alias("v")).agg(F.count("*").alias("c"))
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -49,7 +53,7 @@ def image_stats(pixels: DataFrame, keys: list[str], v: str = "v", ok=valid) -> D
     their distinct values: see `medians`.
     """
     some = pixels.where(ok(v)).select(*keys, F.col(v).cast("double").alias("v"))
-    first = medians(some, keys, min=F.min("v"), max=F.max("v"), mean=F.avg("v")).withColumnRenamed("n", "valid_count")
+    first = each_frame(medians(some, keys, min=F.min("v"), max=F.max("v"), mean=F.avg("v")).withColumnRenamed("n", "valid_count"))
     away = join_keys(some, first.select(*keys, "median"), keys).select(*keys, F.abs(F.col("v") - F.col("median")).alias("v"))
     both = join_keys(first, medians(away, keys).select(*keys, F.col("median").alias("mad")), keys)
     out = join_keys(pixels.select(*keys).distinct(), both, keys, "left") if keys else both
@@ -67,6 +71,13 @@ def join_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -
     return a.join(right, on, how).drop(*(f"__{k}" for k in keys))
 
 
+def each_frame(table: DataFrame) -> DataFrame:
+    """A table of a row a frame, to be broadcast while it has few rows: a join by shuffles would put each frame's samples
+    into one task."""
+    table = checkpointed(table)
+    return F.broadcast(table) if table.count() <= FEW_FRAMES else table
+
+
 def order_stats(pixels: DataFrame, keys: list[str], fractions: dict[str, float], v: str = "v", ok=valid, bins: int = 65536) -> DataFrame:
     """Per frame the samples at trunc(f * n) of the sorted valid ones, at most the last; exact, for frames of any size.
 
@@ -74,6 +85,7 @@ def order_stats(pixels: DataFrame, keys: list[str], fractions: dict[str, float],
     """
     some = pixels.where(ok(v)).select(*keys, F.col(v).cast("double").alias("v"))
     facts = some.groupBy(*keys).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("n")).where("n > 0")
+    facts = each_frame(facts)
     place = F.coalesce(bin_of("v", F.col("min"), F.col("max"), bins), F.lit(0))
     rows = join_keys(some, facts, keys).select(*keys, "v", "n", place.alias("bin"))
     own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -81,7 +93,7 @@ def order_stats(pixels: DataFrame, keys: list[str], fractions: dict[str, float],
     ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1).alias("k")) for name, f in fractions.items())))
     asked = counted.withColumn("r", ranks).where((F.col("upto") > F.col("r.k")) & (F.col("upto") - F.col("c") <= F.col("r.k")))
     asked = asked.select(*keys, "bin", "r.name", (F.col("r.k") - (F.col("upto") - F.col("c"))).alias("left"))
-    values = join_keys(rows.drop("n"), asked, [*keys, "bin"]).groupBy(*keys, "name", "left", "v").agg(F.count("*").alias("c"))
+    values = join_keys(rows.drop("n"), each_frame(asked), [*keys, "bin"]).groupBy(*keys, "name", "left", "v").agg(F.count("*").alias("c"))
     within = Window.partitionBy(*keys, "name").orderBy("v")
     first = values.withColumn("upto", F.sum("c").over(within)).where(F.col("upto") > F.col("left"))
     return first.groupBy(*keys).agg(*(F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in fractions))
