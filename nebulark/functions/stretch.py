@@ -60,10 +60,10 @@ def arcsinh(v: Column | str, low: Column, high: Column, factor: float, gamma: fl
     return F.when(~finite(v) | (high - low < 1e-10), 0.0).otherwise(y)
 
 
-def robust_asinh(v: Column | str, median: Column, mad: Column, low: Column, high: Column, alpha: float = 10.0) -> Column:
-    """asinh(alpha (v - median) / sigma) of samples clamped between two order statistics; 0 for invalid ones."""
+def robust_asinh(v: Column | str, median: Column, mad: Column, low: Column, high: Column, alpha: float = 10.0, ok=valid) -> Column:
+    """asinh(alpha (v - median) / sigma) of samples clamped between two order statistics; 0 for those that aren't ok."""
     v = col(v)
-    return F.when(valid(v), F.asinh(alpha * (F.greatest(low, F.least(high, v)) - median) / F.greatest(mad * 1.4826, F.lit(1e-10)))).otherwise(0.0)
+    return F.when(ok(v), F.asinh(alpha * (F.greatest(low, F.least(high, v)) - median) / F.greatest(mad * 1.4826, F.lit(1e-10)))).otherwise(0.0)
 
 
 def levels(v: Column | str, black: float, white: float, gamma: float) -> Column:
