@@ -5,6 +5,8 @@ Range conditions become equi joins on grid cells; a cell meets its neighbours, n
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from nebulark.functions.validity import finite
 from nebulark.operators.lineage import checkpointed
 from nebulark.operators.stats import join_keys
 
+#: Square degrees of the sky, and entries within the first radius of a cross-match.
+SKY, FEW = 41253.0, 4.0
 #: Least side of a triangle, stars that form triangles, tolerance of ratios of sides.
 LEAST_SIDE, TRIANGLE_STARS, TOLERANCE = 15.0, 60, 0.02
 #: Weights of fwhm, eccentricity, signal and noise in a frame's quality.
@@ -34,8 +38,35 @@ def separation(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
 def cross_match(stars: DataFrame, catalog: DataFrame, radius: float) -> DataFrame:
     """Each star (star_id, ra, dec) with its nearest catalogue entry (cat_id, ra, dec) within radius arc seconds, if any.
 
+    Ties, to a millionth of an arc second, go to the smaller cat_id, so of entries at one place only the smallest counts. A
+    first radius holds a few entries on average over the sky; stars that find none within it look again within twice as
+    much, up to the whole radius. So the pairs grow with the stars, not with stars times entries.
+    """
+    entries = checkpointed(catalog.groupBy("ra", "dec").agg(F.min("cat_id").alias("cat_id")))
+    density = max(entries.count(), 1) / SKY
+    reach = radius
+    while reach > 1 and density * pi * (reach / 3600) ** 2 > FEW:
+        reach /= 2
+    asked, parts = checkpointed(stars.select("star_id", "ra", "dec")), []
+    while True:
+        found = checkpointed(matched_within(asked, entries, reach))
+        # What lies farther than a rounded tie from the edge has no rival beyond it.
+        parts.append(found if reach >= radius else found.where(F.col("sep") < reach - 1e-5))
+        if reach >= radius:
+            break
+        asked = checkpointed(asked.join(parts[-1].select("star_id"), "star_id", "left_anti"))
+        reach = min(2 * reach, radius)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def matched_within(stars: DataFrame, catalog: DataFrame, radius: float) -> DataFrame:
+    """star_id, cat_id and sep of each star's nearest entry within a radius.
+
     The sky is cut into bands of declination and, in them, cells of right ascension that are at least a radius wide at
-    the band's edge nearest to a pole; a star looks into nine cells. Ties go to the smaller cat_id.
+    the band's edge nearest to a pole; a star looks into nine cells.
     """
     step = max(radius / 3600, 1e-6)
     bands = lambda dec: F.floor((dec + 90) / step)
@@ -50,7 +81,7 @@ def cross_match(stars: DataFrame, catalog: DataFrame, radius: float) -> DataFram
     asked = stars.select("star_id", "ra", "dec", F.explode(F.array(*(bands(F.col("dec")) + k for k in (-1, 0, 1)))).alias("cy"))
     asked = asked.withColumn("at", cell(F.col("ra"), F.col("cy"))).withColumn("cx", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("at") + k, cells(F.col("cy"))) for k in (-1, 0, 1))))))
     near = asked.join(entries, ["cy", "cx"]).withColumn("sep", separation(F.col("ra"), F.col("dec"), F.col("cra"), F.col("cdec"))).where(F.col("sep") <= radius)
-    return near.groupBy("star_id").agg(F.min(F.struct("sep", "cat_id")).alias("m")).select("star_id", F.col("m.cat_id").alias("cat_id"), F.col("m.sep").alias("sep"))
+    return near.groupBy("star_id").agg(F.min(F.struct(F.round("sep", 6).alias("about"), "cat_id", "sep")).alias("m")).select("star_id", F.col("m.cat_id").alias("cat_id"), F.col("m.sep").alias("sep"))
 
 
 def deduplicated(stars: DataFrame, radius: float = 3.0, keys: list[str] = ()) -> DataFrame:
