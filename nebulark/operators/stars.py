@@ -17,6 +17,8 @@ from nebulark.operators.stats import join_keys
 
 #: Square degrees of the sky, and entries within the first radius of a cross-match.
 SKY, FEW = 41253.0, 4.0
+#: Side of the cells in which stars meet pixels.
+CELL = 16
 #: Least side of a triangle, stars that form triangles, tolerance of ratios of sides.
 LEAST_SIDE, TRIANGLE_STARS, TOLERANCE = 15.0, 60, 0.02
 #: Weights of fwhm, eccentricity, signal and noise in a frame's quality.
@@ -157,13 +159,15 @@ def affine_fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def aperture_flux(stars: DataFrame, pixels: DataFrame, radius: float, inner: float, outer: float) -> DataFrame:
     """Per star (star_id, x, y) the sum within radius less the background of the ring, the mean of its middle half.
 
-    A star is exploded to the pixels of its own square and meets them in an equi join.
+    A star meets the pixels of the cells that its circle reaches into; only cells are exploded, so that its table stays
+    small if it is broadcast.
     """
-    reach = int(outer) + 1
-    around_star = stars.select("star_id", F.col("x").alias("sx"), F.col("y").alias("sy")).withColumn("iy", F.explode(F.sequence(F.round("sy").cast("int") - reach, F.round("sy").cast("int") + reach)))
-    around_star = around_star.withColumn("ix", F.explode(F.sequence(F.round("sx").cast("int") - reach, F.round("sx").cast("int") + reach)))
+    around_star = stars.select("star_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    for c, at in (("cy", "sy"), ("cx", "sx")):
+        around_star = around_star.withColumn(c, F.explode(F.sequence(F.floor((F.col(at) - outer) / CELL), F.floor((F.col(at) + outer) / CELL))))
     r2 = F.pow(F.col("ix") - F.col("sx"), 2) + F.pow(F.col("iy") - F.col("sy"), 2)
-    met = around_star.withColumn("r2", r2).where(F.col("r2") <= outer * outer).join(pixels.select(F.col("y").alias("iy"), F.col("x").alias("ix"), "v"), ["iy", "ix"])
+    placed = pixels.select(F.col("y").alias("iy"), F.col("x").alias("ix"), "v", F.floor(F.col("y") / CELL).alias("cy"), F.floor(F.col("x") / CELL).alias("cx"))
+    met = around_star.join(placed, ["cy", "cx"]).withColumn("r2", r2).where(F.col("r2") <= outer * outer)
     ring = F.array_sort(F.collect_list(F.when((F.col("r2") >= inner * inner), F.col("v"))))  # a ring's pixels: few
     s = met.groupBy("star_id").agg(F.sum(F.when(F.col("r2") <= radius * radius, F.col("v"))).alias("total"), F.sum((F.col("r2") <= radius * radius).cast("int")).alias("npix"), ring.alias("ring"))
     n = F.size("ring")
