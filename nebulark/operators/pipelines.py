@@ -82,12 +82,13 @@ def drizzled_rgb(spark: SparkSession, channels: dict[str, str], made: Masters |
     return align.drizzle_rgb(rows, {c: first_of(part) for c, part in parts.items()}, **options)
 
 
-def batch(spark: SparkSession, channels: dict[str, str], made: Masters, low: float = LOW, high: float = HIGH, passes: int = PASSES, normalise: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def batch(spark: SparkSession, channels: dict[str, str], made: Masters, low: float = LOW, high: float = HIGH, passes: int = PASSES, normalise: bool = True, uneven: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Masters of channels (channel, y, x, v, rejected, n), facts of each (channel, lights, mean, stddev, rejected), and their
     composite where R, G and B are there.
 
     channels: a folder of lights for each label. All lights go through one table: calibrated, over their frame's mean, and
-    stacked pixel by pixel with clipping about medians. A channel without lights, or with lights of several sizes, is an error.
+    stacked pixel by pixel with clipping about medians. A channel without lights is an error, and so are lights of several sizes
+    unless they may be `uneven`: then a pixel's stack has the samples of the frames that reach it.
     """
     if not channels:
         raise ValueError("no channels")
@@ -101,7 +102,7 @@ def batch(spark: SparkSession, channels: dict[str, str], made: Masters, low: flo
     for c in channels:
         if c not in found:
             raise ValueError(f"channel {c} has no lights")
-        if found[c].sizes > 1:
+        if found[c].sizes > 1 and not uneven:
             raise ValueError(f"channel {c} has frames of several sizes")
     lights = made.applied(rows).select("channel", "frame", "y", "x", "v")
     lights = stacking.frame_normalized(lights, ["channel", "frame"]) if normalise else lights

@@ -45,7 +45,7 @@ def calibrate_files(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{using('img')}, {CALIBRATED}, stack AS (SELECT channel || ' ' || y || ' ' || x AS pixel, v / avg(v) OVER (PARTITION BY channel, f) AS v FROM cal), {median_clip_sql(1.2, 1.5, 3)}")
 def batch_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     at = folders(spark, sf)
-    stack, _, _ = pipelines.batch(spark, {c: at[c] for c in "RGB"}, made(spark, at), 1.2, 1.5, 3)
+    stack, _, _ = pipelines.batch(spark, {c: at[c] for c in "RGB"}, made(spark, at), 1.2, 1.5, 3, uneven=True)  # the last frame has the rows that are left
     return rounded(stack.select(F.concat_ws(" ", "channel", "y", "x").alias("pixel"), F.col("v").alias("result"), "rejected", "n"), "result")
 
 
