@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from nebulark.operators.tiles import cubic_reads
+from nebulark.operators.tiles import cubic_reads, parts
 
 #: Shifts found with less confidence are doubtful.
 LEAST_CONFIDENCE = 2.0
@@ -127,4 +127,4 @@ def resampled(plane: np.ndarray, height: int, width: int) -> np.ndarray:
     """A plane resampled to a size, centres aligned, edges repeated."""
     y = (np.arange(height) + 0.5) * plane.shape[0] / height - 0.5
     x = (np.arange(width) + 0.5) * plane.shape[1] / width - 0.5
-    return cubic_reads(plane, 0, 0, np.repeat(y[:, None], width, 1), np.repeat(x[None, :], height, 0), *plane.shape)
+    return cubic_reads(plane, 0, 0, parts(np.repeat(y[:, None], width, 1)), parts(np.repeat(x[None, :], height, 0)), *plane.shape)

@@ -7,6 +7,7 @@ Images are rows (keys, y, x, v), dense, one row a sample; samples that are missi
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 SIDE, GREATEST = 128, 1024
 #: Rows and columns of an image that a square of a warped one reads at most, beyond the taps, unless it is a single cell.
 READ = 256
+#: Decimals up to which the terms of a transform are taken as they are written.
+DECIMALS = 9
 
 
 def side_of(halo: int) -> int:
@@ -83,7 +86,7 @@ def reads_of(tile: Column, side: Column, factors: dict[str, Column], shift: Colu
         b = factor * F.least(tile[axis] * side + side - 1, last[axis])
         low, high = low + F.least(a, b), high + F.greatest(a, b)
     inside = lambda v: F.greatest(F.lit(0.0), F.least(v, end - 1.0)).cast("long")
-    return inside(F.floor(low) - 1.0), inside(F.floor(high) + 2.0)
+    return inside(F.floor(low - 1e-3) - 1.0), inside(F.floor(high + 1e-3) + 2.0)  # as positions in doubles are rounded
 
 
 def cubic(t):
@@ -97,13 +100,41 @@ def kernel(t: np.ndarray) -> np.ndarray:
     return np.where(t < 1, near, np.where(t < 2, far, 0.0))
 
 
-def cubic_reads(plane: np.ndarray, top: int, left: int, sy: np.ndarray, sx: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Samples of an image of (height, width) at real positions, 4 by 4 taps each, edges repeated; plane is its part from (top, left) on."""
-    iy, ix = np.floor(sy).astype(np.int64), np.floor(sx).astype(np.int64)
-    out = np.zeros(sy.shape)
+def parts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole parts and the rests of positions."""
+    whole = np.floor(at)
+    return whole.astype(np.int64), at - whole
+
+
+def positions(a: float, b: float, shift: float, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of a x + b y + shift for whole x and y.
+
+    Terms of up to DECIMALS decimals are those decimals, worked out in whole numbers, so a position on the image's edge is
+    not outside by a rounding; others are worked out in doubles.
+    """
+    terms = [Decimal(repr(float(t))) for t in (a, b, shift)]
+    if all(t.is_finite() for t in terms):
+        scale = 10 ** max(0, *(-t.normalize().as_tuple().exponent for t in terms))
+        reach = sum(abs(t) * int(np.abs(k).max(initial=0)) for t, k in zip(terms, (x, y, np.ones(1, np.int64))))
+        if scale <= 10**DECIMALS and reach * scale < 1 << 62:
+            p, q, s = (int(t * scale) for t in terms)
+            whole, rest = np.divmod(p * x + q * y + s, scale)
+            return whole, rest / scale
+    return parts(a * x + b * y + shift)
+
+
+def within_image(at: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    whole, rest = at
+    return (whole >= 0) & ((whole < n - 1) | ((whole == n - 1) & (rest == 0)))
+
+
+def cubic_reads(plane: np.ndarray, top: int, left: int, sy: tuple, sx: tuple, height: int, width: int) -> np.ndarray:
+    """Samples of an image of (height, width) at real positions, given by their parts, 4 by 4 taps each, edges repeated; plane is its part from (top, left) on."""
+    (iy, fy), (ix, fx) = sy, sx
+    out = np.zeros(iy.shape)
     for i in range(-1, 3):
         for j in range(-1, 3):
-            weight = kernel(sy - iy - i) * kernel(sx - ix - j)
+            weight = kernel(fy - i) * kernel(fx - j)
             tap = plane[np.clip(iy + i, 0, height - 1) - top, np.clip(ix + j, 0, width - 1) - left]
             out += np.where(weight != 0, tap, 0.0) * weight  # a tap without weight isn't read, so it may be no number
     return out
@@ -142,10 +173,10 @@ def affine_reads(pixels: DataFrame, transforms: DataFrame, keys: list[str]) -> D
                 plane[i + place // SIDE, j + place % SIDE] = samples.field("v").to_numpy()
         own = [np.arange(one[f"tile_{a}"] * one["side"], min((one[f"tile_{a}"] + 1) * one["side"], one[n])) for a, n in (("y", "h"), ("x", "w"))]
         y, x = (g.ravel() for g in np.meshgrid(*own, indexing="ij"))
-        sx, sy = one["a"] * x + one["b"] * y + one["tx"], one["c"] * x + one["d"] * y + one["ty"]
-        inside = (sx >= 0) & (sx <= one["w"] - 1) & (sy >= 0) & (sy <= one["h"] - 1)
+        sx, sy = positions(one["a"], one["b"], one["tx"], x, y), positions(one["c"], one["d"], one["ty"], x, y)
+        inside = within_image(sx, one["w"]) & within_image(sy, one["h"])
         v = np.zeros(len(y))
-        v[inside] = cubic_reads(plane, top, left, sy[inside], sx[inside], one["h"], one["w"])
+        v[inside] = cubic_reads(plane, top, left, *(tuple(p[inside] for p in at) for at in (sy, sx)), one["h"], one["w"])
         out = {k: pa.array([table[k][0].as_py()] * len(y), table[k].type) for k in keys}
         return pa.table(out | {"y": pa.array(y, pa.int64()), "x": pa.array(x, pa.int64()), "v": pa.array(v)})
 
