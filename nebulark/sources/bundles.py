@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nebulark.operators.lineage import checkpointed
+from nebulark.sources.fits import dealt
 
 #: Bytes that are copied at once.
 PIECE = 4 << 20
@@ -159,4 +160,4 @@ def contents(members: DataFrame) -> DataFrame:
                 with store.open_input_file(at) as f, zipfile.ZipFile(f) as z:
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(name)], pa.binary())], names=["name", "content"])
 
-    return members.select("bundle", "name").repartition("bundle", "name").mapInArrow(scan, "name string, content binary")
+    return dealt(members.select("bundle", "name"), "bundle", "name").mapInArrow(scan, "name string, content binary")
