@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from nebulark.functions.channels import holds_reference
 from nebulark.sources import fits
-from nebulark.sources.fits import ranges
+from nebulark.sources.fits import dealt, ranges
 
 MAGIC, BLOCK_MAGIC = b"#ASDF", b"\xd3BLK"
 #: Names of arrays at the top of a tree and below `roman`, and how deep others are looked for.
@@ -294,7 +294,7 @@ def read_arrays(arrays: DataFrame, first_plane: bool = False) -> DataFrame:
     total = F.col("height").cast("long") * F.col("width") * F.col("planes")
     parts = F.when(F.col("compression") == "", F.sequence(F.lit(0).cast("long"), F.greatest(total - 1, F.lit(0).cast("long")), F.lit(ROWS).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     jobs = arrays.drop("header", "name").withColumn("total", total).where("total > 0").withColumn("first", F.explode(parts))
-    jobs = jobs.withColumn("n", F.when(F.col("compression") == "", F.least(F.lit(ROWS).cast("long"), F.col("total") - F.col("first"))).otherwise(F.col("total"))).repartition("file", "first")
+    jobs = jobs.withColumn("n", F.when(F.col("compression") == "", F.least(F.lit(ROWS).cast("long"), F.col("total") - F.col("first"))).otherwise(F.col("total")))
 
     def scan(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -307,7 +307,7 @@ def read_arrays(arrays: DataFrame, first_plane: bool = False) -> DataFrame:
                     cols = [z[keep], (k // r["width"])[keep], (k % r["width"])[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(cols[0])), *(pa.array(c.astype(np.int32)) for c in cols), pa.array(v[keep])], names=["file", "z", "y", "x", "v"])
 
-    return jobs.mapInArrow(scan, "file string, z int, y int, x int, v double")
+    return dealt(jobs, "file", "first").mapInArrow(scan, "file string, z int, y int, x int, v double")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
