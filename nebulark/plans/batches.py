@@ -24,12 +24,12 @@ lights AS ({' UNION ALL '.join(f"SELECT '{c}' AS channel, f, y, x, {FOLDERS[c]}
 cal AS (SELECT channel, f, y, x, greatest(CASE WHEN abs(w) > 1e-4 THEN (v - b - d) / w ELSE v - b - d END, 0) AS v FROM lights JOIN bias USING (y, x) JOIN dark USING (y, x) JOIN flat USING (y, x))"""
 
 
-def folders(spark: SparkSession, sf: str) -> dict[str, str]:
-    """A folder of files for each of FOLDERS, a file a frame."""
+def folders(spark: SparkSession, sf: str, names: tuple[str, ...] = tuple(FOLDERS)) -> dict[str, str]:
+    """A folder of files for each of names, which are in FOLDERS, a file a frame."""
     rows = views.img(spark, sf)
     frame = F.floor(F.col("y") / HEIGHT)
     rows = rows.withColumns({"frame": F.concat(F.lit("f"), frame.cast("string")), "y": (F.col("y") - frame * HEIGHT).cast("int"), "x": F.col("x").cast("int")})
-    return {name: folder_of(spark, fits.to_files(rows.withColumn("v", F.expr(e)), "frame", -64)) for name, e in FOLDERS.items()}
+    return {name: folder_of(spark, fits.to_files(rows.withColumn("v", F.expr(e)), "frame", -64)) for name, e in FOLDERS.items() if name in names}
 
 
 def made(spark: SparkSession, at: dict[str, str]) -> pipelines.Masters:
@@ -38,7 +38,7 @@ def made(spark: SparkSession, at: dict[str, str]) -> pipelines.Masters:
 
 @query(f"{using('img')}, {CALIBRATED} SELECT 'f' || f AS file, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(v, 6) + 0.0 AS v FROM cal WHERE channel = 'R'")
 def calibrate_files(spark: SparkSession, sf: str) -> DataFrame:
-    at = folders(spark, sf)
+    at = folders(spark, sf, ("bias", "dark", "flat", "R"))
     return rounded(pipelines.calibrated(spark, at["R"], made(spark, at)).select(stem("frame"), "y", "x", "v"), "v")
 
 
