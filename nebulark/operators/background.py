@@ -18,8 +18,7 @@ def tile_background(pixels: DataFrame, keys: list[str], tile: int | None = None)
     side = F.lit(tile) if tile else F.greatest(F.lit(32), F.least(F.lit(256), F.floor(F.least("h", "w") / 8)))
     rows = join_keys(pixels.where(valid("v")), dims.withColumn("s", side), keys)
     rows = rows.select(*keys, F.floor(F.col("y") / F.col("s")).alias("ty"), F.floor(F.col("x") / F.col("s")).alias("tx"), "v")
-    full = rows.groupBy(*keys, "ty", "tx").agg(F.count("*").alias("c")).where("c >= 8").drop("c")
-    tiles = clipped_stats(join_keys(rows, full, [*keys, "ty", "tx"]), [*keys, "ty", "tx"], 3.0, 2)
+    tiles = clipped_stats(rows, [*keys, "ty", "tx"], 3.0, 2, least=8)
     return tiles.groupBy(*keys).agg(upper_median("median").alias("background"), upper_median("sigma").alias("sigma"), F.count("*").alias("tiles"))
 
 

@@ -38,8 +38,9 @@ def detected(pixels: DataFrame, keys: list[str], sigma: float = 5.0) -> DataFram
     width of 0.5 to 30; of stars within 3 samples of each other the brightest stays. Frames with less than 3 rows or
     columns have none. Background, components and neighbours are joins and aggregates by frame and tile, run or cell.
     """
+    pixels = checkpointed(pixels.select(*keys, "y", "x", "v").repartition(*keys, "y"))  # read several times from here on
     ground = checkpointed(levels(pixels, keys))
-    rows = join_keys(pixels.select(*keys, "y", "x", "v"), ground.drop("h", "w"), keys)
+    rows = join_keys(pixels, ground.drop("h", "w"), keys)
     found = labelled(rows, keys, F.col("background") + sigma * F.col("sigma"))
     own = join_keys(found, ground, keys).where((F.col("h") >= LEAST_SIDE) & (F.col("w") >= LEAST_SIDE))
     above = own.withColumn("v", F.greatest(F.col("v") - F.col("background"), F.lit(0.0))).select(*keys, "y", "x", "v", "label")

@@ -72,9 +72,9 @@ def sigma_clip(stack: DataFrame, pixel: list[str], low: float = 3.0, high: float
     return rows.select(*pixel, result.alias("result"), (F.size("vs") - F.size(left)).cast("long").alias("rejected"), F.size("vs").cast("long").alias("n"))
 
 
-def clipped_stats(samples: DataFrame, keys: list[str], kappa: float = 3.0, passes: int = 2, v: str = "v") -> DataFrame:
-    """Per key median, sigma and n of samples after symmetric clipping by averaged median and deviation, while three or more are left."""
-    rows = sample_arrays(samples, keys, finite(v), v)
+def clipped_stats(samples: DataFrame, keys: list[str], kappa: float = 3.0, passes: int = 2, v: str = "v", least: int = 1) -> DataFrame:
+    """Per key of at least so many samples median, sigma and n of samples after symmetric clipping by averaged median and deviation, while three or more are left."""
+    rows = sample_arrays(samples, keys, finite(v), v).where(F.size("vs") >= least)
     sigma = lambda vs, m: F.greatest(averaged_middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA, F.lit(1e-10))
     step = lambda vs, k: F.when(F.size(vs) < 3, vs).otherwise(bound(averaged_middle(vs), lambda m: bound(sigma(vs, m), lambda s: within(vs, m, s, kappa, kappa))))
     rows = rows.withColumn("vs", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.col("vs"), step) if passes else F.col("vs"))
