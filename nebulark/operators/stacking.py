@@ -31,11 +31,6 @@ def mean_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
-def sigma_of(values: Column, mean: Column) -> Column:
-    """The sample deviation of an array of two or more."""
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (F.size(values) - 1))
-
-
 def sample_arrays(stack: DataFrame, pixel: list[str], ok: Column, v: str) -> DataFrame:
     """Per pixel vs, its samples in order: one shuffle, one row a pixel, which a stack has as many samples as frames for."""
     return stack.where(ok).groupBy(*pixel).agg(F.array_sort(F.collect_list(F.col(v).cast("double"))).alias("vs"))
@@ -45,6 +40,20 @@ def within(values: Column, centre: Column, sigma: Column, low: float, high: floa
     return F.filter(values, lambda x: (x - centre >= -low * sigma) & (x - centre <= high * sigma))
 
 
+def about_mean(values: Column, low: float, high: float) -> Column:
+    """Of a sorted array of two or more c, its mean, and lo and hi, so many sample deviations (1e-10 at least) from it.
+
+    Sums are of offsets from the upper median, and the root is taken last, of all factors. So while samples are whole numbers
+    (or multiples of a power of 2) and the sums below 2^53, a limit that is met exactly has no rounding in it.
+    """
+    n = F.size(values).cast("double")
+    total = lambda of: F.aggregate(values, F.lit(0.0), lambda a, x: a + of(x))
+    reach = lambda k, square: F.sqrt(F.greatest(k * k * square / (n - 1), k * k * 1e-20 * n * n))
+    limits = lambda m, s, square: F.struct((m + s / n).alias("c"), (m + (s - reach(low, square)) / n).alias("lo"), (m + (s + reach(high, square)) / n).alias("hi"))
+    squares = lambda m, s: n * (n * total(lambda x: (x - m) * (x - m)) - s * s)
+    return bound(middle(values), lambda m: bound(total(lambda x: x - m), lambda s: bound(squares(m, s), lambda square: limits(m, s, square))))
+
+
 def sigma_clip(stack: DataFrame, pixel: list[str], low: float = 3.0, high: float = 3.0, passes: int = 5, v: str = "v") -> DataFrame:
     """Per pixel result, rejected and n: the mean of finite samples left by clipping.
 
@@ -54,15 +63,16 @@ def sigma_clip(stack: DataFrame, pixel: list[str], low: float = 3.0, high: float
     """
     rows = sample_arrays(stack, pixel, finite(v), v)
     floor = lambda s: F.greatest(s, F.lit(1e-10))
-    first = lambda vs: bound(middle(vs), lambda m: F.struct(m.alias("c"), floor(middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA).alias("s")))
-    later = lambda vs: bound(mean_of(vs), lambda m: F.struct(m.alias("c"), floor(sigma_of(vs, m)).alias("s")))
+    spread = lambda vs, m: floor(middle(F.array_sort(F.transform(vs, lambda x: F.abs(x - m)))) * MAD_SIGMA)
+    first = lambda vs: bound(middle(vs), lambda m: bound(spread(vs, m), lambda s: F.struct(m.alias("c"), within(vs, m, s, low, high).alias("left"))))
+    later = lambda vs: bound(about_mean(vs, low, high), lambda a: F.struct(a["c"].alias("c"), F.filter(vs, lambda x: (x >= a["lo"]) & (x <= a["hi"])).alias("left")))
     state = lambda vs, done, centre: F.struct(vs.alias("vs"), done.alias("done"), centre.alias("centre"))
     none = F.lit(None).cast("double")
 
     def step(acc, k):
         go = ~acc["done"] & (F.size(acc["vs"]) >= 2)
         about = F.when(k == 1, first(acc["vs"])).otherwise(later(acc["vs"]))
-        clip = bound(about, lambda a: bound(within(acc["vs"], a["c"], a["s"], low, high), lambda left: state(left, F.size(left) == F.size(acc["vs"]), a["c"])))
+        clip = bound(about, lambda a: state(a["left"], F.size(a["left"]) == F.size(acc["vs"]), a["c"]))
         return F.when(go, clip).otherwise(acc)
 
     steps = F.sequence(F.lit(1), F.lit(passes)) if passes else F.array().cast("array<int>")
